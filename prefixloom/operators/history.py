@@ -138,8 +138,10 @@ def _key(c: str) -> Column:
 def valid_in_pool(completions: DataFrame, pool: DataFrame) -> DataFrame:
     """(total, valid_in_pool, valid_pct) by lower-cased, stripped membership."""
     keys = pool.select(_key("query").alias("key")).distinct().withColumn("hit", F.lit(1))
-    flagged = completions.select(_key("completion").alias("key")).join(keys, "key", "left")
-    total, valid = F.count("*"), F.count("hit")
+    counted = completions.groupBy(_key("completion").alias("key")).agg(F.count("*").alias("n"))
+    flagged = counted.join(keys, "key", "left")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    valid = F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0))
     return flagged.agg(total.alias("total"), valid.alias("valid_in_pool")).withColumn(
         "valid_pct",
         F.when(F.col("total") > 0, F.round(F.col("valid_in_pool") / F.col("total") * 100, 6)).otherwise(0.0),

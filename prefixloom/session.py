@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -30,3 +32,21 @@ def local(cores: int = 8, memory: str = "8g", name: str = "prefixloom") -> Spark
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from the files.
+
+    The folder is the session's spark.checkpoint.dir. Only a local session may do
+    without and gets a temporary one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            folder = tempfile.mkdtemp(prefix="prefixloom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
