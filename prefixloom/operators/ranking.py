@@ -154,3 +154,17 @@ def popular(pool: DataFrame, score: str, n: int, key: str = "query") -> DataFram
     fill = smallest_n(tied, stable_hash(key), n - above.count())
     return above.unionByName(fill).drop("_s")
 
+
+
+def reduce_pool(
+    pool: DataFrame, n_top: int = 560_000, n_random: int = 140_000, threshold: int = 700_000, seed: int = 42
+) -> DataFrame:
+    """The most popular queries plus a hash sample, without duplicates, if the pool is over threshold rows.
+
+    ``pool`` has query and popularity.
+    """
+    if pool.count() <= threshold:
+        return pool
+    top = popular(pool, "popularity", n_top)
+    drawn = sample_rows(pool, n_random, ["query"], seed)
+    return top.unionByName(drawn).dropDuplicates()

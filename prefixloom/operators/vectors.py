@@ -77,6 +77,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _round(x: np.ndarray) -> np.ndarray:
+    """Half away from zero, like SQL round (numpy rounds half to even)."""
+    scale = 10.0**DIGITS
+    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale + 0.0
+
+
 def _term_rows(terms: pd.Series) -> dict:
     where: dict = {}
     for row, ts in enumerate(terms):
@@ -106,7 +112,7 @@ def score_block(queries: pd.DataFrame, pool: pd.DataFrame, k: int) -> pd.DataFra
                 rows = where.get(t)
                 if rows is not None:
                     score[rows] += w * weight[rows]
-        score = np.round(score + bias, DIGITS) + 0.0
+        score = _round(score + bias)
         floor = np.partition(score, len(score) - keep)[len(score) - keep]
         near = np.flatnonzero(score >= floor)
         top = near[np.argsort(-score[near], kind="stable")[:keep]]
