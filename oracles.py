@@ -32,7 +32,8 @@ def grams(c):
     t = f"replace({c}, ' ', '')"
     return (
         f"CASE WHEN length({t}) < 3 THEN [{t}] ELSE "
-        f"list_distinct(list_transform(range(1, length({t}) - 1), lambda i: substr({t}, i, 3))) END"
+        f"list_distinct(list_concat(regexp_extract_all({t}, '...'), regexp_extract_all(substr({t}, 2), '...'), "
+        f"regexp_extract_all(substr({t}, 3), '...'))) END"
     )
 
 

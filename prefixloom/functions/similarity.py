@@ -208,7 +208,7 @@ def partial_ratio(a: Column | str, b: Column | str) -> Column:
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     """Ratio of the blank-separated tokens in sorted order."""
-    return ratio_udf(*[F.array_join(F.array_sort(tokenize(c)), " ") for c in (a, b)])
+    return ratio_udf(*[F.array_join(F.sort_array(tokenize(c)), " ") for c in (a, b)])
 
 
 def register(spark: SparkSession) -> None:

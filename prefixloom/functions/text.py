@@ -54,6 +54,18 @@ def char_trigrams(c: Column | str) -> Column:
     return F.when(F.length(text) < 3, F.array(text)).otherwise(F.array_distinct(windows))
 
 
+def gram_codes(grams: Column) -> Column:
+    """Grams of strictly normalised text as integers, one per distinct gram.
+
+    Such text is ASCII, so three characters fill three bytes; integer sets are
+    smaller to shuffle and much faster to intersect than strings.
+    """
+    return F.transform(
+        grams,
+        lambda g: F.ascii(g) * 65536 + F.ascii(F.substring(g, 2, 1)) * 256 + F.ascii(F.substring(g, 3, 1)),
+    )
+
+
 def block_key(c: Column | str) -> Column:
     """First three characters of the lower-cased text."""
     return F.substring(F.lower(col(c)), 1, 3)

@@ -44,7 +44,7 @@ def prefix_queries(train: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
     # broadcast side: prefixes with over page_rows distinct queries, at most pairs / page_rows
     keyed = pairs.join(F.broadcast(many), "prefix", "left").withColumn("page", page)
     rows = keyed.groupBy("prefix", "page").agg(
-        F.array_sort(F.collect_list(F.struct("query", "freq"))).alias("r")
+        F.sort_array(F.collect_list(F.struct("query", "freq"))).alias("r")
     )
     return rows.select(
         "prefix", "page",
@@ -116,7 +116,7 @@ def prompt_corpus(train: DataFrame, max_queries: int = 10) -> DataFrame:
     """(prefix, text): 'Prefix: p / Completions: a, b' over the most frequent queries (ties by text)."""
     freq = train.groupBy("prefix", "query").agg(F.count("*").alias("freq"))
     top = top_k(freq, ["prefix"], [F.desc("freq"), F.asc("query")], max_queries)
-    names = F.transform(F.array_sort(F.collect_list(F.struct("rk", "query"))), lambda s: s["query"])
+    names = F.transform(F.sort_array(F.collect_list(F.struct("rk", "query"))), lambda s: s["query"])
     joined = top.groupBy("prefix").agg(F.array_join(names, ", ").alias("qs"))
     text = F.concat(F.lit("Prefix: "), "prefix", F.lit("\nCompletions: "), "qs")
     return joined.select("prefix", text.alias("text"))

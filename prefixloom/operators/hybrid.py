@@ -52,7 +52,7 @@ def sparse_prefixes(prefixes: DataFrame, pool: DataFrame, n_buckets: int | None
     terms = p.select("prefix", F.explode(term_set("prefix", n_buckets)).alias("term"))
     idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 0.5))
     rows = terms.join(term_df(pool, n_buckets), "term", "left").withColumn("idf", idf)
-    lists = rows.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t"))
+    lists = rows.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
     total = F.aggregate("t", F.lit(0.0), lambda s, x: s + x["idf"])
     none = F.array().cast("array<struct<term:string,idf:double>>")
     return p.join(lists, "prefix", "left").withColumn("t", F.coalesce("t", none)).select(

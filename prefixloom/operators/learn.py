@@ -55,7 +55,7 @@ def groups(train: DataFrame, cands: DataFrame, n_neg: int = NEGATIVES, seed: int
         F.coalesce(others, F.array().cast("array<string>")),
         lambda q: F.struct(stable_hash("row_id", q, seed=seed).alias("h"), q.alias("query")),
     )
-    chosen = F.transform(F.slice(F.array_sort(drawn), 1, n_neg), lambda s: s["query"])
+    chosen = F.transform(F.slice(F.sort_array(drawn), 1, n_neg), lambda s: s["query"])
     truth = F.struct(F.col("query").alias("query"), F.lit(True).alias("is_truth"))
     false = F.transform(chosen, lambda q: F.struct(q.alias("query"), F.lit(False).alias("is_truth")))
     return rows.select(

@@ -3,9 +3,9 @@
 The trigram and BM25 top-k are exact, but do not join every prefix with every
 posting of its common terms. Both run in two steps:
 
-1. The best ``head_k`` postings of each term are kept in a small table. Joining
-   them gives each prefix at least k scored queries if there are that many, and
-   so a lower bound for its k-th best score.
+1. A few postings of each term are kept in a table of their own. Scoring those of
+   a prefix's terms gives a lower bound for its k-th best score; with fewer than
+   k of them there is no bound and nothing is skipped.
 2. A posting is joined only if an upper bound of any score first reached
    through it is not below that bound. Terms are tried in a fixed order per
    prefix and a query counts at the first term it shares, so no pair comes twice
@@ -21,17 +21,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import jaccard, rounded
 from ..functions.similarity import ratio
-from ..functions.text import char_trigrams, leading_edges, normalize_strict, tokenize
+from ..functions.text import char_trigrams, gram_codes, leading_edges, normalize_strict, tokenize
 from ..schemas import require
 from .ranking import best, popular, top_k
 
 CELL_ROWS = 1_000_000
-HEAD_K = 30
 EDGE_LEN = 15
 EDGE_CAP = 500
 
@@ -74,21 +73,21 @@ def _cells(postings: DataFrame, keys: list[str]) -> DataFrame:
     return postings.groupBy(*keys).agg(F.count("*").alias("cnt"), salts.alias("salts"))
 
 
-def _kth(ranked: Column, k: int) -> Column:
-    return F.try_element_at(ranked, F.lit(k))
-
-
 def _reaches(score: Column, query: Column) -> Column:
     """At least as good as the k-th row known so far; true if there is none."""
     floor = F.col("floor")
-    return floor.isNull() | (score > floor["s"]) | ((score == floor["s"]) & (query <= floor["query"]))
+    return floor.isNull() | (score > -floor["neg"]) | ((score == -floor["neg"]) & (query <= floor["query"]))
+
+
+def _can_reach(bound: Column) -> Column:
+    return F.col("floor").isNull() | (bound >= -F.col("floor")["neg"])
 
 
-def _ranked_heads(candidates: Column, score, k: int) -> Column:
-    """The k-th best (score, query) of an array of queries, null if there are fewer."""
-    pairs = F.transform(candidates, lambda q: F.struct((-score(q)).alias("neg"), q.alias("query")))
-    kth = _kth(F.array_sort(pairs), k)
-    return F.when(kth.isNotNull(), F.struct((-kth["neg"]).alias("s"), kth["query"].alias("query")))
+def _kth_head(candidates: Column, score, k: int) -> Column:
+    """The k-th best of an array of structs with a query, as (neg, query); null if there are fewer."""
+    pairs = F.transform(candidates, lambda c: F.struct((-score(c)).alias("neg"), c["query"].alias("query")))
+    # sort_array compares structs natively; array_sort would run a lambda per comparison
+    return F.try_element_at(F.sort_array(pairs), F.lit(k))
 
 
 # ---------------------------------------------------------------- trigrams
@@ -101,70 +100,81 @@ class TrigramIndex(Index):
     heads: DataFrame
 
 
-def trigram_index(pool: DataFrame, head_k: int = HEAD_K) -> TrigramIndex:
-    """postings(gram, n_grams, query, salt), cells(gram, n_grams, cnt, salts), heads(gram, query)."""
-    grams = char_trigrams(normalize_strict("query"))
-    docs = pool.select("query", grams.alias("grams")).withColumn("n_grams", F.size("grams"))
-    flat = docs.select(F.explode("grams").alias("gram"), "n_grams", "query")
-    cells = _cells(flat, ["gram", "n_grams"])
-    heads = top_k(flat, ["gram"], [F.asc("n_grams"), F.asc("query")], head_k, "hk")
-    return TrigramIndex(
-        _split_cells(flat, cells, ["gram", "n_grams"]), cells, heads.select("gram", "query")
-    )
+def trigram_index(pool: DataFrame, head_rows: int = 10) -> TrigramIndex:
+    """postings(gram, n_grams, query, grams, salt), cells(gram, n_grams, cnt, salts), heads.
+
+    Grams are integer codes. heads holds head_rows postings of every cell.
+    """
+    codes = gram_codes(char_trigrams(normalize_strict("query")))
+    docs = pool.select("query", codes.alias("grams"))
+    flat = docs.select(F.explode("grams").alias("gram"), F.size("grams").alias("n_grams"), "query", "grams")
+    keys = ["gram", "n_grams"]
+    cells = _cells(flat, keys)
+    heads = top_k(flat, keys, [F.asc("query")], head_rows, "hk").drop("hk")
+    return TrigramIndex(_split_cells(flat, cells, keys), cells, heads)
 
 
-def trigram_topk(prefixes: DataFrame, index: TrigramIndex, k: int = 10) -> DataFrame:
+def trigram_topk(prefixes: DataFrame, index: TrigramIndex, k: int = 10, rare: int = 4) -> DataFrame:
     """(prefix, query, score, rk): trigram Jaccard over pairs sharing at least one gram.
 
-    k may be up to the ``head_k`` the index was built with.
+    The first bound comes from the heads of the ``rare`` rarest matching grams,
+    closest sizes first, until k rows per gram are seen.
     """
-    p = distinct_prefixes(prefixes).withColumn("pg", char_trigrams(normalize_strict("prefix")))
-    q_grams = char_trigrams(normalize_strict("query"))
-    terms = p.select("prefix", "pg", F.explode("pg").alias("gram"))
+    p = distinct_prefixes(prefixes)
+    p = p.withColumn("pg", gram_codes(char_trigrams(normalize_strict("prefix"))))
     gram_rows = index.cells.groupBy("gram").agg(F.sum("cnt").alias("df"))
 
-    # per prefix: grams rarest first, and the k-th best score among the heads
-    stats = terms.join(gram_rows, "gram", "left").groupBy("prefix").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g")
+    # per prefix: grams rarest first; those in no query come first and match nothing
+    ordered = (
+        p.select("prefix", F.explode("pg").alias("gram"))
+        .join(gram_rows, "gram", "left")
+        .groupBy("prefix")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+        .select(
+            "prefix",
+            F.transform("g", lambda s: s["gram"]).alias("pg"),
+            F.size(F.filter("g", lambda s: s["df"] == 0)).alias("unseen"),
+        )
+    )
+    # first shared gram at pos: the pos rarer grams are not shared
+    n_p = F.size("pg")
+    most = F.least(n_p - F.col("pos"), F.col("n_grams"))
+    probes = (
+        ordered.select("prefix", "pg", "unseen", F.posexplode("pg").alias("pos", "gram"))
+        .join(index.cells, "gram")
+        .withColumn("bound", rounded(most / (n_p + F.col("n_grams") - most)))
+    )
+
+    head_rows = F.least("cnt", F.lit(10))
+    seen = Window.partitionBy("prefix", "pos").orderBy(F.desc("bound"), F.asc("n_grams"))
+    first = (
+        probes.filter(F.col("pos") < F.col("unseen") + rare)
+        .withColumn("before", F.sum(head_rows).over(seen.rowsBetween(Window.unboundedPreceding, -1)))
+        .filter(F.coalesce("before", F.lit(0)) < k)
+        .select("prefix", "gram", "n_grams")
     )
     heads = (
-        terms.join(index.heads, "gram")
+        first.join(index.heads, ["gram", "n_grams"])
         .groupBy("prefix")
-        .agg(F.first("pg").alias("pg"), F.collect_set("query").alias("found"))
+        .agg(F.collect_set(F.struct("query", "grams")).alias("found"))
     )
     pg = F.col("pg")
-    floors = heads.select(
-        "prefix",
-        _ranked_heads(
-            F.col("found"),
-            lambda q: rounded(jaccard(pg, char_trigrams(normalize_strict(q)))),
-            k,
-        ).alias("floor"),
-    )
-    order = F.transform("g", lambda s: s["gram"])
-    probes = (
-        stats.join(floors, "prefix")
-        .select("prefix", "floor", order.alias("pg"), F.posexplode("g").alias("pos", "s"))
-        .select("prefix", "floor", "pg", "pos", F.col("s.gram").alias("gram"))
-        .join(index.cells.select("gram", "n_grams", "salts"), "gram")
+    floors = ordered.join(heads, "prefix").select(
+        "prefix", _kth_head(F.col("found"), lambda c: rounded(jaccard(pg, c["grams"])), k).alias("floor")
     )
-    # first shared gram at pos: pos rarer grams are not shared
-    n_p = F.size("pg")
-    most = F.least(n_p - F.col("pos"), F.col("n_grams"))
-    bound = rounded(most / (n_p + F.col("n_grams") - most))
-    probes = (
-        probes.withColumn("bound", bound)
-        .filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")["s"]))
+    open_cells = (
+        probes.join(floors, "prefix")
+        .filter(_can_reach(F.col("bound")))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("salts")
-    )
-    met = probes.join(index.postings, ["gram", "n_grams", "salt"]).filter(
-        _reaches(F.col("bound"), F.col("query"))
+        .select("prefix", "floor", "pg", "pos", "gram", "n_grams", "salt", "bound")
     )
+    shared = F.size(F.array_intersect("pg", "grams"))
     scored = (
-        met.withColumn("qg", q_grams)
-        .filter(~F.arrays_overlap(F.slice("pg", F.lit(1), F.col("pos")), F.col("qg")))
-        .withColumn("score", rounded(jaccard(F.col("pg"), F.col("qg"))))
+        open_cells.join(index.postings, ["gram", "n_grams", "salt"])
+        .filter(_reaches(F.col("bound"), F.col("query")))
+        .filter(~F.arrays_overlap(F.slice("pg", F.lit(1), F.col("pos")), F.col("grams")))
+        .withColumn("shared", shared)
+        .withColumn("score", rounded(F.col("shared") / (n_p + F.col("n_grams") - F.col("shared"))))
         .filter(_reaches(F.col("score"), F.col("query")))
         .select("prefix", "query", "score")
     )
@@ -212,7 +222,7 @@ def bm25_corpus(pool: DataFrame) -> DataFrame:
     return pool.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
 
 
-def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0.25, head_k: int = HEAD_K) -> Bm25Index:
+def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0.25, head_rows: int = 128) -> Bm25Index:
     """Okapi statistics and postings.
 
     A token in more than half of the pool has a negative idf; it gets eps times
@@ -223,7 +233,7 @@ def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0
     avgdl = corpus.select("avgdl").scalar()
     docs = pool.select("query", tokenize(normalize_strict("query")).alias("ts"))
     flat = docs.select("query", "ts", F.explode(F.array_distinct("ts")).alias("token")).select(
-        "token", _count_in(F.col("ts"), F.col("token")).alias("tf"), F.size("ts").alias("dl"), "query"
+        "token", _count_in(F.col("ts"), F.col("token")).alias("tf"), F.size("ts").alias("dl"), "query", "ts"
     )
     keys = ["token", "tf", "dl"]
     cells = _cells(flat, keys).withColumn("impact", _impact(F.col("tf"), F.col("dl"), avgdl, k1, b))
@@ -241,9 +251,9 @@ def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0
     # more occurrences in a shorter query always weigh more
     heads = top_k(
         flat.withColumn("w", _impact(F.col("tf"), F.col("dl"), avgdl, k1, b)),
-        ["token"], [F.desc("w"), F.asc("query")], head_k, "hk",
+        ["token"], [F.desc("w"), F.asc("query")], head_rows, "hk",
     )
-    return Bm25Index(_split_cells(flat, cells, keys), cells, heads.select("token", "query"), tokens)
+    return Bm25Index(_split_cells(flat, cells, keys), cells, heads.select("token", "query", "ts"), tokens)
 
 
 def bm25_stats(index: Bm25Index) -> DataFrame:
@@ -253,11 +263,12 @@ def bm25_stats(index: Bm25Index) -> DataFrame:
     )
 
 
-def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
+def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20, strong: int = 2) -> DataFrame:
     """(prefix, query, score, rk): BM25 over queries sharing at least one token.
 
-    A token repeated in the prefix counts each time. k may be up to the
-    ``head_k`` the index was built with.
+    A token repeated in the prefix counts each time. The first bound comes from
+    the heads of its ``strong`` strongest tokens, and of more until those are in
+    k queries.
     """
     p = distinct_prefixes(prefixes).withColumn("ts", tokenize(normalize_strict("prefix")))
     terms = p.select("prefix", "ts", F.explode(F.array_distinct("ts")).alias("token")).select(
@@ -266,18 +277,17 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
     # per prefix: its terms, the strongest possible contribution first
     t = index.tokens
     weighted = terms.join(t, "token").select(
-        "prefix", "token", "avgdl", "k1", "b",
+        "prefix", "token", "df", "avgdl", "k1", "b",
         (F.col("qtf") * F.col("idf")).alias("w"),
         F.greatest(F.lit(0.0), F.col("qtf") * F.col("top")).alias("most"),
     )
     plan = weighted.groupBy("prefix").agg(
-        F.array_sort(
-            F.collect_list(F.struct((-F.col("most")).alias("neg"), "token", "w", "avgdl", "k1", "b"))
+        F.sort_array(
+            F.collect_list(F.struct((-F.col("most")).alias("neg"), "token", "w", "df", "avgdl", "k1", "b"))
         ).alias("plan")
     )
 
-    def score(query: Column) -> Column:
-        ts = tokenize(normalize_strict(query))
+    def score(ts: Column) -> Column:
         dl = F.size(ts)
 
         def part(s: Column) -> Column:
@@ -287,16 +297,21 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
 
         return rounded(F.aggregate("plan", F.lit(0.0), lambda acc, s: acc + part(s)))
 
+    at = F.col("pos")
+    rows_before = F.aggregate(
+        F.slice("plan", F.lit(1), at), F.lit(0).cast("bigint"), lambda acc, s: acc + s["df"]
+    )
     found = (
-        weighted.select("prefix", "token")
+        plan.select("prefix", "plan", F.posexplode("plan").alias("pos", "s"))
+        .filter((at < strong) | (rows_before < k))
+        .select("prefix", F.col("s.token").alias("token"))
         .join(index.heads, "token")
         .groupBy("prefix")
-        .agg(F.collect_set("query").alias("found"))
+        .agg(F.collect_set(F.struct("query", "ts")).alias("found"))
     )
     floors = plan.join(found, "prefix").select(
-        "prefix", "plan", _ranked_heads(F.col("found"), score, k).alias("floor")
+        "prefix", "plan", _kth_head(F.col("found"), lambda c: score(c["ts"]), k).alias("floor")
     )
-    at = F.col("pos")
     rest = F.aggregate(
         F.slice("plan", at + 2, F.size("plan")), F.lit(0.0), lambda acc, s: acc - s["neg"]
     )
@@ -305,7 +320,7 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
         .select("prefix", "plan", "floor", "pos", F.col("s.token").alias("token"), F.col("s.w").alias("w"), rest.alias("rest"))
         .join(index.cells.select("token", "tf", "dl", "impact", "salts"), "token")
         .withColumn("bound", rounded(F.col("w") * F.col("impact") + F.col("rest") + 1e-9))
-        .filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")["s"]))
+        .filter(_can_reach(F.col("bound")))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select("prefix", "plan", "floor", "pos", "token", "tf", "dl", "salt", "bound")
     )
@@ -313,8 +328,8 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20) -> DataFrame:
     scored = (
         probes.join(index.postings, ["token", "tf", "dl", "salt"])
         .filter(_reaches(F.col("bound"), F.col("query")))
-        .filter(~F.arrays_overlap(earlier, tokenize(normalize_strict("query"))))
-        .withColumn("score", score(F.col("query")))
+        .filter(~F.arrays_overlap(earlier, F.col("ts")))
+        .withColumn("score", score(F.col("ts")))
         .filter(_reaches(F.col("score"), F.col("query")))
         .select("prefix", "query", "score")
     )

@@ -28,6 +28,12 @@ def best(score: str = "score", tie: str = "query") -> list[Column]:
     return [F.desc(score), F.asc(tie)]
 
 
+def _around(low: float, high: float, n: int) -> tuple[float, float]:
+    """Shares that surely enclose [low, high]: twice the rank error of the sketch, and two rows."""
+    slack = 2.0 / ACCURACY + 2.0 / n
+    return max(low - slack, 0.0), min(high + slack, 1.0)
+
+
 def ranked_values(
     df: DataFrame, columns: Sequence[str], targets: Sequence[float]
 ) -> dict[str, list[float]]:
@@ -38,15 +44,11 @@ def ranked_values(
     per distinct value, are then sorted (one window per column). A handful of
     numbers per column comes back to the driver.
     """
-    slack = 2.0 / ACCURACY
-    lo_p, hi_p = max(min(targets) - slack, 0.0), min(max(targets) + slack, 1.0)
-    aggs = [F.count("*").alias("_n")]
-    for c in columns:
-        aggs.append(F.percentile_approx(c, [lo_p, hi_p], ACCURACY).alias(c))
-    bounds = df.agg(*aggs).first()
-    n = bounds["_n"]
+    n = df.count()
     if not n:
         return {c: [float("nan")] * len(targets) for c in columns}
+    lo_p, hi_p = _around(min(targets), max(targets), n)
+    bounds = df.agg(*[F.percentile_approx(c, [lo_p, hi_p], ACCURACY).alias(c) for c in columns]).first()
     edge = {
         c: (None if lo_p == 0.0 else bounds[c][0], None if hi_p == 1.0 else bounds[c][1]) for c in columns
     }
@@ -64,7 +66,7 @@ def ranked_values(
         (F.lit(0) if edge[c][0] is None else F.count_if(F.col(c) < F.lit(edge[c][0]))).cast("bigint").alias(c)
         for c in columns
     ]
-    below = df.agg(F.count("*").alias("_n"), *lows).first()
+    below = df.agg(*lows).first()
     entry = F.explode(
         F.array(*[F.struct(F.lit(c).alias("name"), F.when(inside(c), F.col(c)).alias("v")) for c in columns])
     )
@@ -116,8 +118,7 @@ def kth_smallest(df: DataFrame, column: str, k: int, total: int) -> float:
     percentile_approx returns column values with a bounded rank error; only the
     values it brackets are sorted.
     """
-    slack = 2.0 / ACCURACY
-    lo_p, hi_p = max(k / total - slack, 0.0), min((k + 1) / total + slack, 1.0)
+    lo_p, hi_p = _around(k / total, (k + 1) / total, total)
     lo, hi = df.agg(F.percentile_approx(column, [lo_p, hi_p], ACCURACY)).first()[0]
     c = F.col(column)
     low = F.lit(False) if lo_p == 0.0 else c < F.lit(lo)

@@ -130,7 +130,7 @@ def _result_schema(queries: DataFrame, pool: DataFrame) -> T.StructType:
     )
 
 
-def block_topk(queries: DataFrame, pool: DataFrame, k: int, keep: list[str] | None = None) -> DataFrame:
+def block_topk(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """Top-k within equal ``cell`` values: queries(cell, qid, vec..), pool(cell, pid, vec..).
 
     A cell is cut into hash blocks on both sides, QUERY_BLOCK by POOL_BLOCK rows,
@@ -161,9 +161,11 @@ def block_topk(queries: DataFrame, pool: DataFrame, k: int, keep: list[str] | No
     def local(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ps):
             return pd.DataFrame({"qid": [], "pid": [], "score": []})
-        return score_block(qs, ps, k)
+        return score_block(qs.rename(columns=lambda c: c.removeprefix("q_")), ps, k)
 
     keys = ["cell", "qb", "pb"]
+    # own names on the query side: both sides may come from one table
+    q = q.withColumnsRenamed({c: f"q_{c}" for c in q.columns if c not in keys})
     found = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(local, schema)
     return top_k(found, ["qid"], best("score", "pid"), k)
 

@@ -143,7 +143,7 @@ def tokenize_words(t):
 @query
 def char_trigrams(t):
     grams = text.char_trigrams(text.normalize_strict("text"))
-    return _token_report(_documents(t, F.array_sort(grams).alias("tokens")))
+    return _token_report(_documents(t, F.sort_array(grams).alias("tokens")))
 
 
 @query

@@ -13,6 +13,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # a small row here starts much work (one prefix, many comparisons)
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     }.items():
@@ -27,6 +29,7 @@ def local(cores: int = 8, memory: str = "8g", name: str = "prefixloom") -> Spark
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .getOrCreate()
     )

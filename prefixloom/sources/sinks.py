@@ -27,7 +27,7 @@ def wide(prefixes: DataFrame, ranked: DataFrame, k: int = 10) -> DataFrame:
 
 def lists(ranked: DataFrame) -> DataFrame:
     """One array of queries per prefix in rank order; a ranked result holds at most k rows each."""
-    ordered = F.array_sort(F.collect_list(F.struct("rk", "query")))
+    ordered = F.sort_array(F.collect_list(F.struct("rk", "query")))
     return ranked.groupBy("prefix").agg(
         F.transform(ordered, lambda s: s["query"]).alias("retrieved_queries")
     )

@@ -89,7 +89,7 @@ def summary(tables: dict[str, tuple[DataFrame, str]], n: int = 3) -> DataFrame:
     for name, (df, column) in tables.items():
         counts = df.agg(F.count("*").alias("n_rows"))
         first = df.select(F.col(column).alias("v")).distinct().orderBy("v").limit(n)
-        sample = first.agg(F.array_join(F.array_sort(F.collect_list("v")), " / ").alias("s")).scalar()
+        sample = first.agg(F.array_join(F.sort_array(F.collect_list("v")), " / ").alias("s")).scalar()
         row = counts.select(F.lit(name).alias("table_name"), "n_rows", sample.alias("sample"))
         out = row if out is None else out.unionByName(row)
     return out
