@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import l2_normalize, popularity_max_norm, rounded
 from ..functions.text import block_key, tokenize_words
 from .candidates import with_engagement
+from .lexical import Keep, lazy
 from .ranking import best, top_k
 from .vectors import block_topk, vector_topk
 
@@ -45,13 +46,15 @@ def term_df(pool: DataFrame, n_buckets: int | None = N_BUCKETS) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def sparse_prefixes(prefixes: DataFrame, pool: DataFrame, n_buckets: int | None = N_BUCKETS) -> DataFrame:
-    """(prefix, terms, term_weights): idf shares of the distinct terms, summing to 1."""
+def sparse_prefixes(
+    prefixes: DataFrame, pool: DataFrame, df: DataFrame, n_buckets: int | None = N_BUCKETS
+) -> DataFrame:
+    """(prefix, terms, term_weights): idf shares of the distinct terms, summing to 1; df from term_df."""
     n = pool.agg(F.count("*")).scalar()
     p = prefixes.select("prefix").distinct()
     terms = p.select("prefix", F.explode(term_set("prefix", n_buckets)).alias("term"))
     idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 0.5))
-    rows = terms.join(term_df(pool, n_buckets), "term", "left").withColumn("idf", idf)
+    rows = terms.join(df, "term", "left").withColumn("idf", idf)
     lists = rows.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
     total = F.aggregate("t", F.lit(0.0), lambda s, x: s + x["idf"])
     none = F.array().cast("array<struct<term:string,idf:double>>")
@@ -73,21 +76,19 @@ class HybridIndex:
 
     def __init__(
         self, pool: DataFrame, features: DataFrame, vecs: DataFrame,
-        n_buckets: int | None = N_BUCKETS, popularity_weight: float = 0.15,
+        n_buckets: int | None = N_BUCKETS, popularity_weight: float = 0.15, keep: Keep = lazy,
     ):
         self.pool, self.n_buckets = pool, n_buckets
         counts = with_engagement(pool.select("query"), features)
         bias = (popularity_max_norm(counts) * popularity_weight).alias("bias")
         self.vecs = vecs.select(F.col("query").alias("pid"), "vec")
-        self.extras = (
-            sparse_pool(pool, n_buckets)
-            .join(counts.select("query", bias), "query")
-            .withColumnRenamed("query", "pid")
-        )
+        extras = sparse_pool(pool, n_buckets).join(counts.select("query", bias), "query")
+        self.extras = keep(extras, "extras").withColumnRenamed("query", "pid")
+        self.term_df = keep(term_df(pool, n_buckets), "term_df")
 
     def prefix_side(self, prefixes: DataFrame, prefix_vecs: DataFrame, alpha: float) -> DataFrame:
         """(qid, vec, terms, term_weights) with both parts at unit length and weighted by alpha."""
-        sparse = sparse_prefixes(prefixes, self.pool, self.n_buckets)
+        sparse = sparse_prefixes(prefixes, self.pool, self.term_df, self.n_buckets)
         joined = sparse.join(prefix_vecs, "prefix")
         return joined.select(
             F.col("prefix").alias("qid"),

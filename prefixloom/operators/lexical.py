@@ -19,6 +19,7 @@ are cut further by a hash of the query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,22 +40,21 @@ def distinct_prefixes(prefixes: DataFrame) -> DataFrame:
     return require(prefixes, "prefix").select("prefix").distinct()
 
 
+# How a table of an index is held: as the lazy DataFrame it is, or written first.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def lazy(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 @dataclass
 class Index:
-    """Tables that make up an index; can be written to and read from a folder."""
-
-    def write(self, folder: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
+    """Tables that make up an index, read back from the folder they were kept in."""
 
     @classmethod
-    def read(cls, spark: SparkSession, folder: str):
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
-
-    def saved(self, spark: SparkSession, folder: str):
-        """Write, then continue from the written files."""
-        self.write(folder)
-        return type(self).read(spark, folder)
+    def read(cls, spark: SparkSession, folder: str, prefix: str):
+        return cls(**{f.name: spark.read.parquet(f"{folder}/{prefix}_{f.name}") for f in fields(cls)})
 
 
 def _split_cells(postings: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,18 +100,20 @@ class TrigramIndex(Index):
     heads: DataFrame
 
 
-def trigram_index(pool: DataFrame, head_rows: int = 10) -> TrigramIndex:
+def trigram_index(pool: DataFrame, head_rows: int = 10, keep: Keep = lazy) -> TrigramIndex:
     """postings(gram, n_grams, query, grams, salt), cells(gram, n_grams, cnt, salts), heads.
 
     Grams are integer codes. heads holds head_rows postings of every cell.
     """
     codes = gram_codes(char_trigrams(normalize_strict("query")))
-    docs = pool.select("query", codes.alias("grams"))
+    docs = keep(pool.select("query", codes.alias("grams")), "trigram_docs")
     flat = docs.select(F.explode("grams").alias("gram"), F.size("grams").alias("n_grams"), "query", "grams")
     keys = ["gram", "n_grams"]
-    cells = _cells(flat, keys)
+    cells = keep(_cells(flat, keys), "trigram_cells")
     heads = top_k(flat, keys, [F.asc("query")], head_rows, "hk").drop("hk")
-    return TrigramIndex(_split_cells(flat, cells, keys), cells, heads)
+    return TrigramIndex(
+        keep(_split_cells(flat, cells, keys), "trigram_postings"), cells, keep(heads, "trigram_heads")
+    )
 
 
 def trigram_topk(prefixes: DataFrame, index: TrigramIndex, k: int = 10, rare: int = 4) -> DataFrame:
@@ -216,27 +218,24 @@ def _count_in(tokens: Column, token: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t == token))
 
 
-def bm25_corpus(pool: DataFrame) -> DataFrame:
-    """One row: number of queries and mean number of tokens."""
-    n = F.size(tokenize(normalize_strict("query")))
-    return pool.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avgdl"))
-
-
-def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0.25, head_rows: int = 128) -> Bm25Index:
+def bm25_index(
+    pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0.25, head_rows: int = 128, keep: Keep = lazy
+) -> Bm25Index:
     """Okapi statistics and postings.
 
     A token in more than half of the pool has a negative idf; it gets eps times
     the mean idf of the vocabulary instead.
     """
-    corpus = bm25_corpus(pool)
+    docs = keep(pool.select("query", tokenize(normalize_strict("query")).alias("ts")), "bm25_docs")
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
     n_docs = corpus.select("n_docs").scalar()
     avgdl = corpus.select("avgdl").scalar()
-    docs = pool.select("query", tokenize(normalize_strict("query")).alias("ts"))
     flat = docs.select("query", "ts", F.explode(F.array_distinct("ts")).alias("token")).select(
         "token", _count_in(F.col("ts"), F.col("token")).alias("tf"), F.size("ts").alias("dl"), "query", "ts"
     )
     keys = ["token", "tf", "dl"]
     cells = _cells(flat, keys).withColumn("impact", _impact(F.col("tf"), F.col("dl"), avgdl, k1, b))
+    cells = keep(cells, "bm25_cells")
     by_token = cells.groupBy("token").agg(
         F.sum("cnt").alias("df"), F.max("impact").alias("hi"), F.min("impact").alias("lo")
     )
@@ -253,7 +252,10 @@ def bm25_index(pool: DataFrame, k1: float = 1.2, b: float = 0.75, eps: float = 0
         flat.withColumn("w", _impact(F.col("tf"), F.col("dl"), avgdl, k1, b)),
         ["token"], [F.desc("w"), F.asc("query")], head_rows, "hk",
     )
-    return Bm25Index(_split_cells(flat, cells, keys), cells, heads.select("token", "query", "ts"), tokens)
+    return Bm25Index(
+        keep(_split_cells(flat, cells, keys), "bm25_postings"), cells,
+        keep(heads.select("token", "query", "ts"), "bm25_heads"), keep(tokens, "bm25_tokens"),
+    )
 
 
 def bm25_stats(index: Bm25Index) -> DataFrame:

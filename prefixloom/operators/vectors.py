@@ -24,7 +24,8 @@ from ..functions.scores import DIGITS, l2_normalize
 from ..functions.text import normalize_strict
 from .ranking import best, top_k
 
-BROADCAST_VALUES = 4_000_000  # doubles: 32 MB
+BROADCAST_ROWS = 20_000
+BROADCAST_VALUES = 8_000_000  # doubles: 64 MB
 QUERY_BLOCK = 2_048
 POOL_BLOCK = 16_384
 EMBED_DIM = 64
@@ -177,12 +178,11 @@ def vector_topk(queries: DataFrame, pool: DataFrame, k: int = 20, metric: str =
     distance 2-2cos of the same neighbours instead.
     """
     one = queries.select("qid", "vec")
-    dim = one.select(F.size("vec")).first()
-    cap = BROADCAST_VALUES // max(dim[0] if dim else 1, 1)
     # one row more than the cap tells whether the side is small enough
-    small = one.limit(cap + 1).count() <= cap
-    if small:
-        out = top_k(_broadcast_topk(one, pool, k), ["qid"], best("score", "pid"), k)
+    head = one.limit(BROADCAST_ROWS + 1).toPandas()
+    values = len(head) * len(head["vec"].iloc[0]) if len(head) else 0
+    if len(head) <= BROADCAST_ROWS and values <= BROADCAST_VALUES:
+        out = top_k(_broadcast_topk(one, head, pool, k), ["qid"], best("score", "pid"), k)
     else:
         q = one.withColumn("cell", F.lit(0))
         out = block_topk(q, pool.withColumn("cell", F.lit(0)), k)
@@ -191,10 +191,10 @@ def vector_topk(queries: DataFrame, pool: DataFrame, k: int = 20, metric: str =
     return out
 
 
-def _broadcast_topk(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    """At most k rows per query and partition; the query side is at most BROADCAST_VALUES numbers."""
+def _broadcast_topk(queries: DataFrame, rows: pd.DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """At most k rows per query and partition; ``rows`` are all rows of queries, within the caps above."""
     schema = _result_schema(queries, pool)
-    shared = pool.sparkSession.sparkContext.broadcast(queries.toPandas())
+    shared = pool.sparkSession.sparkContext.broadcast(rows)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qs, found = shared.value, None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.scores import popularity_4321
 from ..operators.candidates import BM25_K, FINAL_K, FUZZY_K, SEMANTIC_K, candidates, rerank, with_engagement
 from ..operators.lexical import (
-    Bm25Index, TrigramIndex, bm25_index, bm25_topk, distinct_prefixes, popular_queries, short_prefix,
-    trigram_index, trigram_topk,
+    Bm25Index, Keep, TrigramIndex, bm25_index, bm25_topk, distinct_prefixes, lazy, popular_queries,
+    short_prefix, trigram_index, trigram_topk,
 )
 from ..operators.vectors import embed, hashed_trigram_encoder, semantic_topk
 
+POPULAR_N = 1000  # fixed value: length of the popular list
+
 
 @dataclass
 class Engine:
@@ -24,36 +27,34 @@ class Engine:
     trigrams: TrigramIndex
     bm25: Bm25Index
     vectors: DataFrame
-    make_encoder: object = hashed_trigram_encoder
+    popular: DataFrame
+    make_encoder: Callable = hashed_trigram_encoder
 
     @classmethod
-    def build(cls, pool: DataFrame, features: DataFrame, make_encoder=hashed_trigram_encoder) -> Engine:
-        """All indexes as lazy DataFrames; see ``saved`` for reuse over many batches."""
+    def build(
+        cls, pool: DataFrame, features: DataFrame, make_encoder: Callable = hashed_trigram_encoder, keep: Keep = lazy
+    ) -> Engine:
+        """All tables, each held by ``keep``: written once (``store``) for reuse over batches, or lazy."""
+        pool, features = keep(pool, "pool"), keep(features, "features")
+        counts = with_engagement(pool.select("query"), features)
         return cls(
-            pool, features, trigram_index(pool), bm25_index(pool),
-            embed(pool.select("query"), "query", make_encoder), make_encoder,
+            pool, features, trigram_index(pool, keep=keep), bm25_index(pool, keep=keep),
+            keep(embed(pool.select("query"), "query", make_encoder), "vectors"),
+            keep(popular_queries(counts, popularity_4321(), POPULAR_N), "popular"),
+            make_encoder,
         )
 
-    def saved(self, folder: str) -> Engine:
-        """Write every table below folder and continue from the files."""
-        spark = self.pool.sparkSession
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str, make_encoder: Callable = hashed_trigram_encoder) -> Engine:
+        """The tables a ``store`` of that folder holds."""
 
-        def table(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{folder}/{name}")
 
-        return Engine(
-            table(self.pool, "pool"), table(self.features, "features"),
-            self.trigrams.saved(spark, f"{folder}/trigrams"), self.bm25.saved(spark, f"{folder}/bm25"),
-            table(self.vectors, "vectors"), self.make_encoder,
-        )
-
-    @classmethod
-    def read(cls, spark: SparkSession, folder: str, make_encoder=hashed_trigram_encoder) -> Engine:
         return cls(
-            spark.read.parquet(f"{folder}/pool"), spark.read.parquet(f"{folder}/features"),
-            TrigramIndex.read(spark, f"{folder}/trigrams"), Bm25Index.read(spark, f"{folder}/bm25"),
-            spark.read.parquet(f"{folder}/vectors"), make_encoder,
+            table("pool"), table("features"),
+            TrigramIndex.read(spark, folder, "trigram"), Bm25Index.read(spark, folder, "bm25"),
+            table("vectors"), table("popular"), make_encoder,
         )
 
     def prefix_vectors(self, prefixes: DataFrame) -> DataFrame:
@@ -73,13 +74,9 @@ class Engine:
     def reranked(self, prefixes: DataFrame, profile: str = "a", k: int = FINAL_K) -> DataFrame:
         return rerank(self.candidates(prefixes), self.features, profile, k)
 
-    def popular(self, n: int = 1000) -> DataFrame:
-        rows = with_engagement(self.pool.select("query"), self.features)
-        return popular_queries(rows, popularity_4321(), n)
-
     def complete(self, prefixes: DataFrame, k: int = FINAL_K, profile: str = "a") -> DataFrame:
         """(prefix, query, score, rk): popular queries for short prefixes, re-ranked candidates for the rest."""
         asked = distinct_prefixes(prefixes)
-        short = short_prefix(asked, self.popular(), k)
+        short = short_prefix(asked, self.popular, k)
         rest = asked.join(short.select("prefix"), "prefix", "left_anti")
         return short.unionByName(self.reranked(rest, profile, k))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,31 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     return fn
 
 
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+def keep(t: Tables) -> Callable[[DataFrame, str], DataFrame]:
+    """Tables derived from one data folder, written once per application."""
+    name = hashlib.md5(t.folder.encode()).hexdigest()[:12]
+    return tables.store(t.spark, f"{tables.shared_folder(t.spark)}/{name}")
+
+
 def engine(t: Tables) -> Engine:
-    return Engine.build(t.pool(), t.features())
+    """Indexes over the pool, built by the first query that needs them."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine.build(t.pool(), t.features(), keep=keep(t))
+    return _ENGINES[key]
 
 
 def pool_counts(t: Tables) -> DataFrame:
     return with_engagement(t.pool(), t.features())
 
 
+def clean_pool(t: Tables) -> DataFrame:
+    return keep(t)(tiers.clean_pool(t.pool(), t.features()), "clean_pool")
+
+
 # ------------------------------------------------------- sources and sinks
 
 
@@ -73,18 +91,12 @@ def dataset_summary(t):
 
 @query
 def index_roundtrip(t):
-    folder = tables.shared_folder(t.spark, _scratch(t.spark))
-    index = lexical.trigram_index(t.pool()).saved(t.spark, f"{folder}/trigrams")
+    folder = f"{tables.shared_folder(t.spark)}/roundtrip-{uuid.uuid4().hex}"
+    lexical.trigram_index(t.pool(), keep=tables.store(t.spark, folder))
+    index = lexical.TrigramIndex.read(t.spark, folder, "trigram")
     return lexical.trigram_topk(t.prefixes(), index, 10)
 
 
-def _scratch(spark: SparkSession) -> str | None:
-    """A local session may use a temporary folder; a cluster names a shared one."""
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    return tempfile.mkdtemp(prefix="prefixloom-")
-
-
 @query
 def submission_wide(t):
     ranked = lexical.prefix_match(t.prefixes(), t.pool(), 10)
@@ -173,7 +185,7 @@ def prefix_length_stats(t):
 
 @query
 def string_similarity(t):
-    pairs = lexical.trigram_topk(t.prefixes(), lexical.trigram_index(t.pool()), 10).select("prefix", "query")
+    pairs = lexical.trigram_topk(t.prefixes(), engine(t).trigrams, 10).select("prefix", "query")
     p, q = text.normalize_strict("prefix"), text.normalize_strict("query")
     return pairs.select(
         "prefix", "query",
@@ -257,7 +269,7 @@ def history_match(t):
 
 
 def _edges(t: Tables) -> DataFrame:
-    return lexical.edge_index(tiers.clean_pool(t.pool(), t.features()), "pop")
+    return keep(t)(lexical.edge_index(clean_pool(t), "pop"), "edges")
 
 
 @query
@@ -291,45 +303,45 @@ def prefix_match(t):
 
 @query
 def bm25_stats(t):
-    return lexical.bm25_stats(lexical.bm25_index(t.pool()))
+    return lexical.bm25_stats(engine(t).bm25)
 
 
 @query
 def bm25_topk(t):
-    return lexical.bm25_topk(t.prefixes(), lexical.bm25_index(t.pool()), 20)
+    return lexical.bm25_topk(t.prefixes(), engine(t).bm25, 20)
 
 
 @query
 def trigram_topk(t):
-    return lexical.trigram_topk(t.prefixes(), lexical.trigram_index(t.pool()), 10)
+    return lexical.trigram_topk(t.prefixes(), engine(t).trigrams, 10)
 
 
 @query
 def fuzzy_topk(t):
     # short prefixes against whole queries stay below the default threshold of 0.7
-    return lexical.fuzzy_topk(t.prefixes(), lexical.trigram_index(t.pool()), 10, threshold=0.4)
+    return lexical.fuzzy_topk(t.prefixes(), engine(t).trigrams, 10, threshold=0.4)
 
 
 @query
 def fuzzy_default(t):
     """Whole pool queries with a dropped character as prefixes: the default threshold is reached."""
     typos = t.pool().select(F.concat(F.substring("query", 1, 1), F.expr("substr(query, 3)")).alias("prefix"))
-    return lexical.fuzzy_topk(typos, lexical.trigram_index(t.pool()), 10)
+    return lexical.fuzzy_topk(typos, engine(t).trigrams, 10)
 
 
 @query
 def popular_queries(t):
-    return engine(t).popular(1000)
+    return engine(t).popular
 
 
 @query
 def short_prefix(t):
-    return lexical.short_prefix(t.prefixes(), engine(t).popular())
+    return lexical.short_prefix(t.prefixes(), engine(t).popular)
 
 
 @query
 def fuzzy_partial(t):
-    pool = tiers.clean_pool(t.pool(), t.features())
+    pool = clean_pool(t)
     keys = t.prefixes().select(text.normalize_loose("prefix").alias("prefix"))
     return tiers.fuzzy_partial_topk(keys, pool)
 
@@ -429,9 +441,14 @@ def hashed_bm25_buckets(t):
 
 
 def _hybrid(t: Tables, n_buckets):
-    vecs = vectors.embed(t.pool(), "query")
-    prefix_vecs = vectors.embed(t.prefixes(), "prefix")
-    return prefix_vecs, hybrid.HybridIndex(t.pool(), t.features(), vecs, n_buckets)
+    e = engine(t)
+    name = "exact" if n_buckets is None else str(n_buckets)
+
+    def hybrid_keep(df: DataFrame, table: str) -> DataFrame:
+        return keep(t)(df, f"hybrid_{name}_{table}")
+
+    index = hybrid.HybridIndex(e.pool, e.features, e.vectors, n_buckets, keep=hybrid_keep)
+    return e.prefix_vectors(t.prefixes()), index
 
 
 @query
@@ -454,9 +471,8 @@ def hybrid_buckets(t):
 
 @query
 def cascade(t):
-    pool = tiers.clean_pool(t.pool(), t.features())
     freq = history.prefix_query_freq(t.train())
-    return tiers.cascade(t.prefixes(), freq, lexical.edge_index(pool, "pop"), pool)
+    return tiers.cascade(t.prefixes(), freq, _edges(t), clean_pool(t))
 
 
 # ------------------------------------------------------------- evaluation
@@ -497,7 +513,7 @@ def graded_labels(t):
 @query
 def pair_features(t):
     e = engine(t)
-    rows = with_engagement(e.candidates(t.prefixes()), t.features())
+    rows = with_engagement(e.candidates(t.prefixes()), e.features)
     return scores.pair_features(rows, ["prefix", "query"])
 
 
@@ -509,7 +525,7 @@ def normalize_features(t):
 def _training(t: Tables) -> DataFrame:
     train = t.train()
     cands = engine(t).candidates(train, fuzzy=False, pruned=False)
-    return learn.training_set(train, cands, t.features())
+    return learn.training_set(train, cands, engine(t).features)
 
 
 @query
@@ -551,7 +567,7 @@ def sample_rows(t):
 
 @query
 def pool_reduce(t):
-    pool = tiers.clean_pool(t.pool(), t.features()).select("query", "popularity")
+    pool = clean_pool(t).select("query", "popularity")
     return ranking.reduce_pool(pool, 500, 125, threshold=600)
 
 

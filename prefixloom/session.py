@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.tables import shared_folder
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings that can be changed on a running session."""
@@ -40,16 +40,9 @@ def local(cores: int = 8, memory: str = "8g", name: str = "prefixloom") -> Spark
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from the files.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session may do
-    without and gets a temporary one.
+    The folder is the session's spark.checkpoint.dir (see shared_folder).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="prefixloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,30 @@ def materialise(
     return spark.read.parquet(path)
 
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """The folder for written tables: spark.checkpoint.dir, or the given default."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
-    if not folder:
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if folder:
+        return f"{folder}/{app}"
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder
+    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="prefixloom-"))
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def store(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A ``keep`` for index builders: every table is written below folder unless it is there."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return materialise(spark, f"{folder}/{name}", lambda: df)
+
+    return keep
 
 
 def clean_features(features: DataFrame) -> DataFrame:
