@@ -71,10 +71,14 @@ def block_key(c: Column | str) -> Column:
     return F.substring(F.lower(col(c)), 1, 3)
 
 
+def hash_text(*cols: Column | str, seed: int = 0) -> Column:
+    """Hash of the columns that does not depend on partitioning, as hex text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols]))
+
+
 def stable_hash(*cols: Column | str, seed: int = 0) -> Column:
-    """60-bit hash that does not depend on partitioning; used for samples and splits."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    """The first 60 bits of ``hash_text`` as a number; used for samples and splits."""
+    return F.conv(F.substring(hash_text(*cols, seed=seed), 1, 15), 16, 10).cast("bigint")
 
 
 def leading_edges(c: Column | str, max_len: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import FEATURES, pair_features, rounded
-from ..functions.text import stable_hash
+from ..functions.text import hash_text
 from ..schemas import require
 from ..session import cut_lineage
 from .candidates import SOURCES, merge_sources, with_engagement
@@ -53,7 +53,7 @@ def groups(train: DataFrame, cands: DataFrame, n_neg: int = NEGATIVES, seed: int
     others = F.filter("found", lambda q: q != F.col("query"))
     drawn = F.transform(
         F.coalesce(others, F.array().cast("array<string>")),
-        lambda q: F.struct(stable_hash("row_id", q, seed=seed).alias("h"), q.alias("query")),
+        lambda q: F.struct(hash_text("row_id", q, seed=seed).alias("h"), q.alias("query")),
     )
     chosen = F.transform(F.slice(F.sort_array(drawn), 1, n_neg), lambda s: s["query"])
     truth = F.struct(F.col("query").alias("query"), F.lit(True).alias("is_truth"))
@@ -104,11 +104,9 @@ def group_split(rows: DataFrame, share: float = 0.9, key: str = "group_id") -> D
     them all.
     """
     ids = rows.select(key).distinct()
-    total = ids.count()
-    n = int(total * share)
-    if n == 0:
+    cut, _ = kth_smallest(ids, key, lambda total: int(total * share) - 1)
+    if cut is None:
         return rows.withColumn("part", F.lit("validation"))
-    cut = kth_smallest(ids, key, n - 1, total)
     return rows.withColumn("part", F.when(F.col(key) <= F.lit(cut), "train").otherwise("validation"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,10 @@ from ..functions.text import stable_hash
 
 # orderBy().limit(n) keeps n rows per task and merges them in one task
 SMALL_LIMIT = 10_000
+# rank error of percentile_approx is 1/ACCURACY of the rows
 ACCURACY = 10_000
+GRID = [i / 2_000 for i in range(2_001)]
+SORT_ROWS = 2_000_000
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rk") -> DataFrame:
@@ -28,12 +31,6 @@ def best(score: str = "score", tie: str = "query") -> list[Column]:
     return [F.desc(score), F.asc(tie)]
 
 
-def _around(low: float, high: float, n: int) -> tuple[float, float]:
-    """Shares that surely enclose [low, high]: twice the rank error of the sketch, and two rows."""
-    slack = 2.0 / ACCURACY + 2.0 / n
-    return max(low - slack, 0.0), min(high + slack, 1.0)
-
-
 def ranked_values(
     df: DataFrame, columns: Sequence[str], targets: Sequence[float]
 ) -> dict[str, list[float]]:
@@ -44,58 +41,97 @@ def ranked_values(
     per distinct value, are then sorted (one window per column). A handful of
     numbers per column comes back to the driver.
     """
-    n = df.count()
+    slack = 3.0 / ACCURACY
+    lo_p, hi_p = max(min(targets) - slack, 0.0), min(max(targets) + slack, 1.0)
+    sketch = [F.percentile_approx(c, [lo_p, hi_p], ACCURACY).alias(c) for c in columns]
+    bounds = df.agg(F.count("*").alias("_n"), *sketch).first()
+    n = bounds["_n"]
     if not n:
         return {c: [float("nan")] * len(targets) for c in columns}
-    lo_p, hi_p = _around(min(targets), max(targets), n)
-    bounds = df.agg(*[F.percentile_approx(c, [lo_p, hi_p], ACCURACY).alias(c) for c in columns]).first()
+    # in a small frame single rows outweigh the rank error, and all of it can be sorted
+    whole = n <= 2 * ACCURACY
     edge = {
-        c: (None if lo_p == 0.0 else bounds[c][0], None if hi_p == 1.0 else bounds[c][1]) for c in columns
+        c: (
+            None if whole or lo_p == 0.0 else bounds[c][0],
+            None if whole or hi_p == 1.0 else bounds[c][1],
+        )
+        for c in columns
     }
 
-    def inside(c: str) -> Column:
+    def entry(c: str) -> Column:
         lo, hi = edge[c]
-        ok = F.lit(True)
-        if lo is not None:
-            ok = ok & (F.col(c) >= F.lit(lo))
-        if hi is not None:
-            ok = ok & (F.col(c) <= F.lit(hi))
-        return ok
-
-    lows = [
-        (F.lit(0) if edge[c][0] is None else F.count_if(F.col(c) < F.lit(edge[c][0]))).cast("bigint").alias(c)
-        for c in columns
-    ]
-    below = df.agg(*lows).first()
-    entry = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("name"), F.when(inside(c), F.col(c)).alias("v")) for c in columns])
-    )
-    kept = df.select(entry.alias("e")).select("e.*").filter(F.col("v").isNotNull())
-    counts = kept.groupBy("name", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("name").orderBy("v")
+        v = F.col(c).cast("double")
+        # rows below the bracket are counted under null, rows above it are dropped
+        value = v if lo is None else F.when(v >= F.lit(lo), v)
+        used = F.lit(True) if hi is None else v <= F.lit(hi)
+        return F.struct(F.lit(c).alias("name"), value.alias("v"), used.alias("used"))
+
+    rows = df.select(F.explode(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
+    counts = rows.filter("used").groupBy("name", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("name").orderBy(F.asc_nulls_first("v"))
     upto = counts.withColumn("upto", F.sum("c").over(w))
     wanted = []
     for c in columns:
         for i, t in enumerate(targets):
             at = t * (n - 1)
-            for side, pos in (("lo", int(at)), ("hi", min(int(at) + 1, n - 1))):
-                wanted.append((c, i, side, pos - below[c]))
+            wanted += [(c, i, "lo", int(at)), (c, i, "hi", min(int(at) + 1, n - 1))]
     spots = df.sparkSession.createDataFrame(wanted, "name string, i int, side string, pos long")
     joined = upto.join(F.broadcast(spots), "name").filter(
         (F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("c"))
     )
     hit = {(r["name"], r["i"], r["side"]): r["v"] for r in joined.select("name", "i", "side", "v").collect()}
-    out = {}
+    out: dict[str, list[float]] = {}
     for c in columns:
         out[c] = []
         for i, t in enumerate(targets):
-            at = t * (n - 1)
             a, b = hit[(c, i, "lo")], hit[(c, i, "hi")]
-            frac = at - int(at)
+            frac = t * (n - 1) - int(t * (n - 1))
             out[c].append(a if frac == 0 or a == b else a + (b - a) * frac)
     return out
 
 
+def kth_smallest(df: DataFrame, column: str, position: Callable[[int], int]) -> tuple[float | None, int]:
+    """(value at 0-based position(n), n) of a numeric column; value None if out of range.
+
+    Each round reads the rows once and brackets the position on a quantile grid;
+    when few enough rows are left in the bracket, those are sorted.
+    """
+    c = F.col(column)
+    lo = hi = None
+    total = target = 0
+    while True:
+        inside = F.lit(True) if lo is None else (c >= F.lit(lo)) & (c <= F.lit(hi))
+        below_here = F.lit(0) if lo is None else F.count_if(c < F.lit(lo))
+        grid, n, below = df.agg(
+            F.percentile_approx(F.when(inside, c), GRID, ACCURACY), F.count_if(inside), below_here
+        ).first()
+        if lo is None:
+            total, target = n, position(n)
+            if not 0 <= target < total:
+                return None, total
+        step = 1.0 / (len(GRID) - 1)
+        share = (target - below) / n
+        slack = 3.0 / ACCURACY + 3.0 / n
+        left = int(max((share - slack) / step, 0.0))
+        right = min(int((share + slack) / step) + 1, len(GRID) - 1)
+        width = n * (right - left + 1) * step
+        # the ends of the grid are the smallest and largest value only up to the rank error
+        if n <= SORT_ROWS:
+            break
+        new_lo = grid[left] if left > 0 else lo if lo is not None else df.agg(F.min(c)).first()[0]
+        new_hi = grid[right] if right < len(GRID) - 1 else hi if hi is not None else df.agg(F.max(c)).first()[0]
+        if (new_lo, new_hi) == (lo, hi):
+            break  # one value fills the bracket; counting per value is small
+        lo, hi = new_lo, new_hi
+        if width <= SORT_ROWS:
+            break
+    value = c if lo is None else F.when(c >= F.lit(lo), c)
+    kept = df if hi is None else df.filter(c <= F.lit(hi))
+    counts = kept.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(F.asc_nulls_first("v"))))
+    return upto.filter(F.col("upto") > target).agg(F.min("v")).first()[0], total
+
+
 def smallest_n(df: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows with the smallest bigint key, for a key without ties.
 
@@ -105,28 +141,8 @@ def smallest_n(df: DataFrame, key: Column, n: int) -> DataFrame:
     keyed = df.withColumn("_key", key)
     if n <= SMALL_LIMIT:
         return keyed.orderBy("_key").limit(n).drop("_key")
-    total = keyed.count()
-    if total <= n:
-        return df
-    cut = kth_smallest(keyed, "_key", n - 1, total)
-    return keyed.filter(F.col("_key") <= F.lit(cut)).drop("_key")
-
-
-def kth_smallest(df: DataFrame, column: str, k: int, total: int) -> float:
-    """The exact value at 0-based position k of a numeric column.
-
-    percentile_approx returns column values with a bounded rank error; only the
-    values it brackets are sorted.
-    """
-    lo_p, hi_p = _around(k / total, (k + 1) / total, total)
-    lo, hi = df.agg(F.percentile_approx(column, [lo_p, hi_p], ACCURACY)).first()[0]
-    c = F.col(column)
-    low = F.lit(False) if lo_p == 0.0 else c < F.lit(lo)
-    high = F.lit(False) if hi_p == 1.0 else c > F.lit(hi)
-    below = df.agg(F.count_if(low)).first()[0]
-    counts = df.filter(~low & ~high).groupBy(column).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(column)))
-    return upto.filter(F.col("upto") > k - below).agg(F.min(column)).first()[0]
+    cut, _ = kth_smallest(keyed, "_key", lambda total: n - 1)
+    return df if cut is None else keyed.filter(F.col("_key") <= F.lit(cut)).drop("_key")
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -144,12 +160,11 @@ def popular(pool: DataFrame, score: str, n: int, key: str = "query") -> DataFram
     """The n highest scores, ties by text (by hash of the text for a large n)."""
     if n <= SMALL_LIMIT:
         return pool.orderBy(F.desc(score), F.asc(key)).limit(n)
-    total = pool.count()
-    if total <= n:
-        return pool
     # exact cut on the score, then on the hash among the rows tied at the cut
     neg = pool.withColumn("_s", -F.col(score))
-    cut = kth_smallest(neg, "_s", n - 1, total)
+    cut, _ = kth_smallest(neg, "_s", lambda total: n - 1)
+    if cut is None:
+        return pool
     above = neg.filter(F.col("_s") < F.lit(cut))
     tied = neg.filter(F.col("_s") == F.lit(cut))
     fill = smallest_n(tied, stable_hash(key), n - above.count())

@@ -14,6 +14,7 @@ from ..operators.lexical import (
     short_prefix, trigram_index, trigram_topk,
 )
 from ..operators.vectors import embed, hashed_trigram_encoder, semantic_topk
+from ..session import cut_lineage
 
 POPULAR_N = 1000  # fixed value: length of the popular list
 
@@ -64,10 +65,12 @@ class Engine:
         return semantic_topk(self.prefix_vectors(prefixes), self.vectors, k, metric)
 
     def candidates(self, prefixes: DataFrame, fuzzy: bool = True, pruned: bool = True) -> DataFrame:
+        # each source reads the prefixes, so they are made distinct once
+        asked = cut_lineage(distinct_prefixes(prefixes))
         parts = (
-            self.semantic(prefixes),
-            bm25_topk(prefixes, self.bm25, BM25_K),
-            trigram_topk(prefixes, self.trigrams, 3 * FUZZY_K if fuzzy else FUZZY_K),
+            self.semantic(asked),
+            bm25_topk(asked, self.bm25, BM25_K),
+            trigram_topk(asked, self.trigrams, 3 * FUZZY_K if fuzzy else FUZZY_K),
         )
         return candidates(*parts, fuzzy=fuzzy) if pruned else candidates(*parts, fuzzy=fuzzy, limit=None)
 
