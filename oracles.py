@@ -555,6 +555,11 @@ add("cascade", "SELECT * FROM cascaded", norm_pairs="SELECT key AS p, query AS q
 add("hit_at_10", """
 SELECT count(*) AS total, count(h.query) AS hits, round(count(h.query)::DOUBLE / count(*), 6) AS hit_rate
 FROM train t LEFT JOIN (SELECT * FROM train_hits WHERE rk <= 10) h ON t.prefix = h.prefix AND t.query = h.query""")
+C["sampled_1000"] = f"SELECT row_id, prefix, query FROM train ORDER BY {hashed('row_id', seed=42)} LIMIT 1000"
+add("hit_at_10_complete", """
+SELECT count(*) AS total, count(h.query) AS hits, round(count(h.query)::DOUBLE / count(*), 6) AS hit_rate
+FROM sampled_1000 t LEFT JOIN completed h ON t.prefix = h.prefix AND t.query = h.query""",
+    asked="SELECT DISTINCT prefix FROM sampled_1000")
 add("result_analysis", f"""
 SELECT prefix, count(*) AS n_results, round(avg(length(query)), 6) AS avg_length,
   count(*) FILTER (WHERE starts_with({strict('query')}, {strict('prefix')})) AS prefix_matches,

@@ -75,7 +75,8 @@ def history_match(prefixes: DataFrame, freq: DataFrame) -> DataFrame:
 
 
 def missing_prefixes(asked: DataFrame, answered: DataFrame) -> DataFrame:
-    return asked.select("prefix").distinct().join(answered.select("prefix"), "prefix", "left_anti")
+    # a hot prefix is one row on either side
+    return asked.select("prefix").distinct().join(answered.select("prefix").distinct(), "prefix", "left_anti")
 
 
 def strategy_coverage(prefixes: DataFrame, freq: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def strategy_coverage(prefixes: DataFrame, freq: DataFrame, edges: DataFrame) ->
     total = p.agg(F.count("*")).scalar()
 
     def row(name: str, keys: DataFrame) -> DataFrame:
-        hit = p.join(keys, "key", "left_semi").agg(F.count("*").alias("covered"))
+        hit = p.join(keys.distinct(), "key", "left_semi").agg(F.count("*").alias("covered"))
         return hit.select(
             F.lit(name).alias("strategy"), "covered", total.alias("total"),
             F.round(100.0 * F.col("covered") / total, 6).alias("share"),

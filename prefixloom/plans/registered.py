@@ -484,6 +484,13 @@ def hit_at_10(t):
     return evaluate.hit_at_k(t.train(), ranked, 10)
 
 
+@query
+def hit_at_10_complete(t):
+    """The whole pipeline on 1,000 logged pairs chosen by hash."""
+    truth = cut_lineage(ranking.sample_rows(t.train(), 1000, ["row_id"]))
+    return evaluate.hit_at_k(truth, engine(t).complete(truth), 10)
+
+
 @query
 def result_analysis(t):
     return evaluate.result_analysis(engine(t).complete(t.prefixes()))
