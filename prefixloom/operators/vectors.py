@@ -287,13 +287,20 @@ class CentredPca:
         return cls(StandardScalerModel.load(f"{folder}/scaler"), PCAModel.load(f"{folder}/pca"))
 
 
-def semantic_topk(prefix_vecs: DataFrame, pool_vecs: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
-    """(prefix, query, score, rk) for prefix_vecs(prefix, vec) and pool_vecs(query, vec)."""
-    found = vector_topk(
-        prefix_vecs.select(F.col("prefix").alias("qid"), "vec"),
-        pool_vecs.select(F.col("query").alias("pid"), "vec"),
-        k, metric,
-    )
+def semantic_topk(
+    prefix_vecs: DataFrame, pool_vecs: DataFrame, k: int = 20, metric: str = "cosine",
+    cells: Cells | None = None, nprobe: int = 4,
+) -> DataFrame:
+    """(prefix, query, score, rk) for prefix_vecs(prefix, vec) and pool_vecs(query, vec).
+
+    Exact, unless ``cells`` are given: then the nprobe nearest cells are searched.
+    """
+    q = prefix_vecs.select(F.col("prefix").alias("qid"), "vec")
+    p = pool_vecs.select(F.col("query").alias("pid"), "vec")
+    if cells is None:
+        found = vector_topk(q, p, k, metric)
+    else:
+        found = vector_topk_cells(q, p, k, nprobe=nprobe, cells=cells)
     return found.withColumnsRenamed({"qid": "prefix", "pid": "query"})
 
 

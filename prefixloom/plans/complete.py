@@ -13,7 +13,7 @@ from ..operators.lexical import (
     Bm25Index, Keep, TrigramIndex, bm25_index, bm25_topk, distinct_prefixes, lazy, popular_queries,
     short_prefix, trigram_index, trigram_topk,
 )
-from ..operators.vectors import embed, hashed_trigram_encoder, semantic_topk
+from ..operators.vectors import Cells, embed, hashed_trigram_encoder, semantic_topk
 from ..session import cut_lineage
 
 POPULAR_N = 1000  # fixed value: length of the popular list
@@ -30,6 +30,7 @@ class Engine:
     vectors: DataFrame
     popular: DataFrame
     make_encoder: Callable = hashed_trigram_encoder
+    cells: Cells | None = None  # set for approximate vector search over a large pool
 
     @classmethod
     def build(
@@ -62,7 +63,7 @@ class Engine:
         return embed(distinct_prefixes(prefixes), "prefix", self.make_encoder)
 
     def semantic(self, prefixes: DataFrame, k: int = SEMANTIC_K, metric: str = "cosine") -> DataFrame:
-        return semantic_topk(self.prefix_vectors(prefixes), self.vectors, k, metric)
+        return semantic_topk(self.prefix_vectors(prefixes), self.vectors, k, metric, self.cells)
 
     def candidates(self, prefixes: DataFrame, fuzzy: bool = True, pruned: bool = True) -> DataFrame:
         # each source reads the prefixes, so they are made distinct once

@@ -133,6 +133,13 @@ def test_engine_from_files(spark, tables):
     assert rows(built.complete(tables.prefixes())) == rows(again.complete(tables.prefixes()))
 
 
+def test_engine_with_cells(tables):
+    e = Engine.build(tables.pool(), tables.features())
+    exact = rows(e.semantic(tables.prefixes()))
+    e.cells = vectors.Cells.fit(e.vectors, 4)
+    assert rows(e.semantic(tables.prefixes())) == exact  # all four cells are probed
+
+
 def test_ranks_are_dense(tables):
     e = Engine.build(tables.pool(), tables.features())
     for prefix, rks in (
