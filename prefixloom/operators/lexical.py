@@ -98,10 +98,11 @@ class TrigramIndex(Index):
     postings: DataFrame
     cells: DataFrame
     heads: DataFrame
+    grams: DataFrame
 
 
 def trigram_index(pool: DataFrame, head_rows: int = 10, keep: Keep = lazy) -> TrigramIndex:
-    """postings(gram, n_grams, query, grams, salt), cells(gram, n_grams, cnt, salts), heads.
+    """postings(gram, n_grams, query, grams, salt), cells(gram, n_grams, cnt, salts), heads, grams(gram, df).
 
     Grams are integer codes. heads holds head_rows postings of every cell.
     """
@@ -112,7 +113,8 @@ def trigram_index(pool: DataFrame, head_rows: int = 10, keep: Keep = lazy) -> Tr
     cells = keep(_cells(flat, keys), "trigram_cells")
     heads = top_k(flat, keys, [F.asc("query")], head_rows, "hk").drop("hk")
     return TrigramIndex(
-        keep(_split_cells(flat, cells, keys), "trigram_postings"), cells, keep(heads, "trigram_heads")
+        keep(_split_cells(flat, cells, keys), "trigram_postings"), cells, keep(heads, "trigram_heads"),
+        keep(cells.groupBy("gram").agg(F.sum("cnt").alias("df")), "trigram_grams"),
     )
 
 
@@ -124,12 +126,10 @@ def trigram_topk(prefixes: DataFrame, index: TrigramIndex, k: int = 10, rare: in
     """
     p = distinct_prefixes(prefixes)
     p = p.withColumn("pg", gram_codes(char_trigrams(normalize_strict("prefix"))))
-    gram_rows = index.cells.groupBy("gram").agg(F.sum("cnt").alias("df"))
-
     # per prefix: grams rarest first; those in no query come first and match nothing
     ordered = (
         p.select("prefix", F.explode("pg").alias("gram"))
-        .join(gram_rows, "gram", "left")
+        .join(index.grams, "gram", "left")
         .groupBy("prefix")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
         .select(
@@ -153,15 +153,15 @@ def trigram_topk(prefixes: DataFrame, index: TrigramIndex, k: int = 10, rare: in
         probes.filter(F.col("pos") < F.col("unseen") + rare)
         .withColumn("before", F.sum(head_rows).over(seen.rowsBetween(Window.unboundedPreceding, -1)))
         .filter(F.coalesce("before", F.lit(0)) < k)
-        .select("prefix", "gram", "n_grams")
+        .select("prefix", "pg", "gram", "n_grams")
     )
     heads = (
         first.join(index.heads, ["gram", "n_grams"])
         .groupBy("prefix")
-        .agg(F.collect_set(F.struct("query", "grams")).alias("found"))
+        .agg(F.first("pg").alias("pg"), F.collect_set(F.struct("query", "grams")).alias("found"))
     )
     pg = F.col("pg")
-    floors = ordered.join(heads, "prefix").select(
+    floors = heads.select(
         "prefix", _kth_head(F.col("found"), lambda c: rounded(jaccard(pg, c["grams"])), k).alias("floor")
     )
     open_cells = (
