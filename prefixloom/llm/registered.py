@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op10_simhash
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op10_simhash": op10_simhash,
 }
 
 SQL: dict[str, str] = {}

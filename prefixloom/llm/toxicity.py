@@ -31,8 +31,8 @@ FIT_ROWS = 4_000
 FIT_BYTES = 32_768
 ROUNDS = 60
 PENALTY = 1e-4
-SMOOTHING = 0.1
-ERRORS = 3.0  # a feature takes part if its log ratio is so many standard errors from 0
+SMOOTHING = 0.5
+ERRORS = 4.0  # standard errors by which the classes' document shares of a feature must differ
 RATE = 0.3
 REJECT = 0.7
 
@@ -87,13 +87,16 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, rounds: int = ROUNDS) ->
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))))
     last = np.empty(1 << bits, np.int32)
     sets = [distinct(grams(text), last) for text, _ in rows]
-    # document frequencies by class; a feature stays if its log ratio is many standard errors from 0
-    toxic, other = np.full(1 << bits, SMOOTHING), np.full(1 << bits, SMOOTHING)
+    # document frequencies by class; a feature stays if the classes' shares differ by many standard errors
+    toxic, other = np.zeros(1 << bits), np.zeros(1 << bits)
     for s, label in zip(sets, y):
         (toxic if label else other)[s] += 1
-    ratio = np.log(toxic / (y.sum() + 2 * SMOOTHING)) - np.log(other / (len(y) - y.sum() + 2 * SMOOTHING))
-    known = np.flatnonzero(np.abs(ratio) >= ERRORS * np.sqrt(1 / toxic + 1 / other))
-    ratio = ratio[known]
+    n_toxic, n_other = y.sum(), len(y) - y.sum()
+    pooled = (toxic + other) / len(y)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_other))
+    known = np.flatnonzero((error > 0) & (np.abs(toxic / n_toxic - other / n_other) >= ERRORS * error))
+    ratio = np.log((toxic[known] + SMOOTHING) / (n_toxic + 2 * SMOOTHING))
+    ratio -= np.log((other[known] + SMOOTHING) / (n_other + 2 * SMOOTHING))
     slot = np.full(1 << bits, -1, np.int32)
     slot[known] = np.arange(len(known), dtype=np.int32)
     sets = [k[k >= 0] for k in (slot[s] for s in sets)]
