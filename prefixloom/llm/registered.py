@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .secrets import op4_secrets
 from .simhash import op10_simhash
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_secrets": op4_secrets,
     "op10_simhash": op10_simhash,
 }
 
