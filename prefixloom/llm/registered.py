@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import SQL as MIXING
+from .mixing import op7_mixing
+from .pieces import op8_pieces
 from .secrets import op4_secrets
 from .simhash import op10_simhash
 from .toxicity import op2_toxicity
@@ -9,7 +12,11 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_secrets": op4_secrets,
+    "op7_mixing": op7_mixing,
+    "op8_pieces": op8_pieces,
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_mixing": MIXING,
+}

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,16 +245,32 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         raise RuntimeError("labels still change after the last round")
     known = nodes.join(state, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "label")
     least = known.groupBy("root").agg(F.min("label").alias("least"))
-    return known.join(least, "root").select("fp", F.col("least").alias("label"))
+    return known.join(least, "root").select("fp", "root", F.col("least").alias("label"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component): one row per row of docs; component is the smallest key that is reachable."""
-    marked = written(fingerprints(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "fp").drop("_text"))
+    """One row per row of docs: key, fp, component (the smallest key reachable), root, text_hash.
+
+    root names the component also where no row of it has a key.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("text_hash"))
+    marked = written(fingerprints(rows, "_text", "fp").drop("_text"))
     nodes = written(marked.groupBy("fp").agg(F.min("_key").alias("label")))
     labels = written(components(nodes, links(nodes.select("fp"))))
-    # a hot fingerprint's rows: two plain sides, so AQE can split a large partition
-    return marked.join(labels, "fp").select(F.col("_key").alias(key), "fp", F.col("label").alias("component"))
+    # a hot fingerprint's rows: both sides are plain, so AQE can split a large partition
+    return marked.join(labels, "fp").select(F.col("_key").alias(key), "fp", F.col("label").alias("component"), "root", "text_hash")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with the smallest key of each near-duplicate class; of repeated rows one stays."""
+    classes = near_classes(docs, key, text)
+    first = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("_key"), F.col("text_hash").alias("_hash")))
+    kept = classes.groupBy("root").agg(first.alias("first")).select("first._key", "first._hash")
+    rows = docs.withColumn("_row_hash", F.xxhash64(text))
+    match = rows[key].eqNullSafe(kept["_key"]) & (rows["_row_hash"] == kept["_hash"])
+    same = Window.partitionBy(key, "_row_hash").orderBy("_row_hash")
+    only = rows.join(kept, match, "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
+    return only.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark, folder: str) -> DataFrame:
