@@ -5,15 +5,19 @@ from __future__ import annotations
 from .mixing import SQL as MIXING
 from .mixing import op7_mixing
 from .pieces import op8_pieces
+from .quality import op1_quality
+from .rules import op9_rules
 from .secrets import op4_secrets
 from .simhash import op10_simhash
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_secrets": op4_secrets,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
+    "op9_rules": op9_rules,
     "op10_simhash": op10_simhash,
 }
 
