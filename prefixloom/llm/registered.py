@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .mixing import SQL as MIXING
 from .mixing import op7_mixing
+from .neighbours import SQL as NEIGHBOURS
+from .neighbours import op6_neighbours
 from .pieces import op8_pieces
 from .quality import op1_quality
 from .rules import op9_rules
@@ -15,6 +17,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_secrets": op4_secrets,
+    "op6_neighbours": op6_neighbours,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
     "op9_rules": op9_rules,
@@ -22,5 +25,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op6_neighbours": NEIGHBOURS,
     "op7_mixing": MIXING,
 }
