@@ -225,7 +225,7 @@ SQL = """
 WITH v AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
   GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
