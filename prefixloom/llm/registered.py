@@ -8,6 +8,7 @@ from .neighbours import SQL as NEIGHBOURS
 from .neighbours import op6_neighbours
 from .pieces import op8_pieces
 from .quality import op1_quality
+from .repeats import op3_repeats
 from .rules import op9_rules
 from .secrets import op4_secrets
 from .simhash import op10_simhash
@@ -16,6 +17,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_repeats": op3_repeats,
     "op4_secrets": op4_secrets,
     "op6_neighbours": op6_neighbours,
     "op7_mixing": op7_mixing,
