@@ -53,11 +53,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def with_columns(
-    df: DataFrame, text: str, added: dict[str, T.DataType], compute: Callable[[pa.Array], list]
+    df: DataFrame, text: str, added: dict[str, T.DataType], compute: Callable[[pa.Array], list], most: int = SLICE_BYTES
 ) -> DataFrame:
     """df with new columns that Python computes from the whole texts of one column.
 
-    compute gets a string column and returns one Arrow array (or list) per new column. A column of
+    compute gets a string column (of about ``most`` bytes) and returns one Arrow array (or list) per new column. A column of
     df that has the name of a new one is replaced.
     """
     spark = df.sparkSession
@@ -73,7 +73,7 @@ def with_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, body):
+            for part in slices(batch, body, most):
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(compute(part.column(body)), types)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + new, kept + list(added))
 

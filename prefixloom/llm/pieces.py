@@ -11,7 +11,7 @@ their joined text would leave them as they are; with that rule exactly one edge
 taken, and the pieces on the way back from the end are what the merges by rank give (tested against
 the public library). Characters that no piece holds are edges of their own, emitted as byte pieces.
 
-Memory is bounded by the slice (SLICE_BYTES of text) and by the units kept from earlier slices of the
+Memory is bounded by the slice (ENCODE_BYTES of text, LEARN_BYTES of new units) and by the units kept from earlier slices of the
 task (MOST_UNITS, then the store starts anew). The vocabulary's tables are built on the driver from a
 model file, a parameter, and travel with the task (2 MB).
 
@@ -37,7 +37,9 @@ from .common import flat, table, with_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MOST_UNITS = 400_000
+MOST_UNITS = 250_000
+ENCODE_BYTES = 1 << 21  # text encoded together
+LEARN_BYTES = 1 << 19  # new units indexed together
 LONG_UNIT = 400  # bytes; units beyond are relaxed one by one
 END = 0xFF  # a byte that UTF-8 does not have
 START, NONE = -2, -1
@@ -191,7 +193,7 @@ class Encoder:
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """side_by_side through a table of pairs met before."""
-        key = a * (self.v.unknown + 1) + b
+        key = a.astype(np.int64) * (self.v.unknown + 1) + b
         slot = (key * 0x9E3779B1 >> 7) % SLOTS
         new = np.flatnonzero(self.pair_slot[slot] != key)
         if len(new):
@@ -230,24 +232,27 @@ class Encoder:
         found = np.flatnonzero(many)
         many = many[found]
         at = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        edge_from, edge_piece = order[at], np.repeat(v.usable[found], many)
-        edge_size = v.length[edge_piece]
+        # positions and pieces in 4 bytes: there are several edges to each byte
+        edge_from = order[at].astype(np.int32)
+        edge_piece = np.repeat(v.usable[found], many).astype(np.int32)
+        del at, order, head
+        edge_size = v.length[edge_piece].astype(np.int32)
         # characters that are no piece
         bare = ((body[:n] & 0xC0) != 0x80) & (body[:n] != END)
         width = np.where(body[:n] < 0x80, 1, np.where(body[:n] < 0xE0, 2, np.where(body[:n] < 0xF0, 3, 4)))
         one = edge_size == width[edge_from]
         bare[edge_from[one]] = False
         bare = np.flatnonzero(bare)
-        edge_from = np.concatenate([edge_from, bare])
-        edge_piece = np.concatenate([edge_piece, np.full(len(bare), v.unknown)])
-        edge_size = np.concatenate([edge_size, width[bare]])
+        edge_from = np.concatenate([edge_from, bare.astype(np.int32)])
+        edge_piece = np.concatenate([edge_piece, np.full(len(bare), v.unknown, np.int32)])
+        edge_size = np.concatenate([edge_size, width[bare].astype(np.int32)])
         edge_to = edge_from + edge_size
 
         # relax, all units at once by the offset at which an edge ends; long units one by one
         last = np.full(n + 1, NONE, np.int64)
         back = np.zeros(n + 1, np.int64)
         last[begin] = START
-        base, long_at = np.repeat(begin, size + 1), np.repeat(size > LONG_UNIT, size + 1)
+        base, long_at = np.repeat(begin.astype(np.int32), size + 1), np.repeat(size > LONG_UNIT, size + 1)
         offset = edge_to - base[edge_from]
         long_unit = long_at[edge_from]
         short = np.flatnonzero(~long_unit)
@@ -326,7 +331,15 @@ class Encoder:
         codes = np.fromiter(map(self.unit.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(codes < 0).tolist()
         if new:
-            self.learn(list(dict.fromkeys(units[i] for i in new)))
+            fresh, size = [], 0
+            for unit in dict.fromkeys(units[i] for i in new):
+                fresh.append(unit)
+                size += len(unit) + 1
+                if size > LEARN_BYTES:
+                    self.learn(fresh)
+                    fresh, size = [], 0
+            if fresh:
+                self.learn(fresh)
             codes[new] = [self.unit[units[i]] for i in new]
         size = self.size[codes]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -362,7 +375,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Data
 
     state: dict = {}
     return with_columns(docs, text, {"ids": ids_type, "n_tokens": T.LongType(), "round_trip": T.BooleanType()},
-                        lambda column: compute_with(state, column))
+                        lambda column: compute_with(state, column), ENCODE_BYTES)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
