@@ -13,12 +13,14 @@ from .rules import op9_rules
 from .secrets import op4_secrets
 from .simhash import op10_simhash
 from .toxicity import op2_toxicity
+from .wrapper import op5_wrapper
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_repeats": op3_repeats,
     "op4_secrets": op4_secrets,
+    "op5_wrapper": op5_wrapper,
     "op6_neighbours": op6_neighbours,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
