@@ -117,14 +117,8 @@ SELECT query, (coalesce(orders, 0) * 10 + coalesce(volume, 0) * 5 + coalesce(cat
   + coalesce(catalog_views, 0))::BIGINT AS popularity
 FROM (SELECT DISTINCT {loose('query')} AS query FROM pool) LEFT JOIN clean_counts USING (query)"""
 C["clean_pool"] = f"""
-SELECT query, popularity, coalesce({r6('CASE WHEN m > 0 THEN popularity::DOUBLE / m END')}, 0.0) AS pop
+SELECT query, popularity, coalesce(CASE WHEN m > 0 THEN popularity::DOUBLE / m END, 0.0) AS pop
 FROM clean_pop, (SELECT max(popularity) AS m FROM clean_pop)"""
-C["edges"] = """
-SELECT edge, query, pop, ek FROM (
-  SELECT edge, query, pop, row_number() OVER (PARTITION BY edge ORDER BY pop DESC, query)::INT AS ek
-  FROM (SELECT substr(query, 1, i::INT) AS edge, query, pop
-        FROM clean_pool, unnest(range(1, least(length(query), 15) + 1)) AS u(i)))
-WHERE ek <= 500"""
 C["prefix_hits"] = f"""
 SELECT prefix, query, row_number() OVER (PARTITION BY prefix ORDER BY query)::INT AS rk
 FROM (SELECT prefix, query FROM prefixes JOIN pool ON starts_with({strict('query')}, {strict('prefix')}))"""
@@ -261,10 +255,11 @@ SELECT prefix, query, score, rk FROM (
 C["popular"] = """
 SELECT query, (orders * 4 + volume * 3 + catalog_clicks * 2 + catalog_views)::BIGINT AS popularity
 FROM counts ORDER BY popularity DESC, query LIMIT 1000"""
+C["all_popular"] = "SELECT query, (orders * 4 + volume * 3 + catalog_clicks * 2 + catalog_views)::BIGINT AS popularity FROM counts"
 C["short"] = f"""
 SELECT prefix, query, popularity::DOUBLE AS score, rk FROM (
   SELECT prefix, query, popularity, row_number() OVER (PARTITION BY prefix ORDER BY popularity DESC, query)::INT AS rk
-  FROM (SELECT DISTINCT prefix FROM asked WHERE length(prefix) <= 2) JOIN popular
+  FROM (SELECT DISTINCT prefix FROM asked WHERE length(prefix) <= 2) JOIN all_popular
     ON starts_with({strict('query')}, {strict('prefix')})) WHERE rk <= 10"""
 C["completed"] = f"""
 SELECT * FROM short
@@ -303,7 +298,7 @@ C["doc_terms"] = f"SELECT query, list_distinct({words('query')}) AS terms FROM p
 C["sparse"] = """
 SELECT query, terms, 1.0::DOUBLE / (1.6 * (1 - 0.75 + 0.75 * len(terms) / (SELECT avg(len(terms)) FROM doc_terms)) + 1) AS w
 FROM doc_terms"""
-C["sparse_long"] = "SELECT query, unnest(terms) AS term, w FROM sparse WHERE w >= 0.01"
+C["sparse_long"] = "SELECT query, unnest(terms) AS term, w FROM sparse"
 C["prefix_terms"] = f"""
 SELECT prefix, term, ln(((SELECT count(*) FROM pool) + 1) / (coalesce(df, 0) + 0.5)) AS idf
 FROM (SELECT prefix, unnest(list_distinct({words('prefix')})) AS term FROM asked)
@@ -343,12 +338,12 @@ C["ckeys"] = f"SELECT DISTINCT {loose('prefix')} AS key FROM prefixes"
 C["c12"] = """
 SELECT key, query, sum(score) AS score, min(tier) AS tier FROM (
   SELECT key, query, 100.0::DOUBLE * freq AS score, 1 AS tier FROM ckeys JOIN freq ON key = prefix
-  UNION ALL SELECT key, query, 50.0 + 20.0 * pop, 2 FROM ckeys JOIN edges ON key = edge) GROUP BY key, query"""
+  UNION ALL SELECT key, query, 50.0::DOUBLE + 20.0::DOUBLE * pop, 2 FROM ckeys JOIN clean_pool ON key <> '' AND starts_with(query, key)) GROUP BY key, query"""
 C["n12"] = "SELECT key, count(query) AS n FROM ckeys LEFT JOIN c12 USING (key) GROUP BY key"
 C["c3all"] = """
-SELECT key, query, max(lvl) AS lvl, max(25.0::DOUBLE * lvl / length(key) + 10.0 * pop) AS score FROM (
+SELECT key, query, max(lvl) AS lvl, max(25.0::DOUBLE * lvl / length(key) + 10.0::DOUBLE * pop) AS score FROM (
   SELECT key, query, pop, lvl FROM ckeys, unnest(range(2, least(length(key), 6) + 1)) AS u(lvl)
-  JOIN edges ON edge = substr(key, 1, lvl::INT) WHERE ek <= 300)
+  JOIN clean_pool ON starts_with(query, substr(key, 1, lvl::INT)))
 WHERE (key, query) NOT IN (SELECT (key, query) FROM c12) GROUP BY key, query"""
 C["level_before"] = """
 SELECT a.key, a.lvl, n + coalesce((SELECT count(*) FROM c3all b WHERE b.key = a.key AND b.lvl > a.lvl), 0) AS before
@@ -356,14 +351,14 @@ FROM (SELECT DISTINCT key, lvl FROM c3all) a JOIN n12 USING (key)"""
 C["c3"] = "SELECT key, query, score, 3 AS tier FROM c3all JOIN level_before USING (key, lvl) WHERE before < 150"
 C["c123"] = "SELECT key, query, score, tier FROM c12 UNION ALL SELECT key, query, score, tier FROM c3"
 C["n123"] = "SELECT key, count(query) AS n FROM ckeys LEFT JOIN c123 USING (key) GROUP BY key"
-C["fkeys"] = "SELECT key FROM n123 WHERE n < 150 AND length(key) BETWEEN 3 AND 20"
-C["fpool"] = "SELECT query, pop FROM clean_pool ORDER BY popularity DESC, query LIMIT 50000"
+C["fkeys"] = "SELECT key FROM n123 WHERE n < 150 AND length(key) >= 3"
+C["fpool"] = "SELECT query, pop FROM clean_pool"
 C["c4all"] = """
 SELECT key, query, score FROM (
   SELECT p AS key, q AS query, score, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS n
   FROM (SELECT p, q, round(100 * partial, 6) AS score FROM partials)) WHERE n <= 50 AND score >= 60"""
 C["c4"] = """
-SELECT key, query, 30.0::DOUBLE * score / 100.0 + 10.0 * pop AS score, 4 AS tier FROM c4all JOIN clean_pool USING (query)
+SELECT key, query, 30.0::DOUBLE * score / 100.0 + 10.0::DOUBLE * pop AS score, 4 AS tier FROM c4all JOIN clean_pool USING (query)
 WHERE (key, query) NOT IN (SELECT (key, query) FROM c123)"""
 C["c1234"] = "SELECT * FROM c123 UNION ALL SELECT * FROM c4"
 C["n1234"] = "SELECT key, count(query) AS n FROM ckeys LEFT JOIN c1234 USING (key) GROUP BY key"
@@ -374,8 +369,9 @@ SELECT key, query, 5.0::DOUBLE * pop AS score, 5 AS tier FROM (
   WHERE (key, query) NOT IN (SELECT (key, query) FROM c1234)) WHERE n + nth <= 300"""
 C["cascaded"] = f"""
 SELECT prefix, query, score, tier, rk FROM (
-  SELECT key, query, score, tier, row_number() OVER (PARTITION BY key ORDER BY score DESC, query)::INT AS rk
-  FROM (SELECT key, query, round(score, 6) AS score, tier::INT AS tier FROM (SELECT * FROM c1234 UNION ALL SELECT * FROM c5)))
+  SELECT key, query, score, tier, row_number() OVER (PARTITION BY key ORDER BY score DESC, popularity DESC, query)::INT AS rk
+  FROM (SELECT key, query, round(score, 6) AS score, tier::INT AS tier, coalesce(popularity, 0) AS popularity
+        FROM (SELECT * FROM c1234 UNION ALL SELECT * FROM c5) LEFT JOIN (SELECT query, popularity FROM clean_pool) USING (query)))
 JOIN (SELECT DISTINCT prefix, {loose('prefix')} AS key FROM prefixes) USING (key) WHERE rk <= 150"""
 
 ASKED = {"asked": "SELECT prefix FROM prefixes"}
@@ -416,6 +412,12 @@ SELECT substr(lower(query), 1, 3) AS query, max(orders) AS orders, max(volume) A
   max(catalog_clicks) AS catalog_clicks, max(catalog_views) AS catalog_views FROM features GROUP BY 1""")
 
 
+add("feature_map_last", """
+SELECT key AS query, arg_max(orders, query) AS orders, arg_max(volume, query) AS volume,
+  arg_max(catalog_clicks, query) AS catalog_clicks, arg_max(catalog_views, query) AS catalog_views
+FROM (SELECT *, substr(lower(query), 1, 3) AS key FROM features) GROUP BY 1""")
+
+
 def _summary(name, table, column):
     return (
         f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {table}) AS n_rows, (SELECT string_agg(v, ' / ' ORDER BY v) "
@@ -429,6 +431,8 @@ add("index_roundtrip", "SELECT * FROM trigram WHERE rk <= 10")
 add("submission_wide", "SELECT p.prefix, " + ", ".join(
     f"coalesce(max(CASE WHEN rk = {i} THEN query END), '') AS completion_{i}" for i in range(1, 11))
     + " FROM prefixes p LEFT JOIN prefix_hits h USING (prefix) GROUP BY p.prefix")
+add("submission_files", """
+SELECT kind, prefix, (rk - 1)::INT AS pos, query FROM prefix_hits, (SELECT unnest(['wide', 'json', 'parquet']) AS kind) WHERE rk <= 10""")
 add("submission_json", """
 SELECT prefix, '[' || string_agg('"' || query || '"', ',' ORDER BY rk) || ']' AS retrieved_queries
 FROM prefix_hits WHERE rk <= 10 GROUP BY prefix""")
@@ -476,13 +480,14 @@ SELECT vec_id, (i - 1)::INT AS pos, round(embedding[i]::DOUBLE / (sqrt(list_sum(
 FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)""")
 
 add("pool_features", "SELECT query, orders, volume, catalog_clicks, catalog_views FROM counts")
-add("pool_features_clean", "SELECT query, popularity, pop FROM clean_pool")
+add("pool_features_clean", f"SELECT query, popularity, {r6('pop')} AS pop FROM clean_pool")
 add("prefix_query_freq", "SELECT prefix, query, freq FROM freq")
 add("queries_per_prefix", "SELECT prefix, count(*) AS n_queries FROM train GROUP BY prefix")
 add("avg_queries_per_prefix", f"SELECT round(avg(n), 6) AS avg_queries FROM (SELECT {loose('prefix')} AS p, count(*) AS n FROM train GROUP BY 1)")
 add("prefix_queries", """
-SELECT prefix, 0::BIGINT AS page, string_agg(query, '|' ORDER BY query) AS queries, string_agg(n::VARCHAR, '|' ORDER BY query) AS freqs
-FROM (SELECT prefix, query, count(*) AS n FROM train GROUP BY prefix, query) GROUP BY prefix""")
+SELECT prefix, page, string_agg(query, '|' ORDER BY query) AS queries, string_agg(n::VARCHAR, '|' ORDER BY query) AS freqs
+FROM (SELECT *, ('0x' || substr(md5(query), 1, 15))::BIGINT % ((count(*) OVER (PARTITION BY prefix) + 9999) // 10000) AS page
+      FROM (SELECT prefix, query, count(*) AS n FROM train GROUP BY prefix, query)) GROUP BY prefix, page""")
 add("group_histogram", """
 SELECT bin, round(lo + bin * w, 6) AS bin_start, count(*) AS cnt FROM (
   SELECT least(floor((n - lo) / w), 49)::INT AS bin, lo, w FROM (SELECT count(*) AS n FROM train GROUP BY prefix),
@@ -490,7 +495,13 @@ SELECT bin, round(lo + bin * w, 6) AS bin_start, count(*) AS cnt FROM (
 GROUP BY bin, lo, w""")
 add("distinct_queries", "SELECT DISTINCT query FROM train")
 add("history_match", f"SELECT p.prefix, f.query, f.freq FROM prefixes p JOIN freq f ON {loose('p.prefix')} = f.prefix")
-add("edge_prefix_match", f"SELECT prefix, query, pop, ek FROM prefixes JOIN edges ON edge = {loose('prefix')}")
+BEGINS = f"{loose('prefix')} <> '' AND starts_with(query, {loose('prefix')})"
+add("edge_prefix_match", f"SELECT prefix, query, {r6('pop')} AS pop FROM prefixes JOIN clean_pool ON {BEGINS}")
+add("edge_long", """
+SELECT prefix, query, popularity FROM (
+  SELECT DISTINCT substr(query, 1, CAST(16 + p_partkey % 10 AS INT)) AS prefix FROM parts WHERE p_partkey % 20 = 1)
+JOIN clean_pool ON starts_with(query, prefix) WHERE length(prefix) > 15""")
+add("popular_ties", "SELECT concat(prefix, '|', query) AS query, count(*) AS popularity FROM train GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 11000")
 add("missing_prefixes", "SELECT DISTINCT prefix FROM prefixes WHERE prefix NOT IN (SELECT prefix FROM train)")
 
 
@@ -499,7 +510,7 @@ def _coverage(name, keys):
   round(100.0::DOUBLE * count(*) FILTER (WHERE {loose('prefix')} IN ({keys})) / count(*), 6) AS share FROM prefixes"""
 
 
-add("strategy_coverage", _coverage("history", "SELECT prefix FROM freq") + " UNION ALL " + _coverage("edge", "SELECT edge FROM edges"))
+add("strategy_coverage", _coverage("history", "SELECT prefix FROM freq") + " UNION ALL " + _coverage("edge", f"SELECT {loose('prefix')} FROM prefixes JOIN clean_pool ON {BEGINS}"))
 add("valid_in_pool", """
 SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS valid_in_pool, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*) * 100, 6) AS valid_pct
 FROM (SELECT trim(lower(completion)) IN (SELECT trim(lower(query)) FROM pool) AS ok FROM completions)""")
@@ -514,7 +525,7 @@ add("popular_queries", "SELECT * FROM popular")
 add("short_prefix", "SELECT * FROM short")
 add("fuzzy_partial", """
 SELECT key AS prefix, query, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, query)::INT AS rk FROM c4all""",
-    norm_pairs=f"SELECT p, query AS q FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), fpool WHERE length(p) BETWEEN 2 AND 20")
+    norm_pairs=f"SELECT p, query AS q FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), fpool WHERE length(p) >= 2")
 
 add("embed_hashed", f"""
 SELECT query, slot::INT AS slot, round(v, 6) AS value FROM (SELECT query, {strict('query')} AS txt FROM pool) JOIN unit USING (txt)""")
@@ -533,20 +544,26 @@ add("vector_topk", _vectors("cos", SPLIT, 20))
 add("vector_topk_l2", _vectors("round(2.0 - 2.0 * cos, 6)", SPLIT, 20))
 add("vector_topk_blocks", _vectors("cos", "", 5))
 add("semantic_topk", "SELECT * FROM semantic WHERE rk <= 20")
-UNIT = "list_transform({0}.embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform({0}.embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-10))"
-add("product_search", f"""
+# queries are words 2 to 4 of every twentieth title; products are all clean ones
+C["product_texts"] = f"""
+SELECT page_id, title, image_url, {strict('title')} AS txt FROM products_ok"""
+C["search_texts"] = f"""
+SELECT page_id AS qid, {strict("array_to_string(list_slice(string_split(title, ' '), 2, 4), ' ')")} AS txt FROM products_ok WHERE page_id % 20 = 0"""
+add("product_search", """
 SELECT qid, rk, title, image_url, score FROM (
   SELECT qid, page_id, title, image_url, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id)::INT AS rk FROM (
-    SELECT q.vec_id AS qid, p.page_id, p.title, p.image_url, round(list_inner_product(q.u, p.u), 6) AS score
-    FROM (SELECT vec_id, {UNIT.format('embeddings')} AS u FROM embeddings WHERE vec_id % 50 = 0) q,
-      (SELECT page_id, title, image_url, {UNIT.format('embeddings')} AS u FROM products_ok JOIN embeddings ON vec_id = page_id) p))
-WHERE rk <= 5""")
+    SELECT qid, page_id, title, image_url, round(coalesce(d, 0.0), 6) AS score
+    FROM search_texts s CROSS JOIN product_texts p
+    LEFT JOIN (SELECT a.txt AS at, b.txt AS bt, sum(a.v * b.v) AS d FROM unit a JOIN unit b USING (slot)
+               WHERE a.txt IN (SELECT txt FROM search_texts) AND b.txt IN (SELECT txt FROM product_texts) GROUP BY 1, 2) u ON s.txt = u.at AND p.txt = u.bt))
+WHERE rk <= 5""", texts="SELECT txt FROM product_texts UNION SELECT txt FROM search_texts")
 
 add("candidates", "SELECT * FROM cands")
 add("candidate_prune", pruned(30))
 add("rerank_profile_a", reranked("a"))
 add("rerank_profile_b", reranked("b"))
 add("complete", "SELECT * FROM completed")
+add("complete_dirty", "SELECT * FROM completed")
 add("hashed_bm25", "SELECT query, term, round(w, 6) AS weight FROM sparse_long")
 add("hybrid_full", first_100("full_path"))
 add("hybrid_blocked", first_100("mixed_path"))
@@ -555,11 +572,10 @@ add("cascade", "SELECT * FROM cascaded", norm_pairs="SELECT key AS p, query AS q
 add("hit_at_10", """
 SELECT count(*) AS total, count(h.query) AS hits, round(count(h.query)::DOUBLE / count(*), 6) AS hit_rate
 FROM train t LEFT JOIN (SELECT * FROM train_hits WHERE rk <= 10) h ON t.prefix = h.prefix AND t.query = h.query""")
-C["sampled_1000"] = f"SELECT row_id, prefix, query FROM train ORDER BY {hashed('row_id', seed=42)} LIMIT 1000"
 add("hit_at_10_complete", """
 SELECT count(*) AS total, count(h.query) AS hits, round(count(h.query)::DOUBLE / count(*), 6) AS hit_rate
-FROM sampled_1000 t LEFT JOIN completed h ON t.prefix = h.prefix AND t.query = h.query""",
-    asked="SELECT DISTINCT prefix FROM sampled_1000")
+FROM train t LEFT JOIN completed h ON t.prefix = h.prefix AND t.query = h.query""",
+    asked="SELECT DISTINCT prefix FROM train")
 add("result_analysis", f"""
 SELECT prefix, count(*) AS n_results, round(avg(length(query)), 6) AS avg_length,
   count(*) FILTER (WHERE starts_with({strict('query')}, {strict('prefix')})) AS prefix_matches,
@@ -572,7 +588,8 @@ FROM (SELECT prefix, count(*) AS n FROM prefix_hits WHERE rk <= 20 GROUP BY pref
 add("training_candidates", """
 SELECT prefix, query, max(sem) AS sem, max(bm25) AS bm25, max(ngram) AS ngram, max(fuzzy) AS fuzzy FROM (
   SELECT * FROM cands_nofuzzy UNION ALL
-  SELECT DISTINCT prefix, query, 0.0, 0.0, 0.0, 0.0 FROM train WHERE prefix IN (SELECT prefix FROM prefixes)) GROUP BY prefix, query""")
+  SELECT DISTINCT prefix, query, 0.0, 0.0, 0.0, 0.0 FROM train) GROUP BY prefix, query""",
+    asked="SELECT DISTINCT prefix FROM train")
 LABEL = "CASE WHEN orders > 0 THEN 3 WHEN catalog_clicks > 0 THEN 2 WHEN catalog_views > 0 THEN 1 ELSE 3 END"
 add("graded_labels", f"SELECT query, {LABEL} AS label FROM counts")
 add("pair_features", "SELECT * FROM pair_feature_rows")
@@ -604,8 +621,9 @@ UNION ALL SELECT row_id, prefix, query, false FROM (
 add("training_summary", """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_truth) AS n_groups,
   count(*) FILTER (WHERE is_truth) AS n_positive, count(*) FILTER (WHERE NOT is_truth) AS n_negative FROM drawn""",
-    asked="SELECT DISTINCT prefix FROM train", drawn=_groups("sampled", "cands_nofuzzy"))
+    asked="SELECT DISTINCT prefix FROM train", drawn=_groups("train", "cands_nofuzzy"))
 add("negative_sample", "SELECT * FROM drawn", drawn=_groups("train", "train_hits20"), train_hits20="SELECT * FROM train_hits WHERE rk <= 20")
+add("training_sink", "SELECT is_truth, count(*) AS n_rows FROM drawn GROUP BY is_truth", drawn=_groups("train", "train_hits20"), train_hits20="SELECT * FROM train_hits WHERE rk <= 20")
 add("group_split", """
 SELECT part, count(*) AS n_rows, min(row_id) AS first_id, max(row_id) AS last_id FROM (
   SELECT row_id, CASE WHEN dense_rank() OVER (ORDER BY row_id) <= floor((SELECT count(DISTINCT row_id) FROM train) * 0.9)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import col, tokenize
+from .text import WHITESPACE, col, tokenize
 
 _WORD = 64
 _CHUNK = 4096
@@ -211,7 +211,18 @@ def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     return ratio_udf(*[F.array_join(F.sort_array(tokenize(c)), " ") for c in (a, b)])
 
 
+@F.pandas_udf(T.DoubleType())
+def token_sort_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    left, right = ([" ".join(sorted(filter(None, t.split(" ")))) for t in c.fillna("")] for c in (a, b))
+    return pd.Series(ratio_pairs(left, right))
+
+
 def register(spark: SparkSession) -> None:
-    """Make the similarity functions callable from SQL text."""
+    """Make the similarity functions and normalisers callable from SQL text."""
     spark.udf.register("ratio", ratio_udf)
     spark.udf.register("partial_ratio", partial_ratio_udf)
+    spark.udf.register("token_sort_ratio", token_sort_ratio_udf)
+    low = "lower(coalesce(t, ''))"
+    for name, pattern in (("normalize_strict", "[^a-z0-9]+"), ("normalize_loose", WHITESPACE)):
+        body = f"trim(regexp_replace({low}, r'{pattern}', ' '))"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS STRING RETURN {body}")

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import popularity_10521, rounded, share_of_max
@@ -15,13 +15,19 @@ from ..functions.similarity import TextBlock
 from ..functions.text import normalize_loose
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage
+from .lexical import EDGE_LEN, edge_match
 from .ranking import best, popular, top_k
 
 DEPTH = 150
-FUZZY_POOL = 50_000
-MAX_POOL_BYTES = 256 * 1024 * 1024
+FUZZY_BLOCK = 20_000
+LEAST_BLOCK = 512
+MOST_CELLS = 2_000_000  # characters of texts, with padding, that are scored together
 TOP_LEVEL, LOW_LEVEL = 6, 2
-LEVEL_CAP = 300
+
+
+def by_score() -> list[Column]:
+    """Rows of equal score go by the popularity itself, then by text."""
+    return [F.desc("score"), F.desc("popularity"), F.asc("query")]
 
 
 def clean_pool(pool: DataFrame, features: DataFrame) -> DataFrame:
@@ -40,77 +46,103 @@ def clean_pool(pool: DataFrame, features: DataFrame) -> DataFrame:
         {c: F.coalesce(F.col(c), F.lit(0)) for c in ENGAGEMENT}
     )
     scored = rows.select("query", popularity_10521().alias("popularity"))
-    return scored.withColumn("pop", rounded(share_of_max(scored, F.col("popularity"))))
+    return scored.withColumn("pop", share_of_max(scored, F.col("popularity")))
+
+
+def length_blocks(texts: list[str]) -> list[TextBlock]:
+    """Texts in blocks of about one length, so a long text does not pad the others."""
+    out, block = [], []
+    for text in sorted(texts, key=len):
+        if block and (len(text) > 2 * max(len(block[0]), 8) or (len(block) + 1) * len(text) > MOST_CELLS):
+            out.append(TextBlock(block))
+            block = []
+        block.append(text)
+    return [*out, TextBlock(block)] if block else out
 
 
 def fuzzy_partial_topk(
-    prefixes: DataFrame, pool: DataFrame, limit: int = 50, threshold: float = 60.0,
-    pool_size: int = FUZZY_POOL, min_len: int = 2, max_len: int = 20,
+    prefixes: DataFrame, pool: DataFrame, limit: int = 50, threshold: float = 60.0, min_len: int = 2
 ) -> DataFrame:
-    """(prefix, query, score, rk): best partial ratios among the most popular queries.
+    """(prefix, query, score, rk): best partial ratios among all pool queries.
 
-    A threshold of 0.6 does not imply a shared bigram, so no join key prunes this
-    exactly. The query side is the top ``pool_size`` list by definition (its bytes
-    are checked); it is broadcast, encoded once per task and scored for a prefix
-    at a time, and only ``limit`` rows per prefix leave the task.
+    A threshold of 0.6 does not imply a shared bigram, so no join key prunes this exactly: the
+    prefixes are a stated query set against all rows, in blocks. A task holds one block of at most
+    about FUZZY_BLOCK queries and lets the prefixes stream by; only ``limit`` rows per prefix and
+    block leave it.
     """
     spark = prefixes.sparkSession
-    texts = popular(pool, "popularity", pool_size).select("query")
-    size = texts.agg(F.sum(F.octet_length("query"))).first()[0] or 0
-    if size > MAX_POOL_BYTES:
-        raise ValueError(f"the {pool_size} most popular queries take {size} bytes; lower pool_size")
-    shared = spark.sparkContext.broadcast(sorted(texts.toPandas()["query"].tolist()))
+    texts = pool.select("query").filter(F.col("query").isNotNull()).distinct()
+    n = texts.count()
+    blocks = max(-(-n // FUZZY_BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)), 1)
+    own = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
+    rows = texts.select(own.alias("block"), F.lit(0).alias("side"), F.col("query").alias("text"))
+    asked = prefixes.select("prefix").distinct().filter(F.length("prefix") >= min_len)
+    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("prefix").alias("text"))
+
+    def best_of(prefix: str, parts: list[TextBlock]) -> pd.DataFrame | None:
+        found = []
+        for part in parts:
+            score = np.round(100.0 * part.partial_ratio(prefix), 6)
+            hit = np.flatnonzero(score >= threshold)
+            if len(hit) > limit:  # all that tie with the last one
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - limit)[len(hit) - limit]]
+            found += zip((-score[hit]).tolist(), part.texts[hit].tolist())
+        found = sorted(found)[:limit]
+        return pd.DataFrame({"prefix": prefix, "query": [q for _, q in found], "score": [-s for s, _ in found]}) if found else None
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TextBlock(shared.value) if shared.value else None
+        current, waiting, parts = None, [], None
         for batch in batches:
-            for prefix in batch["prefix"] if block else []:
-                score = np.round(100.0 * block.partial_ratio(prefix), 6)
-                # texts are sorted, so a stable sort breaks ties by text
-                order = np.argsort(-score, kind="stable")[:limit]
-                order = order[score[order] >= threshold]
-                yield pd.DataFrame(
-                    {"prefix": prefix, "query": block.texts[order], "score": score[order],
-                     "rk": np.arange(1, len(order) + 1, dtype=np.int32)}
-                )
-
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    asked = (
-        prefixes.select("prefix").distinct()
-        .filter(F.length("prefix").between(min_len, max_len))
-        .repartition(tasks, "prefix")
-    )
-    return asked.mapInPandas(match, "prefix string, query string, score double, rk int")
-
-
-def cascade(
-    prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFrame, k: int = DEPTH,
-    fuzzy_pool: int = FUZZY_POOL,
-) -> DataFrame:
+            for block, side, text in zip(batch["block"], batch["side"], batch["text"]):
+                if block != current:
+                    current, waiting, parts = block, [], None
+                if side == 0:
+                    waiting.append(text)
+                    continue
+                if parts is None:
+                    parts = length_blocks(waiting)
+                got = best_of(text, parts)
+                if got is not None:
+                    yield got
+
+    dealt = rows.unionByName(visits).repartition(blocks, "block").sortWithinPartitions("block", "side", "text")
+    return top_k(dealt.mapInPandas(match, "prefix string, query string, score double"), ["prefix"], best(), limit)
+
+
+def cascade(prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFrame, k: int = DEPTH) -> DataFrame:
     """(prefix, query, score, tier, rk): the k best completions over five tiers.
 
     A later tier adds only queries no earlier tier gave, and only where fewer
     than k are known: this is a count per prefix over bounded rows, not a loop.
-    ``freq`` is (prefix, query, freq), ``edges`` an edge table with ``pop``,
-    ``pool`` comes from clean_pool. Padding to k needs no step of its own: after
-    the popular tier fewer than k rows means that the whole pool is in.
+    ``freq`` is (prefix, query, freq), ``pool`` comes from clean_pool, ``edges``
+    from edge_index(pool, "popularity") with at least 3k rows per edge: k can be
+    known from the first tiers and fewer than k from longer leading texts, so the
+    k best new ones are among them and the result is that of the whole pool.
+    Padding to k needs no step of its own: after the popular tier fewer than k
+    rows means that the whole pool is in.
     """
     asked = prefixes.select("prefix", normalize_loose("prefix").alias("key")).distinct()
     keys = asked.select("key").distinct()
     n = F.length("key")
+    near = edges.filter(F.col("ek") <= 3 * k)
 
     # tiers 1 and 2 add up; beyond the best k of them nothing can reach the result
     logged = freq.select(F.col("prefix").alias("key"), "query", "freq")
-    tier1 = keys.join(logged, "key").select(
-        "key", "query", (100.0 * F.col("freq")).alias("score"), F.lit(1).alias("tier")
-    )
-    tier2 = keys.join(edges, F.col("key") == F.col("edge")).select(
-        "key", "query", (50.0 + 20.0 * F.col("pop")).alias("score"), F.lit(2).alias("tier")
-    )
+    boost = 50.0 + 20.0 * F.col("pop")
+    tier1 = keys.join(logged, "key").join(pool.select("query", "popularity", "pop"), "query", "left").select(
+        "key", "query", F.coalesce("popularity", F.lit(0)).alias("popularity"), (100.0 * F.col("freq")).alias("s1"),
+        F.when((n > 0) & F.col("query").startswith(F.col("key")), boost).alias("s2"),
+    )
+    begin = keys.join(near.filter(F.col("ek") <= k), F.col("key") == F.col("edge")).select("key", "query", "popularity", "pop")
+    rest = edge_match(keys.filter(n > EDGE_LEN), pool, "key")
+    begin = begin.unionByName(top_k(rest, ["key"], best("popularity"), k).select("key", "query", "popularity", "pop"))
+    tier2 = begin.select("key", "query", "popularity", F.lit(None).cast("double").alias("s1"), boost.alias("s2"))
     first = tier1.unionByName(tier2).groupBy("key", "query").agg(
-        F.sum("score").alias("score"), F.min("tier").alias("tier")
+        F.max("popularity").alias("popularity"), F.max("s1").alias("s1"), F.max("s2").alias("s2")
     )
-    first = top_k(first, ["key"], best(), k).drop("rk")
+    score = rounded(F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)))
+    first = first.select("key", "query", "popularity", score.alias("score"), F.when(F.col("s1").isNotNull(), 1).otherwise(2).alias("tier"))
+    first = top_k(first, ["key"], by_score(), k).drop("rk")
 
     # tier 3: longest shared leading text first, one level at a time until k are known
     level = F.explode(F.sequence(F.least(n, F.lit(TOP_LEVEL)), F.lit(LOW_LEVEL), F.lit(-1)))
@@ -118,12 +150,12 @@ def cascade(
         keys.filter(n >= LOW_LEVEL)
         .withColumn("level", level)
         .withColumn("head", F.substring(F.col("key"), F.lit(1), F.col("level")))
-        .join(edges.filter(F.col("ek") <= LEVEL_CAP), F.col("head") == F.col("edge"))
+        .join(near, F.col("head") == F.col("edge"))
         .groupBy("key", "query")
-        .agg(F.max("level").alias("level"), F.max("pop").alias("pop"))
+        .agg(F.max("level").alias("level"), F.max("pop").alias("pop"), F.max("popularity").alias("popularity"))
         .select(
-            "key", "query", "level",
-            (25.0 * F.col("level") / n + 10.0 * F.col("pop")).alias("score3"),
+            "key", "query", "level", "popularity",
+            rounded(25.0 * F.col("level") / n + 10.0 * F.col("pop")).alias("score3"),
         )
     )
     # a row without query keeps every key, found or not
@@ -132,7 +164,7 @@ def cascade(
         [first, tier3, keys.withColumn("query", F.lit(None).cast("string"))],
     )
     merged = rows.groupBy("key", "query").agg(
-        *[F.max(c).alias(c) for c in ("score", "tier", "level", "score3")]
+        *[F.max(c).alias(c) for c in ("score", "tier", "level", "score3", "popularity")]
     )
     w = Window.partitionBy("key")
     known = F.count("score").over(w)
@@ -148,7 +180,7 @@ def cascade(
     )
     upto3 = cut_lineage(
         counted.select(
-            "key", "query",
+            "key", "query", "popularity",
             F.coalesce("score", "score3").alias("score"),
             F.coalesce("tier", F.when(F.col("query").isNotNull(), 3)).alias("tier"),
         ).withColumn("n", F.count("query").over(w))
@@ -156,19 +188,18 @@ def cascade(
 
     # tier 4
     open4 = upto3.filter(F.col("query").isNull() & (F.col("n") < k) & (n >= 3))
-    fuzzy = fuzzy_partial_topk(open4.select(F.col("key").alias("prefix")), pool, pool_size=fuzzy_pool)
-    pops = pool.select("query", "pop")
-    tier4 = fuzzy.join(pops, "query").select(
-        F.col("prefix").alias("key"), "query",
-        (30.0 * F.col("score") / 100.0 + 10.0 * F.col("pop")).alias("score4"),
+    fuzzy = fuzzy_partial_topk(open4.select(F.col("key").alias("prefix")), pool)
+    tier4 = fuzzy.join(pool.select("query", "pop", "popularity"), "query").select(
+        F.col("prefix").alias("key"), "query", "popularity",
+        rounded(30.0 * F.col("score") / 100.0 + 10.0 * F.col("pop")).alias("score4"),
     )
     upto4 = cut_lineage(
         upto3.drop("n")
         .unionByName(tier4, allowMissingColumns=True)
         .groupBy("key", "query")
-        .agg(F.max("score").alias("score"), F.max("tier").alias("tier"), F.max("score4").alias("score4"))
+        .agg(*[F.max(c).alias(c) for c in ("score", "tier", "score4", "popularity")])
         .select(
-            "key", "query",
+            "key", "query", "popularity",
             F.coalesce("score", "score4").alias("score"),
             F.coalesce("tier", F.when(F.col("query").isNotNull(), 4)).alias("tier"),
         )
@@ -177,14 +208,14 @@ def cascade(
 
     # tier 5: popular queries by rank, until 2k are known; broadcast side: 2k rows
     top = popular(pool, "popularity", 2 * k).select(
-        "query", "pop",
+        "query", "pop", "popularity",
         F.row_number().over(Window.orderBy(F.desc("popularity"), F.asc("query"))).alias("prk"),
     )
     open5 = upto4.filter(F.col("query").isNull() & (F.col("n") < k)).select(
         "key", F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("prk")
     )
     tier5 = open5.join(F.broadcast(top), "prk").select(
-        "key", "query", "prk", (5.0 * F.col("pop")).alias("score5")
+        "key", "query", "prk", "popularity", rounded(5.0 * F.col("pop")).alias("score5")
     )
     fill = Window.partitionBy("key", F.col("score").isNull()).orderBy("prk")
     upto5 = (
@@ -192,15 +223,15 @@ def cascade(
         .drop("n")
         .unionByName(tier5, allowMissingColumns=True)
         .groupBy("key", "query")
-        .agg(*[F.max(c).alias(c) for c in ("score", "tier", "prk", "score5")])
+        .agg(*[F.max(c).alias(c) for c in ("score", "tier", "prk", "score5", "popularity")])
         .withColumn("known", F.count("score").over(w))
         .withColumn("nth", F.row_number().over(fill))
         .filter(F.col("score").isNotNull() | (F.col("known") + F.col("nth") <= 2 * k))
         .select(
-            "key", "query",
-            rounded(F.coalesce("score", "score5")).alias("score"),
+            "key", "query", "popularity",
+            F.coalesce("score", "score5").alias("score"),
             F.coalesce("tier", F.lit(5)).alias("tier"),
         )
     )
-    ranked = top_k(upto5, ["key"], best(), k)
+    ranked = top_k(upto5, ["key"], by_score(), k)
     return asked.join(ranked, "key").select("prefix", "query", "score", "tier", "rk")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_loose
+from .lexical import edge_match
 from .ranking import top_k
 
 LIST_PAGE = 10_000
@@ -32,17 +33,13 @@ def avg_queries_per_prefix(train: DataFrame) -> DataFrame:
 def prefix_queries(train: DataFrame, page_rows: int = LIST_PAGE) -> DataFrame:
     """(prefix, page, queries, freqs): the logged queries of a prefix as lists.
 
-    Repeats are counted before the shuffle, and a prefix with many distinct
-    queries is cut by hash into pages of about page_rows, so no list grows with
-    the log.
+    Repeats are counted before the shuffle. A prefix with n distinct queries has
+    ceil(n / page_rows) pages, filled by hash, so no list grows with the log.
     """
     pairs = train.groupBy("prefix", "query").agg(F.count("*").alias("freq"))
     pages = pairs.groupBy("prefix").agg(F.ceil(F.count("*") / F.lit(page_rows)).alias("n_pages"))
-    many = pages.filter(F.col("n_pages") > 1)
     number = F.conv(F.substring(F.md5("query"), 1, 15), 16, 10).cast("bigint")
-    page = F.pmod(number, F.coalesce(F.col("n_pages"), F.lit(1))).cast("bigint")
-    # broadcast side: prefixes with over page_rows distinct queries, at most pairs / page_rows
-    keyed = pairs.join(F.broadcast(many), "prefix", "left").withColumn("page", page)
+    keyed = pairs.join(pages, "prefix").withColumn("page", F.pmod(number, F.col("n_pages")).cast("bigint"))
     rows = keyed.groupBy("prefix", "page").agg(
         F.sort_array(F.collect_list(F.struct("query", "freq"))).alias("r")
     )
@@ -79,8 +76,8 @@ def missing_prefixes(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return asked.select("prefix").distinct().join(answered.select("prefix").distinct(), "prefix", "left_anti")
 
 
-def strategy_coverage(prefixes: DataFrame, freq: DataFrame, edges: DataFrame) -> DataFrame:
-    """(strategy, covered, total, share): prefixes with logged queries, and with an edge match."""
+def strategy_coverage(prefixes: DataFrame, freq: DataFrame, pool: DataFrame) -> DataFrame:
+    """(strategy, covered, total, share): prefixes with logged queries, and with pool queries that begin with them."""
     p = prefixes.select("prefix", normalize_loose("prefix").alias("key"))
     total = p.agg(F.count("*")).scalar()
 
@@ -92,7 +89,7 @@ def strategy_coverage(prefixes: DataFrame, freq: DataFrame, edges: DataFrame) ->
         )
 
     logged = freq.select(F.col("prefix").alias("key"))
-    return row("history", logged).unionByName(row("edge", edges.select(F.col("edge").alias("key"))))
+    return row("history", logged).unionByName(row("edge", edge_match(p.select("key").distinct(), pool, "key").select("key")))
 
 
 def prefix_length_stats(prefixes: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import l2_normalize, popularity_max_norm, rounded
 from ..functions.text import block_key, tokenize_words
+from ..sources.tables import distinct_queries, feature_map
 from .candidates import with_engagement
 from .lexical import Keep, lazy
 from .ranking import best, top_k
 from .vectors import block_topk, vector_topk
 
 K1, B = 1.6, 0.75
-MIN_WEIGHT = 0.01
 N_BUCKETS = 2**14
 
 
@@ -28,20 +28,15 @@ def term_set(c: str, n_buckets: int | None) -> Column:
 
 
 def sparse_pool(pool: DataFrame, n_buckets: int | None = N_BUCKETS, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, terms, term_weight): binary term frequency, so one weight per query.
-
-    A weight below 0.01 is dropped, which empties the term list.
-    """
+    """(query, terms, term_weight): binary term frequency, so one weight per query."""
     docs = pool.select("query", term_set("query", n_buckets).alias("terms"))
     avgdl = docs.agg(F.avg(F.size("terms"))).scalar()
     w = 1.0 / (k1 * (1.0 - b + b * F.size("terms") / avgdl) + 1.0)
-    weighted = docs.withColumn("term_weight", w)
-    kept = F.when(F.col("term_weight") >= MIN_WEIGHT, F.col("terms")).otherwise(F.array().cast("array<string>"))
-    return weighted.withColumn("terms", kept)
+    return docs.withColumn("term_weight", w)
 
 
 def term_df(pool: DataFrame, n_buckets: int | None = N_BUCKETS) -> DataFrame:
-    """(term, df) over the pool, before dropping light weights."""
+    """(term, df) over the pool."""
     terms = pool.select(F.explode(term_set("query", n_buckets)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -78,8 +73,9 @@ class HybridIndex:
         self, pool: DataFrame, features: DataFrame, vecs: DataFrame,
         n_buckets: int | None = N_BUCKETS, popularity_weight: float = 0.15, keep: Keep = lazy,
     ):
+        pool, features = distinct_queries(pool), feature_map(features)
         self.pool, self.n_buckets = pool, n_buckets
-        counts = with_engagement(pool.select("query"), features)
+        counts = with_engagement(pool, features)
         bias = (popularity_max_norm(counts) * popularity_weight).alias("bias")
         self.vecs = vecs.select(F.col("query").alias("pid"), "vec")
         extras = sparse_pool(pool, n_buckets).join(counts.select("query", bias), "query")

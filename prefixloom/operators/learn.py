@@ -65,18 +65,17 @@ def groups(train: DataFrame, cands: DataFrame, n_neg: int = NEGATIVES, seed: int
 
 def training_set(
     train: DataFrame, cands: DataFrame, features: DataFrame, n_neg: int = NEGATIVES,
-    sample: int | None = SAMPLE, seed: int = 42,
+    seed: int = 42,
 ) -> DataFrame:
-    """(group_id, prefix, query, is_truth, label, 34 features).
+    """(group_id, prefix, query, is_truth, label, 34 features) of every row of train.
 
     ``cands`` are the candidates of the training prefixes without the fuzzy source
     and without pruning. Features depend on (prefix, query) only and are computed
     once per distinct pair.
     """
-    rows = train if sample is None else sample_rows(train, sample, ["row_id"], seed)
     found = cut_lineage(cands)
-    chosen = groups(rows, found, n_neg, seed)
-    pairs = with_engagement(training_candidates(found, rows), features)
+    chosen = groups(train, found, n_neg, seed)
+    pairs = with_engagement(training_candidates(found, train), features)
     described = pair_features(
         pairs.withColumn("label", graded_label()), ["prefix", "query", F.col("label").alias("truth_label")]
     )
@@ -149,7 +148,10 @@ class Ranker:
     scaler: FeatureScaler
 
     @classmethod
-    def fit(cls, rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42) -> Ranker:
+    def fit(cls, rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42, most_groups: int = SAMPLE) -> Ranker:
+        """Fits on the groups of ``rows``, on a hash sample of most_groups of them if there are more."""
+        ids = sample_rows(rows.select("group_id").distinct(), most_groups, ["group_id"], seed)
+        rows = cut_lineage(rows.join(ids, "group_id", "left_semi"))
         scaler = FeatureScaler.fit(rows)
         ready = cls._assemble(scaler.transform(rows))
         gbt = GBTRegressor(
@@ -174,6 +176,15 @@ class Ranker:
 
     def write(self, folder: str) -> None:
         self.model.write().overwrite().save(f"{folder}/model")
+        stats = [(c, *v) for c, v in self.scaler.stats.items()]
+        spark = SparkSession.active()
+        spark.createDataFrame(stats, "name string, top double, mean double, std double").write.mode("overwrite").parquet(f"{folder}/scaler")
+
+    @classmethod
+    def read(cls, folder: str) -> Ranker:
+        rows = SparkSession.active().read.parquet(f"{folder}/scaler").collect()
+        stats = {r["name"]: (r["top"], r["mean"], r["std"]) for r in rows}
+        return cls(GBTRegressionModel.load(f"{folder}/model"), FeatureScaler({c: stats[c] for c in FEATURES if c in stats}))
 
 
 def text_split(texts: DataFrame, share: int = 85, seed: int = 42) -> DataFrame:

@@ -342,22 +342,35 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20, strong: int =
 
 
 def edge_index(pool: DataFrame, score: str, max_len: int = EDGE_LEN, cap: int = EDGE_CAP) -> DataFrame:
-    """edges(edge, query, <score>, ek): per leading text the first ``cap`` queries by score."""
-    flat = pool.select(F.explode(leading_edges("query", max_len)).alias("edge"), "query", score)
+    """edges(edge, query, <score>, ek): per leading text of up to max_len characters the first ``cap`` queries by score.
+
+    For uses that need no more than ``cap`` of them; edge_match gives all.
+    """
+    flat = pool.select(F.explode(leading_edges("query", max_len)).alias("edge"), *pool.columns)
     return top_k(flat, ["edge"], best(score), cap, "ek")
 
 
-def edge_match(prefixes: DataFrame, edges: DataFrame, prefix: str = "prefix") -> DataFrame:
-    """Pool queries beginning with the prefix, from the edge table."""
-    return prefixes.join(edges, prefixes[prefix] == edges["edge"]).drop("edge")
+def edge_match(prefixes: DataFrame, pool: DataFrame, prefix: str = "prefix", max_len: int = EDGE_LEN) -> DataFrame:
+    """All pool rows whose query begins with the prefix, for prefixes of any length ('' matches none).
+
+    Each side joins on leading text, a pool row once per prefix length there is up to max_len; longer
+    prefixes join on their first max_len characters and are then compared in full. A plain equality
+    join, so a hot leading text is split by the adaptive skew join.
+    """
+    size = F.least(F.length(prefix), F.lit(max_len))
+    asked = prefixes.filter(F.length(prefix) > 0).withColumn("_head", F.substring(F.col(prefix), F.lit(1), size))
+    sizes = [r[0] for r in asked.select(F.length("_head")).distinct().collect()]  # at most max_len numbers
+    cuts = F.array(*[F.when(F.length("query") >= n, F.substring("query", 1, n)) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    heads = pool.withColumn("_head", F.explode(F.filter(cuts, lambda h: h.isNotNull())))
+    return asked.join(heads, "_head").filter(F.col("query").startswith(F.col(prefix))).drop("_head")
 
 
 def prefix_match(prefixes: DataFrame, pool: DataFrame, k: int = 20, max_len: int = EDGE_LEN) -> DataFrame:
     """(prefix, query, rk): the first k queries in text order that begin with the prefix.
 
     Both sides are compared in strict normal form. Prefixes up to max_len use an
-    edge table that holds k queries per edge; longer ones share their first
-    max_len characters with few queries and are compared after joining on those.
+    edge table that holds k queries per edge; longer ones are compared after
+    joining on their first max_len characters.
     """
     p = distinct_prefixes(prefixes).withColumn("np", normalize_strict("prefix"))
     q = pool.select("query", normalize_strict("query").alias("nq"))
@@ -383,21 +396,22 @@ def popular_queries(pool_features: DataFrame, score: Column, n: int = 1000) -> D
     return popular(pool_features.select("query", score.alias("popularity")), "popularity", n)
 
 
-def short_prefix(prefixes: DataFrame, popular_: DataFrame, k: int = 10, max_len: int = 2) -> DataFrame:
+def short_heads(pool_features: DataFrame, score: Column, k: int = 10, max_len: int = 2) -> DataFrame:
+    """(edge, query, popularity, rk): the k most popular queries of the whole pool per leading text of 0 to max_len characters."""
+    rows = pool_features.select("query", score.alias("popularity"))
+    # normalising never makes a text longer
+    edges = F.array_append(leading_edges(normalize_strict("query"), max_len), F.lit(""))
+    return top_k(rows.select(F.explode(edges).alias("edge"), "query", "popularity"), ["edge"], best("popularity"), k)
+
+
+def short_prefix(prefixes: DataFrame, heads: DataFrame, max_len: int = 2) -> DataFrame:
     """(prefix, query, score, rk): popular queries beginning with a prefix of at most max_len raw characters.
 
-    Broadcast side: the top-n popular list, at most k rows per leading text.
+    ``heads`` comes from short_heads.
     """
-    # normalising never makes a text longer
-    nq = normalize_strict("query")
-    heads = popular_.select(
-        F.explode(F.array_append(leading_edges(nq, max_len), F.lit(""))).alias("edge"),
-        "query", "popularity",
-    )
-    firsts = top_k(heads, ["edge"], best("popularity"), k)
     p = distinct_prefixes(prefixes).filter(F.length("prefix") <= max_len)
     return (
         p.withColumn("edge", normalize_strict("prefix"))
-        .join(F.broadcast(firsts), "edge")
+        .join(heads, "edge")
         .select("prefix", "query", F.col("popularity").cast("double").alias("score"), "rk")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,31 +157,50 @@ def hash_split(df: DataFrame, keys: Sequence[str], share: int = 85, seed: int =
     return df.withColumn("part", F.when(bucket < share, "train").otherwise("validation"))
 
 
+def first_by_text(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows in text order (the order of UTF-8 bytes), without a task that holds them all.
+
+    Seven bytes of the text at a time are a number; the exact n-th smallest of it is a cut, and only
+    the rows at the cut go on to their next seven bytes.
+    """
+    if n <= SMALL_LIMIT:
+        return df.orderBy(key).limit(n)
+    longest = df.agg(F.max(F.octet_length(key))).first()[0] or 0
+    parts, rest = [], df
+    for start in range(1, longest + 1, 7):
+        piece = F.rpad(F.hex(F.substring(F.encode(F.col(key), "UTF-8"), start, 7)), 14, "0")
+        coded = rest.withColumn("_code", F.conv(piece, 16, 10).cast("bigint"))
+        cut, total = kth_smallest(coded, "_code", lambda _, n=n: n - 1)
+        if cut is None or n == total:
+            return reduce(DataFrame.unionByName, [*parts, rest])
+        below = coded.filter(F.col("_code") < F.lit(cut)).drop("_code")
+        parts.append(below)
+        n -= below.count()
+        rest = coded.filter(F.col("_code") == F.lit(cut)).drop("_code")
+        if n <= SMALL_LIMIT:
+            break
+    return reduce(DataFrame.unionByName, [*parts, rest.orderBy(key).limit(n)])
+
+
 def popular(pool: DataFrame, score: str, n: int, key: str = "query") -> DataFrame:
-    """The n highest scores, ties by text (by hash of the text for a large n)."""
+    """The n highest scores, ties by text, for any n."""
     if n <= SMALL_LIMIT:
         return pool.orderBy(F.desc(score), F.asc(key)).limit(n)
-    # exact cut on the score, then on the hash among the rows tied at the cut
+    # exact cut on the score, then on the text among the rows tied at the cut
     neg = pool.withColumn("_s", -F.col(score))
     cut, _ = kth_smallest(neg, "_s", lambda total: n - 1)
     if cut is None:
         return pool
     above = neg.filter(F.col("_s") < F.lit(cut))
     tied = neg.filter(F.col("_s") == F.lit(cut))
-    fill = smallest_n(tied, stable_hash(key), n - above.count())
-    return above.unionByName(fill).drop("_s")
+    return above.unionByName(first_by_text(tied, key, n - above.count())).drop("_s")
 
 
+def reduce_pool(pool: DataFrame, n_top: int = 560_000, n_random: int = 140_000, seed: int = 42) -> DataFrame:
+    """The most popular queries plus a hash sample, without duplicates.
 
-def reduce_pool(
-    pool: DataFrame, n_top: int = 560_000, n_random: int = 140_000, threshold: int = 700_000, seed: int = 42
-) -> DataFrame:
-    """The most popular queries plus a hash sample, without duplicates, if the pool is over threshold rows.
-
-    ``pool`` has query and popularity.
+    ``pool`` has query and popularity. A pool of at most n_top rows stays whole.
     """
-    if pool.count() <= threshold:
-        return pool
     top = popular(pool, "popularity", n_top)
     drawn = sample_rows(pool, n_random, ["query"], seed)
     return top.unionByName(drawn).dropDuplicates()

@@ -301,6 +301,8 @@ def semantic_topk(
         found = vector_topk(q, p, k, metric)
     else:
         found = vector_topk_cells(q, p, k, nprobe=nprobe, cells=cells)
+        if metric == "l2_raw":
+            found = found.withColumn("score", F.round(2.0 - 2.0 * F.col("score"), DIGITS))
     return found.withColumnsRenamed({"qid": "prefix", "pid": "query"})
 
 

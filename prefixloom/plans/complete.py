@@ -6,17 +6,19 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scores import popularity_4321
 from ..operators.candidates import BM25_K, FINAL_K, FUZZY_K, SEMANTIC_K, candidates, rerank, with_engagement
 from ..operators.lexical import (
     Bm25Index, Keep, TrigramIndex, bm25_index, bm25_topk, distinct_prefixes, lazy, popular_queries,
-    short_prefix, trigram_index, trigram_topk,
+    short_heads, short_prefix, trigram_index, trigram_topk,
 )
 from ..operators.vectors import Cells, embed, hashed_trigram_encoder, semantic_topk
 from ..session import cut_lineage
+from ..sources.tables import clean_features, distinct_queries, feature_map
 
-POPULAR_N = 1000  # fixed value: length of the popular list
+POPULAR_N = 1000  # fixed value: length of the popular list (a report; completions look at the whole pool)
 
 
 @dataclass
@@ -29,20 +31,32 @@ class Engine:
     bm25: Bm25Index
     vectors: DataFrame
     popular: DataFrame
+    short: DataFrame
     make_encoder: Callable = hashed_trigram_encoder
     cells: Cells | None = None  # set for approximate vector search over a large pool
 
     @classmethod
     def build(
-        cls, pool: DataFrame, features: DataFrame, make_encoder: Callable = hashed_trigram_encoder, keep: Keep = lazy
+        cls, pool: DataFrame, features: DataFrame, make_encoder: Callable = hashed_trigram_encoder, keep: Keep = lazy,
+        order: str | None = None,
     ) -> Engine:
-        """All tables, each held by ``keep``: written once (``store``) for reuse over batches, or lazy."""
-        pool, features = keep(pool, "pool"), keep(features, "features")
-        counts = with_engagement(pool.select("query"), features)
+        """All tables, each held by ``keep``: written once (``store``) for reuse over batches, or lazy.
+
+        The inputs may be unclean: the pool becomes a set without nulls, features get one row per
+        query (the last by ``order``, else the maxima) and no missing counts.
+        """
+        guard = getattr(keep, "guard", None)
+        if guard:
+            guard("pool", pool.select("query"))
+            guard("features", features)
+        pool = keep(distinct_queries(pool).filter(F.col("query").isNotNull()), "pool")
+        features = keep(feature_map(features if order else clean_features(features), order=order), "features")
+        counts = with_engagement(pool, features)
         return cls(
             pool, features, trigram_index(pool, keep=keep), bm25_index(pool, keep=keep),
             keep(embed(pool.select("query"), "query", make_encoder), "vectors"),
             keep(popular_queries(counts, popularity_4321(), POPULAR_N), "popular"),
+            keep(short_heads(counts, popularity_4321(), FINAL_K), "short"),
             make_encoder,
         )
 
@@ -56,7 +70,7 @@ class Engine:
         return cls(
             table("pool"), table("features"),
             TrigramIndex.read(spark, folder, "trigram"), Bm25Index.read(spark, folder, "bm25"),
-            table("vectors"), table("popular"), make_encoder,
+            table("vectors"), table("popular"), table("short"), make_encoder,
         )
 
     def prefix_vectors(self, prefixes: DataFrame) -> DataFrame:
@@ -80,7 +94,9 @@ class Engine:
 
     def complete(self, prefixes: DataFrame, k: int = FINAL_K, profile: str = "a") -> DataFrame:
         """(prefix, query, score, rk): popular queries for short prefixes, re-ranked candidates for the rest."""
+        if k > FINAL_K:
+            raise ValueError(f"the list for short prefixes holds {FINAL_K} queries")
         asked = distinct_prefixes(prefixes)
-        short = short_prefix(asked, self.popular, k)
+        short = short_prefix(asked, self.short).filter(F.col("rk") <= k)
         rest = asked.join(short.select("prefix"), "prefix", "left_anti")
         return short.unionByName(self.reranked(rest, profile, k))

@@ -48,6 +48,10 @@ def engine(t: Tables) -> Engine:
     return _ENGINES[key]
 
 
+def dirty_keep(t: Tables) -> Callable[[DataFrame, str], DataFrame]:
+    return tables.store(t.spark, f"{keep(t).folder}/dirty")
+
+
 def pool_counts(t: Tables) -> DataFrame:
     return with_engagement(t.pool(), t.features())
 
@@ -114,6 +118,39 @@ def submission_list(t):
     return lists.select("prefix", F.posexplode("retrieved_queries").alias("pos", "query"))
 
 
+def _folder(t: Tables, name: str) -> str:
+    return f"{tables.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def submission_files(t):
+    """The three submission files, written and read back: (kind, prefix, pos, query)."""
+    ranked = lexical.prefix_match(t.prefixes(), t.pool(), 10)
+    wide, json_csv, parquet = (_folder(t, name) for name in ("wide", "json", "lists"))
+    sinks.write_csv(sinks.wide(t.prefixes(), ranked, 10), wide)
+    sinks.write_csv(sinks.json_lists(ranked), json_csv)
+    sinks.write_parquet(sinks.lists(ranked), parquet)
+    read = t.spark.read.option("header", True).option("escape", '"')
+    cells = F.filter(F.array(*[F.col(f"completion_{i}") for i in range(1, 11)]), lambda c: c.isNotNull())
+    parts = {
+        "wide": read.csv(wide).select("prefix", cells.alias("found")),
+        "json": read.csv(json_csv).select("prefix", F.from_json("retrieved_queries", "array<string>").alias("found")),
+        "parquet": tables.scan(t.spark, f"{parquet}/*.parquet").select("prefix", F.col("retrieved_queries").alias("found")),
+    }
+    rows = [df.select(F.lit(kind).alias("kind"), "prefix", F.posexplode("found").alias("pos", "query")) for kind, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query
+def training_sink(t):
+    """Logged rows with their negatives, written and read back with a given schema."""
+    folder = _folder(t, "training")
+    cands = lexical.prefix_match(t.train(), t.pool(), 20).select("prefix", "query", *[F.lit(0.0).alias(s) for s in SOURCES])
+    rows = learn.groups(t.train(), cands)
+    sinks.write_parquet(rows, folder)
+    return tables.scan(t.spark, folder, rows.schema).groupBy("is_truth").agg(F.count("*").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -225,7 +262,7 @@ def pool_features(t):
 
 @query
 def pool_features_clean(t):
-    return tiers.clean_pool(t.pool(), t.features())
+    return tiers.clean_pool(t.pool(), t.features()).withColumn("pop", scores.rounded(F.col("pop")))
 
 
 @query
@@ -258,6 +295,13 @@ def group_histogram(t):
     return history.group_histogram(history.queries_per_prefix(t.train()))
 
 
+@query
+def feature_map_last(t):
+    """Several rows per key; the last by text counts."""
+    rows = t.features().withColumn("name", F.col("query")).withColumn("query", text.block_key("query"))
+    return tables.feature_map(rows, order="name")
+
+
 @query
 def distinct_queries(t):
     return tables.distinct_queries(t.train())
@@ -269,13 +313,22 @@ def history_match(t):
 
 
 def _edges(t: Tables) -> DataFrame:
-    return keep(t)(lexical.edge_index(clean_pool(t), "pop"), "edges")
+    return keep(t)(lexical.edge_index(clean_pool(t), "popularity", cap=3 * tiers.DEPTH), "edges")
 
 
 @query
 def edge_prefix_match(t):
     keyed = t.prefixes().withColumn("key", text.normalize_loose("prefix"))
-    return lexical.edge_match(keyed, _edges(t), "key").select("prefix", "query", "pop", "ek")
+    return lexical.edge_match(keyed, clean_pool(t), "key").select("prefix", "query", scores.rounded(F.col("pop")).alias("pop"))
+
+
+@query
+def edge_long(t):
+    """Prefixes of 16 to 25 characters."""
+    size = (16 + F.col("p_partkey") % 10).cast("int")
+    prefixes = t.parts().filter(F.col("p_partkey") % 20 == 1).select(F.substring(F.col("query"), F.lit(1), size).alias("prefix"))
+    found = lexical.edge_match(prefixes.filter(F.length("prefix") > 15).distinct(), clean_pool(t))
+    return found.select("prefix", "query", "popularity")
 
 
 @query
@@ -285,7 +338,7 @@ def missing_prefixes(t):
 
 @query
 def strategy_coverage(t):
-    return history.strategy_coverage(t.prefixes(), history.prefix_query_freq(t.train()), _edges(t))
+    return history.strategy_coverage(t.prefixes(), history.prefix_query_freq(t.train()), clean_pool(t))
 
 
 @query
@@ -334,9 +387,16 @@ def popular_queries(t):
     return engine(t).popular
 
 
+@query
+def popular_ties(t):
+    """More rows than one task sorts, most of them tied."""
+    pair = F.concat_ws("|", "prefix", "query").alias("query")
+    return ranking.popular(t.train().groupBy(pair).agg(F.count("*").alias("popularity")), "popularity", 11_000)
+
+
 @query
 def short_prefix(t):
-    return lexical.short_prefix(t.prefixes(), engine(t).popular)
+    return lexical.short_prefix(t.prefixes(), engine(t).short)
 
 
 @query
@@ -397,9 +457,12 @@ def pca_project(t):
 
 @query
 def product_search(t):
-    vecs = t.vectors().select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("vec"))
-    products = tables.clean_products(t.products()).join(vecs, "page_id")
-    return vectors.product_search(t.query_vectors(), products, 5)
+    """Texts against all clean products: words 2 to 4 of every twentieth title."""
+    products = tables.clean_products(t.products()).select("page_id", "title", "image_url")
+    words = F.array_join(F.slice(F.split("title", " "), 2, 3), " ")
+    asked = products.filter(F.col("page_id") % 20 == 0).select(F.col("page_id").alias("qid"), words.alias("asked"))
+    vecs = vectors.embed(asked, "asked").select("qid", "vec")
+    return vectors.product_search(vecs, vectors.embed(products, "title"), 5)
 
 
 # ------------------------------------------------- candidates and completion
@@ -430,6 +493,16 @@ def complete(t):
     return engine(t).complete(t.prefixes())
 
 
+@query
+def complete_dirty(t):
+    """Repeated pool rows and nulls, features in two rows per query, one of them without counts."""
+    none = t.spark.createDataFrame([(None,)], "query string")
+    pool = t.pool().unionByName(t.pool()).unionByName(none)
+    empty = t.features().select("query", *[F.lit(None).cast("bigint").alias(c) for c in ENGAGEMENT])
+    dirty = Engine.build(pool, t.features().unionByName(empty), keep=dirty_keep(t))
+    return dirty.complete(t.prefixes())
+
+
 @query
 def hashed_bm25(t):
     return hybrid.hashed_bm25(t.pool(), None)
@@ -486,8 +559,8 @@ def hit_at_10(t):
 
 @query
 def hit_at_10_complete(t):
-    """The whole pipeline on 1,000 logged pairs chosen by hash."""
-    truth = cut_lineage(ranking.sample_rows(t.train(), 1000, ["row_id"]))
+    """The whole pipeline on all logged pairs."""
+    truth = t.train()
     return evaluate.hit_at_k(truth, engine(t).complete(truth), 10)
 
 
@@ -507,9 +580,8 @@ def validate_submission(t):
 
 @query
 def training_candidates(t):
-    cands = engine(t).candidates(t.prefixes(), fuzzy=False, pruned=False)
-    asked = t.train().join(t.prefixes(), "prefix", "left_semi")
-    return learn.training_candidates(cands, asked)
+    train = t.train()
+    return learn.training_candidates(engine(t).candidates(train, fuzzy=False, pruned=False), train)
 
 
 @query
@@ -575,7 +647,7 @@ def sample_rows(t):
 @query
 def pool_reduce(t):
     pool = clean_pool(t).select("query", "popularity")
-    return ranking.reduce_pool(pool, 500, 125, threshold=600)
+    return ranking.reduce_pool(pool, 500, 125)
 
 
 @query

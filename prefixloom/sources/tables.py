@@ -55,13 +55,29 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def store(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], DataFrame]:
-    """A ``keep`` for index builders: every table is written below folder unless it is there."""
+class store:
+    """A ``keep`` for index builders: every table is written below folder unless it is there.
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return materialise(spark, f"{folder}/{name}", lambda: df)
+    ``guard`` remembers the rows an index was built from and refuses to answer for others; with
+    ``force`` every table is written anew.
+    """
 
-    return keep
+    def __init__(self, spark: SparkSession, folder: str, force: bool = False):
+        self.spark, self.folder, self.force = spark, folder, force
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return materialise(self.spark, f"{self.folder}/{name}", lambda: df, self.force)
+
+    def guard(self, name: str, df: DataFrame) -> None:
+        number = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+        rows = df.agg(F.count("*").alias("n"), F.bit_xor(number).alias("xored"), F.sum(F.pmod(number, F.lit(1 << 32))).alias("added"))
+        path = f"{self.folder}/{name}_fingerprint"
+        known = exists(self.spark, path) and not self.force
+        seen = rows.first()
+        if known and tuple(self.spark.read.parquet(path).first()) != tuple(seen):
+            raise ValueError(f"{self.folder} was built from another {name}; take another folder or force=True")
+        if not known:
+            self.spark.createDataFrame([tuple(seen)], rows.schema).write.mode("overwrite").parquet(path)
 
 
 def clean_features(features: DataFrame) -> DataFrame:
