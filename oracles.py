@@ -558,6 +558,34 @@ SELECT qid, rk, title, image_url, score FROM (
                WHERE a.txt IN (SELECT txt FROM search_texts) AND b.txt IN (SELECT txt FROM product_texts) GROUP BY 1, 2) u ON s.txt = u.at AND p.txt = u.bt))
 WHERE rk <= 5""", texts="SELECT txt FROM product_texts UNION SELECT txt FROM search_texts")
 
+# cell probing: the vectors of the 16 smallest pool ids are the centres
+DOT = "list_inner_product({0}::DOUBLE[], {1}::DOUBLE[])"
+C["centres"] = """
+SELECT embedding AS c, row_number() OVER (ORDER BY vec_id) AS cell FROM embeddings WHERE vec_id % 50 <> 0 ORDER BY vec_id LIMIT 16"""
+C["probed"] = f"""
+SELECT vec_id, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY {DOT.format('c', 'c')} / 2 - {DOT.format('embedding', 'c')}, cell) AS nth
+FROM embeddings, centres"""
+
+
+def _in_cells(nprobe, k):
+    return f"""
+SELECT qid, pid, score, rk FROM (
+  SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid)::INT AS rk FROM (
+    SELECT q.vec_id AS qid, p.vec_id AS pid, round({DOT.format('q.embedding', 'p.embedding')}, 6) AS score
+    FROM probed q JOIN probed p ON q.cell = p.cell
+    WHERE q.vec_id % 50 = 0 AND q.nth <= {nprobe} AND p.vec_id % 50 <> 0 AND p.nth = 1)) WHERE rk <= {k}"""
+
+
+add("vector_topk_cells", _in_cells(4, 20))
+add("vector_recall", """
+SELECT count(*) AS total, count(b.pid) AS found, round(count(b.pid)::DOUBLE / count(*), 6) AS recall
+FROM exact_ten a LEFT JOIN probed_ten b ON a.qid = b.qid AND a.pid = b.pid""",
+    exact_ten=_vectors("cos", SPLIT, 10), probed_ten=_in_cells(8, 10))
+add("pca_norms", """
+SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS norm2
+FROM (SELECT vec_id, x, avg(x) OVER (PARTITION BY pos) AS m FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)) GROUP BY vec_id""")
+
 add("candidates", "SELECT * FROM cands")
 add("candidate_prune", pruned(30))
 add("rerank_profile_a", reranked("a"))
@@ -565,6 +593,13 @@ add("rerank_profile_b", reranked("b"))
 add("complete", "SELECT * FROM completed")
 add("complete_dirty", "SELECT * FROM completed")
 add("hashed_bm25", "SELECT query, term, round(w, 6) AS weight FROM sparse_long")
+BUCKETED = f"list_distinct(list_transform({{0}}, lambda w: ({hashed('w')} % 16384)::VARCHAR))"
+IN_BUCKETS = {
+    "doc_terms": f"SELECT query, {BUCKETED.format(words('query'))} AS terms FROM pool",
+    "prefix_terms": C["prefix_terms"].replace(f"list_distinct({words('prefix')})", BUCKETED.format(words("prefix"))),
+}
+add("hashed_bm25_buckets", "SELECT query, term, round(w, 6) AS weight FROM sparse_long", **IN_BUCKETS)
+add("hybrid_buckets", first_100("mixed_path"), **IN_BUCKETS)
 add("hybrid_full", first_100("full_path"))
 add("hybrid_blocked", first_100("mixed_path"))
 add("cascade", "SELECT * FROM cascaded", norm_pairs="SELECT key AS p, query AS q FROM fkeys, fpool")
@@ -622,6 +657,19 @@ add("training_summary", """
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE is_truth) AS n_groups,
   count(*) FILTER (WHERE is_truth) AS n_positive, count(*) FILTER (WHERE NOT is_truth) AS n_negative FROM drawn""",
     asked="SELECT DISTINCT prefix FROM train", drawn=_groups("train", "cands_nofuzzy"))
+TRAIN_CANDS = """
+SELECT prefix, query, max(sem) AS sem, max(bm25) AS bm25, max(ngram) AS ngram, max(fuzzy) AS fuzzy FROM (
+  SELECT * FROM cands_nofuzzy UNION ALL SELECT DISTINCT prefix, query, 0.0, 0.0, 0.0, 0.0 FROM train) GROUP BY prefix, query"""
+add("training_set", f"""
+SELECT group_id, prefix, query, is_truth, CASE WHEN is_truth THEN {LABEL} ELSE 0 END AS label, {", ".join(f"f.{n}" for n in FEATURE_SQL)}
+FROM drawn JOIN pair_feature_rows f USING (prefix, query) JOIN counts c USING (query)""".replace("WHEN orders", "WHEN c.orders"),
+    asked="SELECT DISTINCT prefix FROM train", kept=TRAIN_CANDS, drawn=_groups("train", "cands_nofuzzy"))
+add("ranker_checks", f"""
+SELECT {len(FEATURE_SQL)} AS n_features, 1.0 AS importance_sum, 4 AS n_cuts, true AS ndcg_in_range,
+  count(DISTINCT group_id) AS n_groups, count(*) AS n_rows
+FROM (SELECT group_id, dense_rank() OVER (ORDER BY group_id) AS nth FROM drawn)
+WHERE nth > floor((SELECT count(DISTINCT row_id) FROM train) * 0.9)""",
+    asked="SELECT DISTINCT prefix FROM train", drawn=_groups("train", "cands_nofuzzy"))
 add("negative_sample", "SELECT * FROM drawn", drawn=_groups("train", "train_hits20"), train_hits20="SELECT * FROM train_hits WHERE rk <= 20")
 add("training_sink", "SELECT is_truth, count(*) AS n_rows FROM drawn GROUP BY is_truth", drawn=_groups("train", "train_hits20"), train_hits20="SELECT * FROM train_hits WHERE rk <= 20")
 add("group_split", """

@@ -86,6 +86,7 @@ def l2_normalize(v: Column | str, weight: float = 1.0) -> Column:
 
 # Features of a (prefix, query) pair
 
+# Names and order of the columns of a training file.
 FEATURES = [
     "semantic_cosine", "bm25_score", "ngram_score", "fuzzy_score",
     "edit_distance_ratio", "partial_ratio", "token_sort_ratio",

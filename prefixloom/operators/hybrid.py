@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import l2_normalize, popularity_max_norm, rounded
-from ..functions.text import block_key, tokenize_words
+from ..functions.text import block_key, stable_hash, tokenize_words
 from ..sources.tables import distinct_queries, feature_map
 from .candidates import with_engagement
 from .lexical import Keep, lazy
@@ -23,7 +23,7 @@ def term_set(c: str, n_buckets: int | None) -> Column:
     if n_buckets is None:
         return words
     return F.array_distinct(
-        F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(n_buckets)).cast("string"))
+        F.transform(words, lambda w: F.pmod(stable_hash(w), F.lit(n_buckets)).cast("string"))
     )
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ BROADCAST_ROWS = 20_000
 BROADCAST_VALUES = 8_000_000  # doubles: 64 MB
 QUERY_BLOCK = 2_048
 POOL_BLOCK = 16_384
+TILE_VALUES = 4_000_000  # products held at once: 32 MB
+CELL_SAMPLE = 200_000  # vectors that fit the centres
 EMBED_DIM = 64
 
 
@@ -42,11 +44,14 @@ def hashed_trigram_encoder(dim: int = EMBED_DIM) -> Callable[[list[str]], np.nda
     """
 
     def encode(texts: list[str]) -> np.ndarray:
+        size = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
+        flat = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), size)
         out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            codes = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-            slots = (codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % dim
-            out[row] = np.bincount(slots, minlength=dim)
+        if len(flat) > 2:
+            slots = (flat[:-2] * 961 + flat[1:-1] * 31 + flat[2:]) % dim
+            inside = row[:-2] == row[2:]
+            out += np.bincount((row[:-2] * dim + slots)[inside], minlength=len(texts) * dim).reshape(len(texts), dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -106,18 +111,25 @@ def score_block(queries: pd.DataFrame, pool: pd.DataFrame, k: int) -> pd.DataFra
     weight = pool["term_weight"].to_numpy() if sparse else None
     keep = min(k, len(ids))
     parts = []
-    for row in queries.itertuples(index=False):
-        score = vecs @ np.asarray(row.vec, dtype=np.float64)
+    step = max(1, TILE_VALUES // max(len(ids), 1))
+    for first in range(0, len(queries), step):
+        some = queries.iloc[first:first + step]
+        tile = _matrix(some["vec"]) @ vecs.T
         if sparse:
-            for t, w in zip(row.terms, row.term_weights):
-                rows = where.get(t)
-                if rows is not None:
-                    score[rows] += w * weight[rows]
-        score = _round(score + bias)
-        floor = np.partition(score, len(score) - keep)[len(score) - keep]
-        near = np.flatnonzero(score >= floor)
-        top = near[np.argsort(-score[near], kind="stable")[:keep]]
-        parts.append(pd.DataFrame({"qid": row.qid, "pid": ids[top], "score": score[top]}))
+            for row, (terms, weights) in enumerate(zip(some["terms"], some["term_weights"])):
+                for t, w in zip(terms, weights):
+                    rows = where.get(t)
+                    if rows is not None:
+                        tile[row, rows] += w * weight[rows]
+        tile = _round(tile + bias)
+        floor = np.partition(tile, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        row, near = np.nonzero(tile >= floor[:, None])
+        score = tile[row, near]
+        order = np.lexsort((near, -score, row))
+        row, near, score = row[order], near[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        top = place < keep
+        parts.append(pd.DataFrame({"qid": some["qid"].to_numpy()[row[top]], "pid": ids[near[top]], "score": score[top]}))
     return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "pid": [], "score": []})
 
 
@@ -178,11 +190,9 @@ def vector_topk(queries: DataFrame, pool: DataFrame, k: int = 20, metric: str =
     distance 2-2cos of the same neighbours instead.
     """
     one = queries.select("qid", "vec")
-    # one row more than the cap tells whether the side is small enough
-    head = one.limit(BROADCAST_ROWS + 1).toPandas()
-    values = len(head) * len(head["vec"].iloc[0]) if len(head) else 0
-    if len(head) <= BROADCAST_ROWS and values <= BROADCAST_VALUES:
-        out = top_k(_broadcast_topk(one, head, pool, k), ["qid"], best("score", "pid"), k)
+    size = one.agg(F.count("*").alias("rows"), F.sum(F.size("vec")).alias("numbers")).first()
+    if size["rows"] <= BROADCAST_ROWS and (size["numbers"] or 0) <= BROADCAST_VALUES:
+        out = top_k(_broadcast_topk(one, one.toPandas(), pool, k), ["qid"], best("score", "pid"), k)
     else:
         q = one.withColumn("cell", F.lit(0))
         out = block_topk(q, pool.withColumn("cell", F.lit(0)), k)
@@ -220,19 +230,38 @@ def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 class Cells:
-    """A coarse partition of the vector space by k-means centres."""
+    """A coarse partition of the vector space by centres."""
 
     def __init__(self, centers: np.ndarray):
         self.centers = centers
 
     @classmethod
-    def fit(cls, pool: DataFrame, n_cells: int, seed: int = 42, sample: float = 1.0) -> Cells:
+    def fit(cls, pool: DataFrame, n_cells: int | None = None, seed: int = 42) -> Cells:
+        """k-means centres, the square root of the number of rows if n_cells is None, fitted on at most about CELL_SAMPLE rows."""
         vecs = pool.select(array_to_vector(F.col("vec")).alias("features"))
-        if sample < 1.0:
-            vecs = vecs.sample(sample, seed)
-        model = KMeans(k=n_cells, seed=seed, maxIter=10).fit(vecs)
+        rows = vecs.count()
+        if rows > CELL_SAMPLE:
+            vecs = vecs.sample(CELL_SAMPLE / rows, seed)
+        model = KMeans(k=n_cells or max(1, round(rows**0.5)), seed=seed, maxIter=10).fit(vecs)
         return cls(np.array(model.clusterCenters()))
 
+    @classmethod
+    def first(cls, pool: DataFrame, n_cells: int) -> Cells:
+        """The vectors of the n_cells smallest ids as centres."""
+        return cls(np.array([r["vec"] for r in pool.orderBy("pid").limit(n_cells).select("vec").collect()]))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centers)]
+        return spark.createDataFrame(rows, "cell int, centre array<double>")
+
+    @classmethod
+    def read(cls, table: DataFrame) -> Cells:
+        return cls(np.array([r["centre"] for r in table.orderBy("cell").collect()]))
+
+    def assigned(self, pool: DataFrame) -> DataFrame:
+        """pool with the cell of each vector."""
+        return pool.withColumn("cell", self.nearest("vec", 1)[0])
+
     def nearest(self, vec: Column | str, n: int) -> Column:
         """The n nearest cells of a vector, nearest first."""
         centers = self.centers
@@ -248,12 +277,15 @@ class Cells:
 
 
 def vector_topk_cells(
-    queries: DataFrame, pool: DataFrame, k: int = 20, n_cells: int = 16, nprobe: int = 4, cells: Cells | None = None
+    queries: DataFrame, pool: DataFrame, k: int = 20, n_cells: int | None = None, nprobe: int = 4, cells: Cells | None = None
 ) -> DataFrame:
-    """Approximate top-k: each query is compared with the vectors of its nprobe nearest cells."""
+    """Approximate top-k: each query is compared with the vectors of its nprobe nearest cells.
+
+    A pool that has a ``cell`` column, as Cells.assigned gives it, is not assigned again.
+    """
     cells = cells or Cells.fit(pool, n_cells)
     q = queries.select("qid", "vec", F.explode(cells.nearest("vec", nprobe)).alias("cell"))
-    p = pool.select("pid", "vec", cells.nearest("vec", 1)[0].alias("cell"))
+    p = (pool if "cell" in pool.columns else cells.assigned(pool)).select("pid", "vec", "cell")
     return block_topk(q, p, k)
 
 
@@ -296,9 +328,9 @@ def semantic_topk(
     Exact, unless ``cells`` are given: then the nprobe nearest cells are searched.
     """
     q = prefix_vecs.select(F.col("prefix").alias("qid"), "vec")
-    p = pool_vecs.select(F.col("query").alias("pid"), "vec")
+    p = pool_vecs.withColumnRenamed("query", "pid")
     if cells is None:
-        found = vector_topk(q, p, k, metric)
+        found = vector_topk(q, p.select("pid", "vec"), k, metric)
     else:
         found = vector_topk_cells(q, p, k, nprobe=nprobe, cells=cells)
         if metric == "l2_raw":

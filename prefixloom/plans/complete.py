@@ -16,7 +16,7 @@ from ..operators.lexical import (
 )
 from ..operators.vectors import Cells, embed, hashed_trigram_encoder, semantic_topk
 from ..session import cut_lineage
-from ..sources.tables import clean_features, distinct_queries, feature_map
+from ..sources.tables import clean_features, distinct_queries, exists, feature_map
 
 POPULAR_N = 1000  # fixed value: length of the popular list (a report; completions look at the whole pool)
 
@@ -38,12 +38,13 @@ class Engine:
     @classmethod
     def build(
         cls, pool: DataFrame, features: DataFrame, make_encoder: Callable = hashed_trigram_encoder, keep: Keep = lazy,
-        order: str | None = None,
+        order: str | None = None, n_cells: int | None = None,
     ) -> Engine:
         """All tables, each held by ``keep``: written once (``store``) for reuse over batches, or lazy.
 
         The inputs may be unclean: the pool becomes a set without nulls, features get one row per
-        query (the last by ``order``, else the maxima) and no missing counts.
+        query (the last by ``order``, else the maxima) and no missing counts. With n_cells the vectors
+        are kept by cell and searched approximately (0: the square root of the pool's size).
         """
         guard = getattr(keep, "guard", None)
         if guard:
@@ -52,12 +53,17 @@ class Engine:
         pool = keep(distinct_queries(pool).filter(F.col("query").isNotNull()), "pool")
         features = keep(feature_map(features if order else clean_features(features), order=order), "features")
         counts = with_engagement(pool, features)
+        vectors, cells = keep(embed(pool, "query", make_encoder), "vectors"), None
+        if n_cells is not None:
+            cells = Cells.fit(vectors, n_cells or None)
+            keep(cells.table(pool.sparkSession), "centres")
+            vectors = keep(cells.assigned(vectors), "vectors_by_cell")
         return cls(
             pool, features, trigram_index(pool, keep=keep), bm25_index(pool, keep=keep),
-            keep(embed(pool.select("query"), "query", make_encoder), "vectors"),
+            vectors,
             keep(popular_queries(counts, popularity_4321(), POPULAR_N), "popular"),
             keep(short_heads(counts, popularity_4321(), FINAL_K), "short"),
-            make_encoder,
+            make_encoder, cells,
         )
 
     @classmethod
@@ -67,10 +73,12 @@ class Engine:
         def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{folder}/{name}")
 
+        by_cell = exists(spark, f"{folder}/vectors_by_cell")
         return cls(
             table("pool"), table("features"),
             TrigramIndex.read(spark, folder, "trigram"), Bm25Index.read(spark, folder, "bm25"),
-            table("vectors"), table("popular"), table("short"), make_encoder,
+            table("vectors_by_cell" if by_cell else "vectors"), table("popular"), table("short"), make_encoder,
+            Cells.read(table("centres")) if by_cell else None,
         )
 
     def prefix_vectors(self, prefixes: DataFrame) -> DataFrame:

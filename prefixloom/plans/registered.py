@@ -438,7 +438,18 @@ def vector_topk_blocks(t):
 
 @query
 def vector_topk_cells(t):
-    return vectors.vector_topk_cells(t.query_vectors(), t.pool_vectors(), 20)
+    pool = t.pool_vectors()
+    return vectors.vector_topk_cells(t.query_vectors(), pool, 20, cells=vectors.Cells.first(pool, 16))
+
+
+@query
+def vector_recall(t):
+    """Of the 10 nearest vectors of each query, those that cell probing finds."""
+    pool = t.pool_vectors()
+    exact = vectors.vector_topk(t.query_vectors(), pool, 10).select("qid", "pid")
+    some = vectors.vector_topk_cells(t.query_vectors(), pool, 10, nprobe=8, cells=vectors.Cells.first(pool, 16)).select("qid", "pid")
+    hits = exact.join(some.withColumn("hit", F.lit(1)), ["qid", "pid"], "left")
+    return hits.agg(F.count("*").alias("total"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query
@@ -455,6 +466,15 @@ def pca_project(t):
     )
 
 
+@query
+def pca_norms(t):
+    """At full dimension a projection keeps the squared norm of the centred vector."""
+    rows = t.vectors().select("vec_id", F.col("embedding").alias("vec"))
+    out = vectors.CentredPca.fit(rows, 64).transform(rows)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    return out.select("vec_id", F.round(total, 4).alias("norm2"))
+
+
 @query
 def product_search(t):
     """Texts against all clean products: words 2 to 4 of every twentieth title."""
@@ -671,8 +691,24 @@ def ranker_ndcg(t):
     return evaluate.ndcg(model.score(held_out), "prediction")
 
 
+_RANKERS: dict[tuple[str, str], tuple] = {}
+
+
 def _ranker(t: Tables):
-    rows = learn.group_split(cut_lineage(_training(t)))
-    model = learn.Ranker.fit(rows.filter(F.col("part") == "train"))
-    return model, rows.filter(F.col("part") == "validation")
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _RANKERS:
+        rows = learn.group_split(cut_lineage(_training(t)))
+        model = learn.Ranker.fit(rows.filter(F.col("part") == "train"))
+        _RANKERS[key] = model, rows.filter(F.col("part") == "validation")
+    return _RANKERS[key]
 
+
+@query
+def ranker_checks(t):
+    """What holds for any fitted ranker."""
+    model, held_out = _ranker(t)
+    weights = model.importances(len(scores.FEATURES)).agg(F.count("*").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance_sum"))
+    ndcg_ok = evaluate.ndcg(model.score(held_out), "prediction").agg(
+        F.count("*").alias("n_cuts"), F.min((F.col("ndcg") >= 0) & (F.col("ndcg") <= 1)).alias("ndcg_in_range"))
+    counted = held_out.agg(F.countDistinct("group_id").alias("n_groups"), F.count("*").alias("n_rows"))
+    return weights.crossJoin(ndcg_ok).crossJoin(counted)  # one row each

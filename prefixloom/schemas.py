@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Column names of the input tables.
 ENGAGEMENT = ["orders", "volume", "catalog_clicks", "catalog_views"]
 
 POOL = T.StructType([T.StructField("query", T.StringType())])

@@ -18,7 +18,7 @@ def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLES if not n.startswith("op")))
 def test_same_rows(spark, con, name):
     columns, rows = spark_rows(QUERIES[name](spark, DATA))
     want_columns, want = oracle_rows(con, ORACLES[name])
@@ -26,7 +26,7 @@ def test_same_rows(spark, con, name):
     assert rows == want
 
 
-@pytest.mark.parametrize("name", ["hashed_bm25_buckets", "hybrid_buckets", "pca_project", "training_set", "vector_topk_cells"])
+@pytest.mark.parametrize("name", ["pca_project", "ranker_importance", "ranker_ndcg"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).limit(1).count() == 1
 
