@@ -29,6 +29,7 @@ from ..functions.scores import jaccard, rounded
 from ..functions.similarity import ratio
 from ..functions.text import char_trigrams, gram_codes, leading_edges, normalize_strict, tokenize
 from ..schemas import require
+from ..session import broadcast_up_to
 from .ranking import best, popular, top_k
 
 CELL_ROWS = 1_000_000
@@ -60,12 +61,11 @@ class Index:
 def _split_cells(postings: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """Number the postings of oversized cells into salts; all others get salt 0.
 
-    Broadcast side: cells of more than CELL_ROWS rows, so at most
-    rows / CELL_ROWS of them exist.
+    Cells of more than CELL_ROWS rows are broadcast up to 100,000 of them.
     """
     hot = cells.filter(F.col("salts") > 1).select(*keys, "salts")
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("query"), F.col("salts")))
-    return postings.join(F.broadcast(hot), keys, "left").withColumn("salt", salt.cast("int")).drop("salts")
+    return postings.join(broadcast_up_to(hot), keys, "left").withColumn("salt", salt.cast("int")).drop("salts")
 
 
 def _cells(postings: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import DIGITS, l2_normalize
 from ..functions.text import normalize_strict
+from ..session import broadcast_up_to
 from .ranking import best, top_k
 
 BROADCAST_ROWS = 20_000
@@ -147,13 +148,13 @@ def block_topk(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """Top-k within equal ``cell`` values: queries(cell, qid, vec..), pool(cell, pid, vec..).
 
     A cell is cut into hash blocks on both sides, QUERY_BLOCK by POOL_BLOCK rows,
-    so a cell that holds a third of the rows becomes many tasks. Broadcast side:
-    one row of counts per cell.
+    so a cell that holds a third of the rows becomes many tasks. The counts, one
+    row per cell, are broadcast up to 100,000 cells.
     """
     schema = _result_schema(queries, pool)
     n_q = queries.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("nqb"))
     n_p = pool.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(POOL_BLOCK)).cast("int").alias("npb"))
-    sizes = F.broadcast(n_q.join(n_p, "cell"))
+    sizes = broadcast_up_to(n_q.join(n_p, "cell"))
 
     def blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sources.tables import shared_folder
 
@@ -46,3 +47,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def broadcast_up_to(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; beyond, the plain join stands."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

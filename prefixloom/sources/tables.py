@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -41,7 +43,8 @@ def materialise(
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir.
 
-    Only a local session may do without that setting; it gets a temporary folder.
+    Only a local session may do without that setting; it gets one temporary folder,
+    removed when the program ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
@@ -49,7 +52,10 @@ def shared_folder(spark: SparkSession) -> str:
         return f"{folder}/{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="prefixloom-"))
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="prefixloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 _LOCAL: dict[str, str] = {}
