@@ -8,9 +8,11 @@ from .neighbours import SQL as NEIGHBOURS
 from .neighbours import op6_neighbours
 from .pieces import op8_pieces
 from .quality import op1_quality
+from .repeats import SQL as REPEATS
 from .repeats import op3_repeats
 from .rules import op9_rules
 from .secrets import op4_secrets
+from .secrets import oracle as secrets_sql
 from .simhash import op10_simhash
 from .toxicity import op2_toxicity
 from .wrapper import op5_wrapper
@@ -29,6 +31,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_repeats": REPEATS,
+    "op4_secrets": secrets_sql(),
     "op6_neighbours": NEIGHBOURS,
     "op7_mixing": MIXING,
 }

@@ -252,3 +252,22 @@ def without_repeats(docs: DataFrame, text: str = "text", kept: str | None = None
 def op3_repeats(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return without_repeats(docs).drop("text")
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i AS start, md5(b[i:i + 399]) AS h FROM d, unnest(range(1, octet_length(b) - 398)) AS u(i)),
+again AS (SELECT r, start FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+edges AS (SELECT r, start, start > coalesce(lag(start) OVER (PARTITION BY r ORDER BY start), -1000) + 400 AS fresh FROM again),
+runs AS (SELECT r, min(start) AS a, max(start) + 400 AS z FROM (
+  SELECT r, start, sum(fresh::INT) OVER (PARTITION BY r ORDER BY start) AS run FROM edges) GROUP BY r, run),
+kept AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS z FROM runs
+  UNION ALL SELECT r, max(z), max(octet_length(b)) + 1 FROM runs JOIN d USING (r) GROUP BY r
+  UNION ALL SELECT r, 1, octet_length(b) + 1 FROM d WHERE r NOT IN (SELECT r FROM runs)),
+parts AS (SELECT r, string_agg(CASE WHEN z > kept.a THEN hex(b[kept.a:z - 1]) ELSE '' END, '' ORDER BY kept.a) AS x FROM kept JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a)::BIGINT AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(x)) AS kept_sha256
+FROM d JOIN parts USING (r) LEFT JOIN sums USING (r)
+"""

@@ -189,3 +189,52 @@ def op4_secrets(spark, folder: str) -> DataFrame:
     return found.select(
         "doc_id", count(1).alias("n_assign"), count(2).alias("n_access"), count(3).alias("n_hex"),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def oracle() -> str:
+    """The query's rows in DuckDB's SQL."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def matches(name: str, rank: int, pattern: str, keep: str) -> str:
+        return f"""
+{name} AS (
+  SELECT r, {rank} AS rank, until - length(m) AS a, until AS z, m FROM (
+    SELECT r, m, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i) AS until FROM (
+      SELECT r, unnest(gaps) AS gap, unnest(ms) AS m, generate_subscripts(gaps, 1) AS i FROM (
+        SELECT r, string_split_regex(t, {quoted(pattern)}) AS gaps, regexp_extract_all(t, {quoted(pattern)}) AS ms FROM d)))
+  WHERE m IS NOT NULL AND {keep})"""
+
+    allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in ALLOW)
+    tables = [
+        "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)",
+        matches("assign", 1, ASSIGN, f"length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= {VALUE}"),
+        matches("access", 2, ACCESS, "true"), matches("hexes", 3, HEX, "true"),
+    ]
+    for i, kind in enumerate(CLASSES):
+        rank = len(BASE) + 1 + i
+        tables += [
+            matches(f"run{rank}", rank, kind.pattern, f"NOT ({allowed})"),
+            f"""
+hot{rank} AS (
+  SELECT r, a AS run, a + i AS s FROM run{rank}, unnest(range(length(m) - {kind.window} + 1)) AS u(i)
+  WHERE list_aggregate(string_split(substr(m, i::INT + 1, {kind.window}), ''), 'entropy') >= {kind.bits})""",
+            f"""
+span{rank} AS (
+  SELECT r, {rank} AS rank, min(s) AS a, max(s) + {kind.window} AS z FROM (
+    SELECT r, run, s, sum(fresh::INT) OVER (PARTITION BY r, run ORDER BY s) AS part FROM (
+      SELECT r, run, s, s > coalesce(lag(s) OVER (PARTITION BY r, run ORDER BY s), -1000) + {kind.window} AS fresh FROM hot{rank}))
+  GROUP BY r, run, part)""",
+        ]
+    names = "['" + "', '".join([*BASE, *(k.name for k in CLASSES)]) + "']"
+    every = " UNION ALL ".join(f"SELECT r, rank, a, z FROM {n}" for n in ["assign", "access", "hexes", *(f"span{len(BASE) + 1 + i}" for i in range(len(CLASSES)))])
+    text = f"string_agg(concat({names}[rank], ':', a, ':', z), ',' ORDER BY a, rank)"
+    tables.append(f"""
+s AS (
+  SELECT r, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank = 2) AS n2, count(*) FILTER (WHERE rank = 3) AS n3,
+    {text} FILTER (WHERE rank <= {len(BASE)}) AS base, {text} AS spans
+  FROM ({every}) GROUP BY r)""")
+    return "WITH " + ",".join(tables) + """
+SELECT doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (r)"""

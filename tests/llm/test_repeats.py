@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from compare import oracle_rows, spark_rows, views
 
 from prefixloom.llm import repeats as X
 
@@ -74,3 +75,8 @@ def test_query_as_by_a_plain_version(spark):
     got = X.op3_repeats(spark, folder)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_same_rows_as_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert spark_rows(X.op3_repeats(spark, folder)) == oracle_rows(views(folder), X.SQL)

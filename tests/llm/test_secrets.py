@@ -5,7 +5,9 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from compare import oracle_rows, spark_rows, views
 
 from prefixloom.llm import secrets as X
 
@@ -93,3 +95,15 @@ def test_redaction_and_odd_rows(spark):
 @pytest.mark.parametrize("kind", X.CLASSES)
 def test_classes_know_their_characters(kind):
     assert all(re.fullmatch(kind.pattern.split("{")[0], c) for c in kind.characters)
+
+
+def test_same_rows_as_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert spark_rows(X.op4_secrets(spark, folder)) == oracle_rows(views(folder), X.oracle())
+
+
+def test_sql_finds_the_same_spans(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert spark_rows(X.op4_secrets(spark, str(tmp_path))) == oracle_rows(con, X.oracle())
