@@ -602,6 +602,11 @@ add("hashed_bm25_buckets", "SELECT query, term, round(w, 6) AS weight FROM spars
 add("hybrid_buckets", first_100("mixed_path"), **IN_BUCKETS)
 add("hybrid_full", first_100("full_path"))
 add("hybrid_blocked", first_100("mixed_path"))
+add("index_roundtrip_all", f"""
+SELECT 'complete' AS source, prefix, query, rk FROM completed
+UNION ALL SELECT 'bm25', prefix, query, rk FROM bm25 WHERE rk <= 20
+UNION ALL SELECT 'trigram', prefix, query, rk FROM trigram WHERE rk <= 10
+UNION ALL SELECT 'hybrid', prefix, query, rk FROM ({first_100("full_path")})""")
 add("cascade", "SELECT * FROM cascaded", norm_pairs="SELECT key AS p, query AS q FROM fkeys, fpool")
 
 add("hit_at_10", """

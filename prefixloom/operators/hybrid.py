@@ -82,6 +82,17 @@ class HybridIndex:
         self.extras = keep(extras, "extras").withColumnRenamed("query", "pid")
         self.term_df = keep(term_df(pool, n_buckets), "term_df")
 
+    @classmethod
+    def read(cls, folder: str, pool: DataFrame, vecs: DataFrame, n_buckets: int | None = N_BUCKETS) -> HybridIndex:
+        """The index a ``store`` of that folder holds, beside its pool and vectors."""
+        read = pool.sparkSession.read.parquet
+        index = cls.__new__(cls)
+        index.pool, index.n_buckets = pool, n_buckets
+        index.vecs = vecs.select(F.col("query").alias("pid"), "vec")
+        index.extras = read(f"{folder}/extras").withColumnRenamed("query", "pid")
+        index.term_df = read(f"{folder}/term_df")
+        return index
+
     def prefix_side(self, prefixes: DataFrame, prefix_vecs: DataFrame, alpha: float) -> DataFrame:
         """(qid, vec, terms, term_weights) with both parts at unit length and weighted by alpha."""
         sparse = sparse_prefixes(prefixes, self.pool, self.term_df, self.n_buckets)

@@ -101,6 +101,25 @@ def index_roundtrip(t):
     return lexical.trigram_topk(t.prefixes(), index, 10)
 
 
+@query
+def index_roundtrip_all(t):
+    """Every kind of index written, read back and used: (source, prefix, query, rk)."""
+    folder = _folder(t, "indexes")
+    write = tables.store(t.spark, folder)
+    Engine.build(t.pool(), t.features(), keep=write)
+    e = Engine.read(t.spark, folder)
+    hybrid.HybridIndex(e.pool, e.features, e.vectors, None, keep=tables.store(t.spark, f"{folder}/hybrid"))
+    mixed = hybrid.HybridIndex.read(f"{folder}/hybrid", e.pool, e.vectors, None)
+    prefixes = t.prefixes()
+    found = {
+        "complete": e.complete(prefixes), "bm25": lexical.bm25_topk(prefixes, e.bm25, 20),
+        "trigram": lexical.trigram_topk(prefixes, e.trigrams, 10),
+        "hybrid": hybrid.hybrid_full(prefixes, e.prefix_vectors(prefixes), mixed),
+    }
+    parts = [df.select(F.lit(name).alias("source"), "prefix", "query", "rk") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query
 def submission_wide(t):
     ranked = lexical.prefix_match(t.prefixes(), t.pool(), 10)

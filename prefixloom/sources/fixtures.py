@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_hash
+from .tables import scan
+
+# what the reader enforces; the other tables keep the schema of their files
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+}
 
 
 class Tables:
@@ -15,7 +23,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return scan(self.spark, f"{self.folder}/{name}.parquet", SCHEMAS.get(name))
 
     def parts(self) -> DataFrame:
         text = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))

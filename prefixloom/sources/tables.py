@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..schemas import ENGAGEMENT, require
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Parquet scan of a path or glob; a given schema is enforced by the reader."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
