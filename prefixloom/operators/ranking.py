@@ -35,59 +35,70 @@ def best(score: str = "score", tie: str = "query") -> list[Column]:
 def ranked_values(
     df: DataFrame, columns: Sequence[str], targets: Sequence[float]
 ) -> dict[str, list[float]]:
-    """Exact values at 0-based fractional positions targets*(n-1), per numeric column.
+    """Exact values at 0-based fractional positions targets*(n-1), per numeric column; nulls come first.
 
-    Linear interpolation between neighbours. percentile_approx brackets each
-    position within its guaranteed rank error; only the bracketed values, counted
-    per distinct value, are then sorted (one window per column). A handful of
-    numbers per column comes back to the driver.
+    Linear interpolation between neighbours. A handful of numbers per column comes back to the driver.
     """
-    slack = 3.0 / ACCURACY
-    lo_p, hi_p = max(min(targets) - slack, 0.0), min(max(targets) + slack, 1.0)
-    sketch = [F.percentile_approx(c, [lo_p, hi_p], ACCURACY).alias(c) for c in columns]
-    bounds = df.agg(F.count("*").alias("_n"), *sketch).first()
-    n = bounds["_n"]
+    found = [_ranked(df, columns, t) for t in targets]
+    return {c: [one[c] for one in found] for c in columns}
+
+
+def _ranked(df: DataFrame, columns: Sequence[str], target: float) -> dict[str, float]:
+    """Each round percentile_approx brackets the position among the rows still inside a column's bracket,
+    within its guaranteed rank error, and the rows below and inside are counted exactly. When few are left,
+    they are counted per distinct value and sorted, one window per column."""
+    n = df.count()
     if not n:
-        return {c: [float("nan")] * len(targets) for c in columns}
-    # in a small frame single rows outweigh the rank error, and all of it can be sorted
-    whole = n <= 2 * ACCURACY
-    edge = {
-        c: (
-            None if whole or lo_p == 0.0 else bounds[c][0],
-            None if whole or hi_p == 1.0 else bounds[c][1],
-        )
-        for c in columns
-    }
-
-    def entry(c: str) -> Column:
+        return {c: float("nan") for c in columns}
+    at = target * (n - 1)
+    first, second = int(at), min(int(at) + 1, n - 1)
+    edge: dict[str, tuple[float | None, float | None]] = {c: (None, None) for c in columns}
+    below, inside, enough = dict.fromkeys(columns, 0), dict.fromkeys(columns, n), 2 * ACCURACY
+
+    def within(c: str) -> Column:
         lo, hi = edge[c]
         v = F.col(c).cast("double")
-        # rows below the bracket are counted under null, rows above it are dropped
-        value = v if lo is None else F.when(v >= F.lit(lo), v)
-        used = F.lit(True) if hi is None else v <= F.lit(hi)
-        return F.struct(F.lit(c).alias("name"), value.alias("v"), used.alias("used"))
-
-    rows = df.select(F.explode(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
+        ok = F.lit(True) if lo is None else F.coalesce(v >= F.lit(lo), F.lit(False))
+        return ok if hi is None else ok & F.coalesce(v <= F.lit(hi), F.lit(True))
+
+    while wide := [c for c in columns if inside[c] > enough]:
+        aggs = []
+        for c in wide:
+            slack = 3.0 / ACCURACY + 3.0 / inside[c]
+            shares = [max((first - below[c]) / inside[c] - slack, 0.0), min((second - below[c]) / inside[c] + slack, 1.0)]
+            aggs.append(F.percentile_approx(F.when(within(c), F.col(c).cast("double")), shares, ACCURACY).alias(c))
+        got = df.agg(*aggs).first()
+        before = dict(edge)
+        for c in wide:
+            slack = 3.0 / ACCURACY + 3.0 / inside[c]
+            lo, hi = got[c] if got[c] is not None else (None, None)
+            # the ends of a bracket are its smallest and largest value only up to the rank error
+            edge[c] = (edge[c][0] if (first - below[c]) / inside[c] <= slack else lo,
+                       edge[c][1] if (second - below[c]) / inside[c] >= 1 - slack else hi)
+        counts = df.agg(*[x for c in wide for x in (
+            F.count_if(within(c)).alias(f"in_{c}"),
+            (F.lit(0) if edge[c][0] is None else F.count_if(F.col(c).isNull() | (F.col(c) < F.lit(edge[c][0])))).alias(f"below_{c}"))]).first()
+        for c in wide:
+            inside[c], below[c] = counts[f"in_{c}"], counts[f"below_{c}"] or 0
+        enough = SORT_ROWS
+        if before == edge:
+            break  # one value fills the brackets; counting per value is small
+
+    rows = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"), within(c).alias("used")) for c in columns])).alias("e")).select("e.*")
     counts = rows.filter("used").groupBy("name", "v").agg(F.count("*").alias("c"))
     w = Window.partitionBy("name").orderBy(F.asc_nulls_first("v"))
     upto = counts.withColumn("upto", F.sum("c").over(w))
-    wanted = []
-    for c in columns:
-        for i, t in enumerate(targets):
-            at = t * (n - 1)
-            wanted += [(c, i, "lo", int(at)), (c, i, "hi", min(int(at) + 1, n - 1))]
-    spots = df.sparkSession.createDataFrame(wanted, "name string, i int, side string, pos long")
+    wanted = [(c, side, pos - below[c]) for c in columns for side, pos in (("lo", first), ("hi", second))]
+    spots = df.sparkSession.createDataFrame(wanted, "name string, side string, pos long")
     joined = upto.join(F.broadcast(spots), "name").filter(
         (F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("c"))
     )
-    hit = {(r["name"], r["i"], r["side"]): r["v"] for r in joined.select("name", "i", "side", "v").collect()}
-    out: dict[str, list[float]] = {}
+    hit = {(r["name"], r["side"]): r["v"] for r in joined.select("name", "side", "v").collect()}
+    out = {}
     for c in columns:
-        out[c] = []
-        for i, t in enumerate(targets):
-            a, b = hit[(c, i, "lo")], hit[(c, i, "hi")]
-            frac = t * (n - 1) - int(t * (n - 1))
-            out[c].append(a if frac == 0 or a == b else a + (b - a) * frac)
+        a, b = hit[c, "lo"], hit[c, "hi"]
+        out[c] = a if at == first or a == b else a + (b - a) * (at - first)
     return out
 
 

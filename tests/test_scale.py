@@ -94,7 +94,9 @@ def test_kth_smallest_in_rounds(spark, monkeypatch):
     assert ranking.kth_smallest(df, "v", lambda n: n)[0] is None
 
 
-def test_ranked_values_bracket(spark):
+@pytest.mark.parametrize("sort_rows", [2_000_000, 40])
+def test_ranked_values_bracket(spark, monkeypatch, sort_rows):
+    monkeypatch.setattr(ranking, "SORT_ROWS", sort_rows)
     df = spark.range(50_000).select(
         (F.col("id") * 7919 % 50_000).cast("double").alias("a"),
         F.when(F.col("id") % 100 < 98, 0.0).otherwise(F.col("id").cast("double")).alias("b"),
