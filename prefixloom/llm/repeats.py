@@ -17,7 +17,8 @@ names of what lies at other offsets, and each only within the buckets the step b
 
 Names are compared by Spark's shuffles. A bucket is never brought together: each step counts names with
 partial sums in the map tasks, and one suffix of each class of equals goes on to the next, so copies in
-any number cost a count. Memory in a task is bounded by a slice of texts; texts are not cut.
+any number cost a count. Memory in a task is bounded by a slice of texts; texts are not cut (of one longer
+than a slice, names take about 100 bytes a byte).
 
 Null texts are empty; texts of under 400 bytes have no window. Rows are told apart by a number given at
 the start, so null or repeated ids are kept as they are: equal rows remove each other's text. Old columns
@@ -43,6 +44,7 @@ BLOCK = 32
 CORE = LENGTH - BLOCK + 1
 MARGIN = BLOCK - 1
 PLACE_BITS = 30
+SLICE = 1 << 21  # bytes of texts that a task names together; names take 8 bytes a byte
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -105,7 +107,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (row, text) to (row, anchor, near, far, gram, whole): near and far are the least and the largest
     number of bytes between a window's start and its anchor."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             body, ends = flat(part.column("text"))
             gram, name = names(body)
             owner, anchor, first, last = anchors(gram, ends)
@@ -130,7 +132,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open: array of (anchor, near, far, gram, need). from and to bound the distances that the block has here.
     """
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             body, ends = flat(part.column("text"))
             _, name = names(body)
             lists = part.column("open")
@@ -203,7 +205,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (row, text, runs) to (row, n_removed, n_spans, kept_sha256, kept)."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             body, ends = flat(part.column("text"))
             rows = []
             for i, runs in enumerate(part.column("runs")):
