@@ -7,8 +7,8 @@ parents and the order of children, by dynamic programming over the children of m
 no partner is added. Then every page of the host is aligned with the wrapper, each text block is counted by
 its slot, and a block that half of the pages with that slot have in it is constant: it is template. What
 varies is content, unless its slot is a menu, footer, form, advert, comment and the like by its element or
-by words in class, id and role, or is mostly links. Where a host's pages mark an article or main part, only
-what is in it is content, and it is content also where texts repeat (pages may be copies of each other).
+by words in class, id and role, or is mostly links. An article or main part is a hint beside this: linked
+paragraphs in it stay, unless their slot is a list of links on the host.
 
 A page's text is its content blocks in page order: character references decoded, white space turned into
 one blank, blocks joined by an empty line.
@@ -301,19 +301,22 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
         blocks_of, f"row {fields}, host string, page long, blocks {BLOCKS}")
     aligned = written(aligned)
 
-    # constant blocks of slots outside marked articles; inside them every block is content
-    outside = F.filter("blocks", lambda b: ~b["inside"])
-    seen = aligned.select("host", "page", F.explode(outside).alias("b")).select("host", "page", "b.slot", "b.hash").distinct()
+    # constant blocks, in marked articles as elsewhere; slots that are lists of links
+    seen = aligned.select("host", "page", F.explode("blocks").alias("b")).groupBy("host", "page", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")).agg(
+        F.bool_and("b.linked").alias("linked"))
     slots = seen.groupBy("host", "slot").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    counts = seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"))
-    constant = counts.join(slots, ["host", "slot"]).filter(F.col("c") >= F.col("n") * CONSTANT_SHARE)
-    template = written(constant.groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template")))
+    counts = seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.count_if("linked").alias("l")).join(slots, ["host", "slot"])
+    constant = counts.filter(F.col("c") >= F.col("n") * CONSTANT_SHARE).select("host", "slot", "hash")
+    lists = counts.groupBy("host", "slot").agg(F.sum("l").alias("l"), F.sum("c").alias("c")).filter(F.col("l") > F.col("c") * MOST_LINKED)
+    found = constant.union(lists.select("host", "slot", F.lit(None).cast("long").alias("hash")))
+    template = written(found.groupBy("host").agg(
+        F.collect_set(F.when(F.col("hash").isNotNull(), F.struct("slot", "hash"))).alias("template"), F.collect_set(F.when(F.col("hash").isNull(), F.col("slot"))).alias("lists")))
 
     marked = beside(aligned, template, "left")
-    varying = lambda b: ~F.coalesce(F.array_contains("template", F.struct(b["slot"], b["hash"])), F.lit(False)) & ~b["linked"]
-    has_part = F.exists("blocks", lambda b: b["inside"])
-    chosen = F.when(has_part, F.filter("blocks", lambda b: b["inside"])).otherwise(F.filter("blocks", varying))
-    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")
+    within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
+    listed = lambda b: b["linked"] & (~b["inside"] | F.coalesce(F.array_contains("lists", b["slot"]), F.lit(False)))
+    fits = F.filter("blocks", lambda b: ~within(b, "template") & ~listed(b))
+    text = F.array_join(F.transform(fits, lambda b: b["text"]), "\n\n")
     return marked.select(*[F.col(f"row.`{c}`") for c in own], text.alias(out))
 
 

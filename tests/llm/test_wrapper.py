@@ -81,3 +81,21 @@ def test_many_hosts_by_plain_joins(spark, monkeypatch):
     want = sorted(map(tuple, X.main_text(pages).collect()))
     monkeypatch.setattr(X, "FEW_HOSTS", 1)
     assert sorted(map(tuple, X.main_text(pages).collect())) == want
+
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in X.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_constant_blocks_of_an_article_are_template_and_text_outside_stays(spark):
+    page = ("<body><p>Weather on day {i} is fine</p><article><h1>Story {i}</h1><p>By our staff</p><p>text {i} of some length</p>"
+            "<p><a href=/s{i}>linked paragraph {i}</a></p><div class=tools><span>Print or send this page</span></div></article><div>A late correction, number {i}</div></body>")
+    got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(12)])
+    for i in range(12):
+        assert got[i] == f"Weather on day {i} is fine\n\nStory {i}\n\ntext {i} of some length\n\nlinked paragraph {i}\n\nA late correction, number {i}"
+
+
+def test_lists_of_links_in_an_article(spark):
+    page = "<article><h1>Story {i}</h1><p>text {i} of some length</p><ul><li><a href=/a>more {i}</a><li><a href=/b>and more {i}</a></ul></article>"
+    got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(12)])
+    assert got[3] == "Story 3\n\ntext 3 of some length"
