@@ -5,10 +5,11 @@ digits, and whether they may be content) are one node, so a list of any length i
 is aligned with what is there by simple tree matching (the largest mapping of two trees that keeps labels,
 parents and the order of children, by dynamic programming over the children of matched nodes), and what has
 no partner is added. Then every page of the host is aligned with the wrapper, each text block is counted by
-its slot, and a block that half of the pages with that slot have in it is constant: it is template. What
-varies is content, unless its slot is a menu, footer, form, advert, comment and the like by its element or
-by words in class, id and role, or is mostly links. An article or main part is a hint beside this: linked
-paragraphs in it stay, unless their slot is a list of links on the host.
+its slot, and a block that half of the pages with that slot have in it is constant: it is template. What varies is content, unless its slot is a menu, footer, form and the like by its element, or is mostly links. Words of
+adverts, comments and the like in class, id and role put a part in doubt, an article too, but not an article
+below the part, nor a part with the page's top heading and most of its text; what is in doubt is content only
+where a page has nothing else. An article or main part is a hint beside this: linked paragraphs in it stay,
+unless their slot is a list of links on the host.
 
 A page's text is its content blocks in page order: character references decoded, white space turned into
 one blank, blocks joined by an empty line.
@@ -19,8 +20,8 @@ are taken over all pages, copies counted once, by partial sums. Constant blocks
 Wrappers and constants are broadcast up to FEW_HOSTS hosts, else joined (and AQE splits a hot host).
 
 Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
-different pages have no template. Repeated rows stay. Old columns with the names of new ones are replaced;
-an empty table gives an empty one.
+different pages have no template. Repeated rows stay. Old columns with the names of new ones are replaced; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -51,13 +52,15 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
              "strong sub sup time tt u var wbr br img label".split())
 RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
 PARTS = set("article main".split())
-# elements, and words in class, id or role, of what is not content
+# elements of what is not content, and words in class, id or role that put it in doubt
 OUT = set("nav footer aside form script style head title noscript template iframe svg button select textarea menu dialog object canvas "
           "audio video math xmp noembed noframes option input".split())
 WORDS = set("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices "
             "alert popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs "
             "footer masthead topbar toolbar comment comments reply replies respond disqus share sharing social related recommended "
             "recommendations login signin signup search widget pagination pager skip skiplink contentinfo complementary dialog form tracking".split())
+# a name that begins so says what its element has or is in, not what it is: with-sidebar, no-banner
+ABOUT = set("with without no not non has have hide hides hidden show shows is are in on".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                "header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -67,23 +70,24 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HEADING = re.compile(r"h([1-6])\b")
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
     """Siblings of one label: a slot of the page."""
 
-    __slots__ = ("label", "children", "parent", "depth", "slot", "out", "inside")
+    __slots__ = ("label", "children", "parent", "depth", "slot", "out", "inside", "doubt", "named")
 
-    def __init__(self, label: str, parent: Node | None, out: bool = False, inside: bool = False):
+    def __init__(self, label: str, parent: Node | None, out: bool = False, inside: bool = False, doubt: bool = False, named: bool = False):
         self.label, self.parent, self.children = label, parent, {}
         self.depth = parent.depth + 1 if parent else 0
-        self.slot, self.out, self.inside = "", out, inside
+        self.slot, self.out, self.inside, self.doubt, self.named = "", out, inside, doubt, named
 
-    def child(self, label: str, out: bool, inside: bool) -> Node:
+    def child(self, label: str, out: bool, inside: bool, doubt: bool, named: bool) -> Node:
         found = self.children.get(label)
         if found is None:
-            found = self.children[label] = Node(label, self, out, inside)
+            found = self.children[label] = Node(label, self, out, inside, doubt, named)
         return found
 
 
@@ -150,23 +154,60 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         words, first_class = [], ""
         for name, a, b, c in ATTRIBUTE.findall(m["attrs"]) if m["attrs"] else ():
             value = a or b or c
-            words += SPLIT.split(value if value.islower() else re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+            for one in value.split():
+                parts = SPLIT.split(one if one.islower() else re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one).lower())
+                words += parts if parts[0] not in ABOUT else ()
             if name.lower() == "class" and not first_class:
                 first_class = re.sub(r"\d+", "", value.split()[0]) if value.split() else ""
-        inside = here.inside or tag in PARTS or "main" in words and "role" in m["attrs"].lower()
-        out = here.out or tag in OUT or (tag not in ("html", "body", "article", "main") and not WORDS.isdisjoint(words))
-        out = out or (tag == "header" and not here.inside)
-        if here.depth < DEPTH or out != here.out or inside != here.inside:
-            label = (f"{tag}.{first_class}" if first_class else tag) + "!" * out + "*" * inside
-            node = here.child(label, out, inside)
+        part = tag in PARTS or "main" in words and "role" in m["attrs"].lower()
+        named = tag not in ("html", "body") and not WORDS.isdisjoint(words)
+        inside = (here.inside or part) and not named
+        doubt = named or (here.doubt and not part)
+        out = here.out or tag in OUT or (tag == "header" and not here.inside and not here.doubt)
+        if here.depth < DEPTH or named or out != here.out or inside != here.inside or doubt != here.doubt:
+            label = (f"{tag}.{first_class}" if first_class else tag) + "!" * out + "*" * inside + "?" * (doubt + named)
+            node = here.child(label, out, inside, doubt, named)
         open_tags.append((tag, node))
         here = node
     if at < len(page) and not here.out:
         text.append(page[at:])
     flush()
+    clear(blocks)
     return root, blocks
 
 
+def clear(blocks: list[tuple[Node, str, int]]) -> None:
+    """Takes the doubt from the part of a page that holds its top heading and most of its text."""
+    heads = [(m[1], i) for i, (node, _, _) in enumerate(blocks) if (m := HEADING.match(node.label))]
+    top = blocks[min(heads)[1]][0] if heads else None
+    sizes: dict[int, int] = {}
+    while top is not None and top.doubt:
+        if top.named:
+            sizes[id(top)] = 0
+        top = top.parent
+    if not sizes:
+        return
+    whole = 0
+    for node, line, linked in blocks:
+        whole += len(line) - linked
+        while node is not None:
+            if id(node) in sizes:
+                sizes[id(node)] += len(line) - linked
+            node = node.parent
+    fine = {one for one, size in sizes.items() if 2 * size > whole}
+
+    def doubted(node: Node) -> bool:
+        while node.doubt:
+            if node.named and id(node) not in fine:
+                return True
+            node = node.parent
+        return False
+
+    plain = [node for node in {id(b[0]): b[0] for b in blocks}.values() if node.doubt and not doubted(node)]
+    for node in plain:
+        node.doubt = False
+
+
 def match(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest mapping of two trees with equal roots, and the pairs of children."""
     key = id(a), id(b)
@@ -253,13 +294,14 @@ def wrapper_of(pages: list[str]) -> str:
     return json.dumps(dumped(merged))
 
 
-BLOCKS = "array<struct<slot:string,hash:long,text:string,inside:boolean,linked:boolean>>"
+BLOCKS = "array<struct<slot:string,hash:long,text:string,inside:boolean,linked:boolean,doubt:boolean>>"
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (row, html, wrapper) to (row, blocks): the blocks of a page that may be content."""
     known: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("slot", pa.string()), ("hash", pa.int64()), ("text", pa.string()), ("inside", pa.bool_()), ("linked", pa.bool_())]))
+    kind = pa.list_(pa.struct([("slot", pa.string()), ("hash", pa.int64()), ("text", pa.string()), ("inside", pa.bool_()), ("linked", pa.bool_()),
+                                ("doubt", pa.bool_())]))
     for batch in batches:
         for part in slices(batch, "html"):
             rows = []
@@ -272,7 +314,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 align(root, known[text])
                 rows.append([
                     {"slot": node.slot, "hash": xxhash.xxh64_intdigest(line) - (1 << 63), "text": line, "inside": node.inside,
-                     "linked": linked > MOST_LINKED * len(line)} for node, line, linked in blocks])
+                     "linked": linked > MOST_LINKED * len(line), "doubt": node.doubt} for node, line, linked in blocks])
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c not in ("html", "wrapper")], pa.array(rows, kind)],
                                              [*[c for c in part.schema.names if c not in ("html", "wrapper")], "blocks"])
 
@@ -316,7 +358,9 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
     listed = lambda b: b["linked"] & (~b["inside"] | F.coalesce(F.array_contains("lists", b["slot"]), F.lit(False)))
     fits = F.filter("blocks", lambda b: ~within(b, "template") & ~listed(b))
-    text = F.array_join(F.transform(fits, lambda b: b["text"]), "\n\n")
+    sure = F.filter(fits, lambda b: ~b["doubt"])
+    chosen = F.when(F.size(sure) > 0, sure).otherwise(fits)
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")
     return marked.select(*[F.col(f"row.`{c}`") for c in own], text.alias(out))
 
 

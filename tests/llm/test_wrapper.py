@@ -99,3 +99,18 @@ def test_lists_of_links_in_an_article(spark):
     page = "<article><h1>Story {i}</h1><p>text {i} of some length</p><ul><li><a href=/a>more {i}</a><li><a href=/b>and more {i}</a></ul></article>"
     got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(12)])
     assert got[3] == "Story 3\n\ntext 3 of some length"
+
+
+@pytest.mark.parametrize("open_", ["class='content with-sidebar'", "class=no-sidebar", "class=has-banner", "class=search-results", "id=post-comments-open"])
+def test_words_of_an_ancestor_take_no_story_away(spark, open_):
+    for inner in ("<article><h1>Story {i}</h1><p>text {i}</p></article>", "<h2>Story {i}</h2><p>text {i}</p>"):
+        page = f"<body><div {open_}>{inner}<div class=sidebar>side {{i}}</div></div></body>"
+        got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(6)])
+        assert got == {i: f"Story {i}\n\ntext {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("word", ["comment", "related"])
+def test_words_count_on_articles(spark, word):
+    page = f"<body><div class=x><h1>Story {{i}}</h1><p>text {{i}}</p></div><article class={word}><header>reader {{i}}</header><p>I say {{i}}, and very much more than the story does</p></article></body>"
+    got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(6)])
+    assert got == {i: f"Story {i}\n\ntext {i}" for i in range(6)}
