@@ -5,7 +5,9 @@ digits, and whether they may be content) are one node, so a list of any length i
 is aligned with what is there by simple tree matching (the largest mapping of two trees that keeps labels,
 parents and the order of children, by dynamic programming over the children of matched nodes), and what has
 no partner is added. Then every page of the host is aligned with the wrapper, each text block is counted by
-its slot, and a block that half of the pages with that slot have in it is constant: it is template. What varies is content, unless its slot is a menu, footer, form and the like by its element, or is mostly links. Words of
+its slot, and a block that all pages of the host, or nearly all pages with that slot have in it is constant: it
+is template, in an article as elsewhere. Equal pages count once, and near copies (with one longest block besides
+those that all pages have) have one vote for a slot. What varies is content, unless its slot is a menu, footer, form and the like by its element, or is mostly links. Words of
 adverts, comments and the like in class, id and role put a part in doubt, an article too, but not an article
 below the part, nor a part with the page's top heading and most of its text; what is in doubt is content only
 where a page has nothing else. An article or main part is a hint beside this: linked paragraphs in it stay,
@@ -20,7 +22,8 @@ are taken over all pages, copies counted once, by partial sums. Constant blocks
 Wrappers and constants are broadcast up to FEW_HOSTS hosts, else joined (and AQE splits a hot host).
 
 Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
-different pages have no template. Repeated rows stay. Old columns with the names of new ones are replaced; an empty table
+different pages have no template, nor have those whose pages have nearly all
+their text in common. Repeated rows stay. Old columns with the names of new ones are replaced; an empty table
 gives an empty one.
 """
 
@@ -41,7 +44,8 @@ from .common import BATCH_ROWS, slices, table, written
 
 WRAPPER_PAGES = 8
 LEAST_PAGES = 4
-CONSTANT_SHARE = 0.5
+CONSTANT_SHARE = 0.9
+NEAR_COPY = 0.9  # pages with more of their text in common are copies of each other, not pages of one template
 MOST_LINKED = 0.6
 FEW_HOSTS = 2_000
 DEPTH = 40  # elements further down belong to the slot of their ancestor at this depth; their text counts alike
@@ -343,19 +347,34 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
         blocks_of, f"row {fields}, host string, page long, blocks {BLOCKS}")
     aligned = written(aligned)
 
-    # constant blocks, in marked articles as elsewhere; slots that are lists of links
-    seen = aligned.select("host", "page", F.explode("blocks").alias("b")).groupBy("host", "page", F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")).agg(
-        F.bool_and("b.linked").alias("linked"))
-    slots = seen.groupBy("host", "slot").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    counts = seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.count_if("linked").alias("l")).join(slots, ["host", "slot"])
+    # what all different pages of a host have is shared, unless it is nearly all of their text: then they are copies
+    block = [F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")]
+    beyond = F.col("b.doubt") | F.col("b.linked")
+    seen = aligned.select("host", "page", F.explode("blocks").alias("b")).groupBy("host", "page", *block).agg(
+        F.max(F.when(beyond, 0).otherwise(F.length("b.text"))).alias("size"))
+    sizes = seen.groupBy("host").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    common = beside(seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.sum("size").alias("size")), sizes)
+    always = F.col("c") == F.col("n")
+    shared = common.groupBy("host").agg(
+        F.collect_set(F.when(always, F.struct("slot", "hash"))).alias("shared"), F.sum(F.when(always, F.col("size"))).alias("part"), F.sum("size").alias("whole"))
+    shared = written(shared.filter(F.coalesce(F.col("part"), F.lit(0)) <= F.col("whole") * NEAR_COPY).select("host", "shared"))
+
+    # near copies have one vote: that of the longest block of their own
+    within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
+    longest = F.array_max(F.transform(
+        F.filter("blocks", lambda b: ~b["doubt"] & ~b["linked"] & ~within(b, "shared")), lambda b: F.struct(F.length(b["text"]).alias("size"), b["hash"].alias("hash"))))
+    votes = beside(aligned, shared, "left").select("host", F.coalesce(longest["hash"], F.col("page")).alias("vote"), F.explode("blocks").alias("b"))
+    votes = votes.groupBy("host", "vote", *block).agg(F.bool_and("b.linked").alias("linked"))
+    slots = votes.groupBy("host", "slot").agg(F.countDistinct("vote").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    counts = votes.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.count_if("linked").alias("l")).join(slots, ["host", "slot"])
     constant = counts.filter(F.col("c") >= F.col("n") * CONSTANT_SHARE).select("host", "slot", "hash")
     lists = counts.groupBy("host", "slot").agg(F.sum("l").alias("l"), F.sum("c").alias("c")).filter(F.col("l") > F.col("c") * MOST_LINKED)
-    found = constant.union(lists.select("host", "slot", F.lit(None).cast("long").alias("hash")))
+    found = constant.union(shared.select("host", F.explode("shared").alias("b")).select("host", *block)).union(
+        lists.select("host", "slot", F.lit(None).cast("long").alias("hash")))
     template = written(found.groupBy("host").agg(
         F.collect_set(F.when(F.col("hash").isNotNull(), F.struct("slot", "hash"))).alias("template"), F.collect_set(F.when(F.col("hash").isNull(), F.col("slot"))).alias("lists")))
 
     marked = beside(aligned, template, "left")
-    within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
     listed = lambda b: b["linked"] & (~b["inside"] | F.coalesce(F.array_contains("lists", b["slot"]), F.lit(False)))
     fits = F.filter("blocks", lambda b: ~within(b, "template") & ~listed(b))
     sure = F.filter(fits, lambda b: ~b["doubt"])

@@ -114,3 +114,15 @@ def test_words_count_on_articles(spark, word):
     page = f"<body><div class=x><h1>Story {{i}}</h1><p>text {{i}}</p></div><article class={word}><header>reader {{i}}</header><p>I say {{i}}, and very much more than the story does</p></article></body>"
     got = texts(spark, [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(6)])
     assert got == {i: f"Story {i}\n\ntext {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("copies,others", [(6, 6), (9, 3), (8, 0), (30, 2)])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_near_copies_do_not_make_a_template(spark, copies, others, tag):
+    page = (f"<body><div>The Daily Page</div><{tag} class=story><span>on day {{i}}</span><h2>{{t}}</h2><p>The first {{t}} has a paragraph of some length, as they do.</p>"
+            f"<p>The second paragraph of {{t}} is shorter.</p></{tag}><div class=ad>buy {{i}}</div></body>")
+    rows = [(i, f"http://one.example/{i}", page.replace("{i}", str(i)).replace("{t}", "story" if i < copies else f"tale {i}")) for i in range(copies + others)]
+    for i, text in texts(spark, rows).items():
+        name = "story" if i < copies else f"tale {i}"
+        want = f"on day {i}\n\n{name}\n\nThe first {name} has a paragraph of some length, as they do.\n\nThe second paragraph of {name} is shorter."
+        assert text == want if others else text.endswith(want)  # where all are copies nothing tells the template from the story
