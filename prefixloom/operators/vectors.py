@@ -31,6 +31,9 @@ QUERY_BLOCK = 2_048
 POOL_BLOCK = 16_384
 TILE_VALUES = 4_000_000  # products held at once: 32 MB
 CELL_SAMPLE = 200_000  # vectors that fit the centres
+RECALL = 0.92  # of the exact top-k, aimed at on the sample so that 0.9 holds for all queries
+PROBE_SAMPLE = 500
+LEAST_PROBES = 4
 EMBED_DIM = 64
 
 
@@ -276,18 +279,32 @@ class Cells:
 
         return near(vec)
 
+    def probes(self, queries: DataFrame, pool: DataFrame, k: int) -> int:
+        """The nearest cells in which RECALL of the exact top-k are, measured on PROBE_SAMPLE queries taken by hash."""
+        some = queries.select("qid", "vec").orderBy(F.xxhash64("qid"), "qid").limit(PROBE_SAMPLE)
+        exact = vector_topk(some, pool.select("pid", "vec"), k).select("qid", "pid")
+        order = some.select("qid", self.nearest("vec", len(self.centers)).alias("order"))
+        at = exact.join(pool.select("pid", "cell"), "pid").join(order, "qid").select(F.array_position("order", F.col("cell")).alias("n"))
+        counts = dict(at.groupBy("n").count().collect())
+        wanted, held, n = RECALL * sum(counts.values()), 0, 0
+        while held < wanted:
+            n += 1
+            held += counts.get(n, 0)
+        return max(n, LEAST_PROBES)
+
 
 def vector_topk_cells(
-    queries: DataFrame, pool: DataFrame, k: int = 20, n_cells: int | None = None, nprobe: int = 4, cells: Cells | None = None
+    queries: DataFrame, pool: DataFrame, k: int = 20, n_cells: int | None = None, nprobe: int | None = None, cells: Cells | None = None
 ) -> DataFrame:
-    """Approximate top-k: each query is compared with the vectors of its nprobe nearest cells.
+    """Approximate top-k: each query is compared with the vectors of its nprobe nearest cells, by default Cells.probes.
 
     A pool that has a ``cell`` column, as Cells.assigned gives it, is not assigned again.
     """
     cells = cells or Cells.fit(pool, n_cells)
+    pool = pool if "cell" in pool.columns else cells.assigned(pool)
+    nprobe = nprobe or cells.probes(queries, pool, k)
     q = queries.select("qid", "vec", F.explode(cells.nearest("vec", nprobe)).alias("cell"))
-    p = (pool if "cell" in pool.columns else cells.assigned(pool)).select("pid", "vec", "cell")
-    return block_topk(q, p, k)
+    return block_topk(q, pool.select("pid", "vec", "cell"), k)
 
 
 # -------------------------------------------------------------------- PCA
@@ -322,11 +339,11 @@ class CentredPca:
 
 def semantic_topk(
     prefix_vecs: DataFrame, pool_vecs: DataFrame, k: int = 20, metric: str = "cosine",
-    cells: Cells | None = None, nprobe: int = 4,
+    cells: Cells | None = None, nprobe: int | None = None,
 ) -> DataFrame:
     """(prefix, query, score, rk) for prefix_vecs(prefix, vec) and pool_vecs(query, vec).
 
-    Exact, unless ``cells`` are given: then the nprobe nearest cells are searched.
+    Exact, unless ``cells`` are given: then the nprobe nearest cells are searched (by default Cells.probes).
     """
     q = prefix_vecs.select(F.col("prefix").alias("qid"), "vec")
     p = pool_vecs.withColumnRenamed("query", "pid")

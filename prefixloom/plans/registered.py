@@ -458,7 +458,7 @@ def vector_topk_blocks(t):
 @query
 def vector_topk_cells(t):
     pool = t.pool_vectors()
-    return vectors.vector_topk_cells(t.query_vectors(), pool, 20, cells=vectors.Cells.first(pool, 16))
+    return vectors.vector_topk_cells(t.query_vectors(), pool, 20, nprobe=4, cells=vectors.Cells.first(pool, 16))
 
 
 @query

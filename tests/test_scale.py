@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prefixloom.operators import history, learn, lexical, ranking, vectors
 from prefixloom.operators.candidates import with_engagement
 from prefixloom.plans.complete import Engine
+from prefixloom.sources.fixtures import Tables
 from prefixloom.sources.tables import shared_folder, store
 
 
@@ -164,3 +165,14 @@ def test_ranker_learns(spark, tables):
     model = learn.Ranker.fit(data, trees=3, depth=3)
     assert model.importances(5).count() == 5
     assert "prediction" in model.score(data, own_stats=True).columns
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_fitted_cells(spark, folder):
+    t = Tables(spark, folder)
+    q, p = t.query_vectors(), t.pool_vectors()
+    exact = {r[:2] for r in rows(vectors.vector_topk(q, p, 10), "qid", "pid")}
+    some = {r[:2] for r in rows(vectors.vector_topk_cells(q, p, 10), "qid", "pid")}
+    recall = len(exact & some) / len(exact)
+    print(folder, p.count(), "rows, recall", recall)
+    assert recall >= 0.9
