@@ -21,7 +21,7 @@ tasks, so a hot host costs no more. Alignment and extraction are one narrow pass
 are taken over all pages, copies counted once, by partial sums. Constant blocks are at most two to a slot.
 Wrappers and constants are broadcast up to FEW_HOSTS hosts, else joined (and AQE splits a hot host).
 
-Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
+Slots and texts are counted by 64-bit names. Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
 different pages have no template, nor have those whose pages have nearly all
 their text in common. Repeated rows stay. Old columns with the names of new ones are replaced; an empty table
 gives an empty one.
@@ -298,13 +298,17 @@ def wrapper_of(pages: list[str]) -> str:
     return json.dumps(dumped(merged))
 
 
-BLOCKS = "array<struct<slot:string,hash:long,text:string,inside:boolean,linked:boolean,doubt:boolean>>"
+BLOCKS = "array<struct<slot:long,hash:long,size:int,text:string,inside:boolean,linked:boolean,doubt:boolean>>"
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (row, html, wrapper) to (row, blocks): the blocks of a page that may be content."""
     known: dict[str, Node] = {}
-    kind = pa.list_(pa.struct([("slot", pa.string()), ("hash", pa.int64()), ("text", pa.string()), ("inside", pa.bool_()), ("linked", pa.bool_()),
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("hash", pa.int64()), ("size", pa.int32()), ("text", pa.string()), ("inside", pa.bool_()), ("linked", pa.bool_()),
                                 ("doubt", pa.bool_())]))
     for batch in batches:
         for part in slices(batch, "html"):
@@ -316,9 +320,12 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[text] = loaded(json.loads(text))
                 root, blocks = parse(page)
                 align(root, known[text])
-                rows.append([
-                    {"slot": node.slot, "hash": xxhash.xxh64_intdigest(line) - (1 << 63), "text": line, "inside": node.inside,
-                     "linked": linked > MOST_LINKED * len(line), "doubt": node.doubt} for node, line, linked in blocks])
+                row = []
+                for node, line, linked in blocks:
+                    listed = linked > MOST_LINKED * len(line)
+                    row.append({"slot": hashed(node.slot), "hash": hashed(line), "size": 0 if listed or node.doubt else len(line), "text": line,
+                                "inside": node.inside, "linked": listed, "doubt": node.doubt})
+                rows.append(row)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c not in ("html", "wrapper")], pa.array(rows, kind)],
                                              [*[c for c in part.schema.names if c not in ("html", "wrapper")], "blocks"])
 
@@ -348,10 +355,8 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     aligned = written(aligned)
 
     # what all different pages of a host have is shared, unless it is nearly all of their text: then they are copies
-    block = [F.col("b.slot").alias("slot"), F.col("b.hash").alias("hash")]
-    beyond = F.col("b.doubt") | F.col("b.linked")
-    seen = aligned.select("host", "page", F.explode("blocks").alias("b")).groupBy("host", "page", *block).agg(
-        F.max(F.when(beyond, 0).otherwise(F.length("b.text"))).alias("size"))
+    keys = F.arrays_zip(*[F.col(f"blocks.{c}").alias(c) for c in ("slot", "hash", "size", "linked")])  # without the texts
+    seen = aligned.select("host", "page", F.explode(keys).alias("b")).groupBy("host", "page", "b.slot", "b.hash").agg(F.max("b.size").alias("size"))
     sizes = seen.groupBy("host").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     common = beside(seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.sum("size").alias("size")), sizes)
     always = F.col("c") == F.col("n")
@@ -362,14 +367,17 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     # near copies have one vote: that of the longest block of their own
     within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
     longest = F.array_max(F.transform(
-        F.filter("blocks", lambda b: ~b["doubt"] & ~b["linked"] & ~within(b, "shared")), lambda b: F.struct(F.length(b["text"]).alias("size"), b["hash"].alias("hash"))))
-    votes = beside(aligned, shared, "left").select("host", F.coalesce(longest["hash"], F.col("page")).alias("vote"), F.explode("blocks").alias("b"))
-    votes = votes.groupBy("host", "vote", *block).agg(F.bool_and("b.linked").alias("linked"))
-    slots = votes.groupBy("host", "slot").agg(F.countDistinct("vote").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    counts = votes.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.count_if("linked").alias("l")).join(slots, ["host", "slot"])
+        F.filter("keys", lambda b: (b["size"] > 0) & ~within(b, "shared")), lambda b: F.struct(b["size"].alias("size"), b["hash"].alias("hash"))))
+    votes = beside(aligned.select("host", "page", keys.alias("keys")), shared, "left")
+    votes = written(votes.select("host", F.coalesce(longest["hash"], F.col("page")).alias("vote"), F.explode("keys").alias("b")).groupBy(
+        "host", "vote", "b.slot", "b.hash").agg(F.bool_and("b.linked").alias("linked")))
+    slots = votes.groupBy("host", "slot").agg(F.countDistinct("vote").alias("n"), F.count_if("linked").alias("l"), F.count("*").alias("c"))
+    slots = slots.filter(F.col("n") >= LEAST_PAGES)
+    counts = votes.groupBy("host", "slot", "hash").agg(F.count("*").alias("c")).filter(F.col("c") >= LEAST_PAGES * CONSTANT_SHARE)
+    counts = counts.join(slots.select("host", "slot", "n"), ["host", "slot"])
     constant = counts.filter(F.col("c") >= F.col("n") * CONSTANT_SHARE).select("host", "slot", "hash")
-    lists = counts.groupBy("host", "slot").agg(F.sum("l").alias("l"), F.sum("c").alias("c")).filter(F.col("l") > F.col("c") * MOST_LINKED)
-    found = constant.union(shared.select("host", F.explode("shared").alias("b")).select("host", *block)).union(
+    lists = slots.filter(F.col("l") > F.col("c") * MOST_LINKED)
+    found = constant.union(shared.select("host", F.explode("shared").alias("b")).select("host", "b.slot", "b.hash")).union(
         lists.select("host", "slot", F.lit(None).cast("long").alias("hash")))
     template = written(found.groupBy("host").agg(
         F.collect_set(F.when(F.col("hash").isNotNull(), F.struct("slot", "hash"))).alias("template"), F.collect_set(F.when(F.col("hash").isNull(), F.col("slot"))).alias("lists")))
