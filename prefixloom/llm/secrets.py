@@ -60,6 +60,10 @@ ALLOW = (
     r"^[-_=+/]+$",  # rules
 )
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
+# the same rules without a repeated group, which Java matches by recursion: a run of thousands of words overflows its stack
+RULES = tuple(r"^[A-Za-z][A-Za-z/_=-]*$" if p.startswith("^[A-Za-z]+(") else p for p in ALLOW)
+PLACEHOLDERS, JOINERS = ALLOW[3], "/_=-"
+PART = r"[A-Za-z0-9+]+[_-]?|[^A-Za-z0-9+]+"
 
 
 def spans(text: Column, pattern: str, rank: int, keep=None) -> Column:
@@ -84,7 +88,7 @@ def candidates(text: Column, kind: EntropyClass) -> Column:
     """The class's candidates that no allow-list pattern matches: (start, codes), codes from 1."""
     def wanted(m):
         allowed = F.lit(False)
-        for pattern in ALLOW:
+        for pattern in RULES:
             allowed = allowed | m.rlike(pattern)
         return ~allowed
 
@@ -137,6 +141,12 @@ def hot_windows(candidate: Column, kind: EntropyClass, rank: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, step, lambda state: state["out"])
 
 
+def without_placeholders(text: Column) -> Column:
+    """The text with blanks in place of every part between joiners that holds a placeholder word."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda p: F.when(p.rlike(PLACEHOLDERS), F.repeat(F.lit(" "), F.length(p))).otherwise(p))
+    return F.when(text.rlike(PLACEHOLDERS), F.array_join(parts, "")).otherwise(text)
+
+
 def windows_of(kind: EntropyClass, rank: int):
     return lambda candidate: hot_windows(candidate, kind, rank)
 
@@ -148,17 +158,19 @@ def listed(found: Column) -> Column:
         F.array_sort(found), lambda s: F.concat_ws(":", F.element_at(names, s["rank"]), s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", out: str = "spans", by_part: bool = False) -> DataFrame:
     """docs with a column ``out``: array of (start, rank, stop), by start and rank.
 
-    Ranks 1 to 3 are the base kinds, further ones the entropy classes in their order.
+    Ranks 1 to 3 are the base kinds, further ones the entropy classes in their order. A placeholder word allows
+    the whole candidate, or by_part only what is between the joiners around the word.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE
     base = F.concat(spans(body, ASSIGN, 1, long_enough), spans(body, ACCESS, 2), spans(body, HEX, 3))
     found = docs.withColumn(out, base)
     for i, kind in enumerate(CLASSES):
-        hot = F.transform(candidates(body, kind), windows_of(kind, len(BASE) + 1 + i))
+        own = without_placeholders(body) if by_part and set(JOINERS) & set(kind.characters) else body
+        hot = F.transform(candidates(own, kind), windows_of(kind, len(BASE) + 1 + i))
         found = found.withColumn(out, F.concat(F.col(f"`{out}`"), F.flatten(hot)))
     return found.withColumn(out, F.array_sort(F.col(f"`{out}`")))
 
@@ -178,7 +190,7 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame
     found = F.col(name)
     clean = F.when(F.size(found) == 0, body).otherwise(F.aggregate(found, first, step, rest))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return scan(docs, text, name).select(*columns)
+    return scan(docs, text, name, by_part=True).select(*columns)
 
 
 def op4_secrets(spark, folder: str) -> DataFrame:

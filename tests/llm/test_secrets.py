@@ -107,3 +107,18 @@ def test_sql_finds_the_same_spans(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert spark_rows(X.op4_secrets(spark, str(tmp_path))) == oracle_rows(con, X.oracle())
+
+
+def test_long_runs_of_joined_words(spark):
+    docs = spark.createDataFrame([(1, "word-" * 50_000 + "x"), (2, "a_b/c=d-" * 20_000)], "doc_id long, text string")
+    assert [r["n"] for r in X.scan(docs).select(X.F.size("spans").alias("n")).collect()] == [0, 0]
+
+
+def test_keys_after_placeholders_are_masked(spark):
+    key = "Zq8+Rt5Wm2kLp9XcV4bN7sDf3GhJ6"
+    rows = [(1, f"see /examples/{key} now"), (2, f"sample={key}"), (3, f"é your_{key} é"), (4, "a /examples/of/paths and changeme-changeme-changeme"),
+            (5, f"example{key}")]
+    got = {r["doc_id"]: r["text"] for r in X.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert key not in got[1] + got[2] + got[3] and all(X.MASK in got[i] for i in (1, 2, 3))
+    assert got[1].startswith("see /examples") and got[1].endswith(" now") and got[3].startswith("é your_") and got[3].endswith(" é")
+    assert got[4] == rows[3][1] and got[5] == rows[4][1]
