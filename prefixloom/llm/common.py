@@ -22,6 +22,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    end = uuid.uuid4().hex[:12]
+    return [f"_{name}_{end}" for name in names]
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet files in the shared folder: the lineage is cut, a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ task. Only the fit is bounded: at most FIT_ROWS labelled texts of at most FIT_BY
 
 Null and empty texts have no feature and get the score of the intercept. Without labels of both
 classes the score is the share of toxic labels (0 without labels) for every text. Repeated rows get
-equal scores.
+equal scores; an empty table gives an empty one; memory for a very long text is about 50 bytes per character.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, remainder, with_columns
+from .common import fresh, labelled_sample, remainder, table, with_columns
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -34,6 +34,7 @@ PENALTY = 1e-4
 SMOOTHING = 0.5
 ERRORS = 4.0  # standard errors by which the classes' document shares of a feature must differ
 RATE = 0.3
+PACK = 256  # texts whose features are added up together
 REJECT = 0.7
 
 
@@ -86,36 +87,43 @@ def fit(rows: list[tuple[str, int]], bits: int = BITS, rounds: int = ROUNDS) ->
         share = float(np.clip(y.mean() if len(y) else 0, 1e-9, 1 - 1e-9))
         return Model(np.zeros(1 << bits, np.float32), float(np.log(share / (1 - share))))
     last = np.empty(1 << bits, np.int32)
-    sets = [distinct(grams(text), last) for text, _ in rows]
+    # n-grams are taken twice, so that only those of features that stay are held
     # document frequencies by class; a feature stays if the classes' shares differ by many standard errors
-    toxic, other = np.zeros(1 << bits), np.zeros(1 << bits)
-    for s, label in zip(sets, y):
-        (toxic if label else other)[s] += 1
+    toxic, other = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for text, label in rows:
+        (toxic if label else other)[distinct(grams(text), last)] += 1
     n_toxic, n_other = y.sum(), len(y) - y.sum()
+    known = np.flatnonzero(toxic + other)
+    toxic, other = toxic[known], other[known]
     pooled = (toxic + other) / len(y)
     error = np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_other))
-    known = np.flatnonzero((error > 0) & (np.abs(toxic / n_toxic - other / n_other) >= ERRORS * error))
-    ratio = np.log((toxic[known] + SMOOTHING) / (n_toxic + 2 * SMOOTHING))
-    ratio -= np.log((other[known] + SMOOTHING) / (n_other + 2 * SMOOTHING))
+    stays = (error > 0) & (np.abs(toxic / n_toxic - other / n_other) >= ERRORS * error)
+    known, toxic, other = known[stays], toxic[stays], other[stays]
+    ratio = np.log((toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING))
+    ratio -= np.log((other + SMOOTHING) / (n_other + 2 * SMOOTHING))
     slot = np.full(1 << bits, -1, np.int32)
     slot[known] = np.arange(len(known), dtype=np.int32)
-    sets = [k[k >= 0] for k in (slot[s] for s in sets)]
-    lengths = np.array([len(s) for s in sets])
-    columns = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), lengths)
+    sets = [k[k >= 0] for k in (slot[distinct(grams(text), last)] for text, _ in rows)]
 
-    # full-batch Adam on the mean logistic loss, both classes weighted alike
+    # full-batch Adam on the mean logistic loss, both classes weighted alike; texts are added up some at a time
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+    packs = []
+    for first in range(0, len(sets), PACK):
+        part = sets[first:first + PACK]
+        packs.append((slice(first, first + len(part)), np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.int32), [len(s) for s in part])))
+    del sets, slot, last
     weight, m, v = np.zeros(len(known)), np.zeros(len(known)), np.zeros(len(known))
     bias, bias_m, bias_v = 0.0, 0.0, 0.0
     for t in range(1, rounds + 1):
-        total = np.concatenate([[0], np.cumsum((weight * ratio)[columns])])
-        logit = total[starts[1:]] - total[starts[:-1]] + bias
-        error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) * balance / len(y)
-        slope = np.bincount(columns, weights=error[row], minlength=len(known)) * ratio + PENALTY * weight
+        slope, bias_slope, scaled = PENALTY * weight, 0.0, weight * ratio
+        for rows_of, columns, row in packs:
+            own = y[rows_of]
+            logit = np.bincount(row, weights=scaled[columns], minlength=len(own)) + bias
+            error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - own) * balance[rows_of] / len(y)
+            slope += np.bincount(columns, weights=error[row], minlength=len(known)) * ratio
+            bias_slope += error.sum()
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        bias_m, bias_v = 0.9 * bias_m + 0.1 * error.sum(), 0.99 * bias_v + 0.01 * error.sum() ** 2
+        bias_m, bias_v = 0.9 * bias_m + 0.1 * bias_slope, 0.99 * bias_v + 0.01 * bias_slope**2
         a, b = 1 - 0.9**t, 1 - 0.99**t
         weight -= RATE * 0.1 * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= RATE * (bias_m / a) / (np.sqrt(bias_v / b) + 1e-8)
@@ -135,15 +143,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     return with_columns(docs, text, {out: T.DoubleType()}, model.scorer())
 
 
-def rejected(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
-    """docs with a boolean column _toxic."""
-    scored = score(docs, fitted(docs, labels), out="_toxic_score")
-    return scored.withColumn("_toxic", F.col("_toxic_score") >= threshold).drop("_toxic_score")
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
+    """The rows of docs that score below the threshold, with their own columns only."""
+    [name] = fresh("score")
+    scored = score(docs, fitted(docs, labels), out=name)
+    return scored.filter(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_toxicity(spark, folder: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = score(docs, fitted(docs, table(spark, folder, "labels"))).drop("text")
     return scored.select(
