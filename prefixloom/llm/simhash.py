@@ -15,9 +15,10 @@ compared, first along the rest of the chain, then in full.
 Scale. Copies collapse to one fingerprint before anything is dealt out. A key's fingerprints are
 never paired up: a task walks through them, and what a visited fingerprint reaches leaves the set of
 those still to be visited, so a group of thousands of near copies costs few comparisons for each and
-gives fewer links than it has members. A key with more than SPLIT fingerprints is dealt out again by
-the next segments of its chain, until the parts are small or the chain is complete, so that no key
-ends up whole in one task. Components come from label propagation over the links, in rounds that are
+gives fewer links than it has members. The fingerprints of a key with more than SPLIT of them are dealt out again by
+the third segment of their chain (which may differ in two bits: once per pair of bits cleared) and, where that
+is still more, by the fourth (three bits). Then the segments leave 2**18 fingerprints at the most, however large
+the input. Keys with more than SPLIT are a written table that is joined, never a list on the driver. Components come from label propagation over the links, in rounds that are
 written to the shared folder.
 
 Null texts count as empty; they and all other texts without words share fingerprint 0 and are linked.
@@ -28,22 +29,23 @@ keep their number. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, table, with_columns, written
+from .common import flat, fresh, table, with_columns, written
 
 WORDS = 4
 SEED = 42
 NEAR = 4
 WIDTHS = (13, 13, 13, 13, 12)  # bits of the segments, from the lowest
 SPLIT = 20_000
-MOST_HOT = 10_000
+START = 60  # a key's highest bits: where on the ring its chain starts
 SHORT = 24  # keys of up to so many fingerprints are compared without a walk
 
 
@@ -93,14 +95,14 @@ def chain_keys(fp: Column) -> Column:
         tail = F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(second))
         for bit in range(WIDTHS[(i + 1) % len(ring)]):
             cleared = tail.bitwiseAND(F.lit(second & ~(1 << bit)))
-            tag = F.lit((i * 16 + bit) << 32)
+            tag = F.lit((i << START) + (bit << 32))
             keys.append(tag.bitwiseOR(F.shiftleft(head, 16)).bitwiseOR(cleared))
     return F.array(*keys)
 
 
-def third_masks() -> list[int]:
-    """Masks of 13 bits that clear up to two: values that differ in two bits agree under one of them."""
-    return [0x1FFF & ~(1 << a) & ~(1 << b) for a in range(13) for b in range(a)]
+def clearing(bits: int) -> list[int]:
+    """Masks of 13 bits that clear so many: values that differ in no more agree under one of them."""
+    return [0x1FFF & ~sum(1 << b for b in some) for some in combinations(range(13), bits)]
 
 
 def reached(one: np.uint64, others: np.ndarray, start: int, near: int = NEAR) -> np.ndarray:
@@ -152,12 +154,12 @@ def link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 break
             for start in range(len(WIDTHS)):
-                own = rows[key_of[rows] >> 36 == start]
+                own = rows[key_of[rows] >> START == start]
                 hit = own[reached(np.uint64(0), fp_of[own] ^ fp_of[own + step], start)]
                 left.append(fp_of[hit])
                 right.append(fp_of[hit + step])
         for i in np.flatnonzero(size > SHORT):
-            found = group_links(fp[starts[i]:stops[i]], int(key[starts[i]] >> 36))
+            found = group_links(fp[starts[i]:stops[i]], int(key[starts[i]] >> START))
             if found:
                 left.append(np.array([x for x, _ in found], np.uint64))
                 right.append(np.array([x for _, x in found], np.uint64))
@@ -178,38 +180,52 @@ def link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield walk(rest_key, rest_fp)
 
 
+def large_keys(rows: DataFrame, split: int) -> DataFrame | None:
+    """The keys with more than ``split`` rows as a written table; None if there are none."""
+    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key"))
+    return large if large.limit(1).count() else None
+
+
+def dealt_again(rows: DataFrame, segment: int, bits: int) -> DataFrame:
+    """(key, fp) dealt out by the segment'th segment of the key's chain, once per choice of bits cleared in it."""
+    ring, start = segments(), F.shiftright("key", START)
+    own = F.lit(0).cast("long")
+    for i in range(len(ring)):
+        low, mask = ring[(i + segment) % len(ring)]
+        own = F.when(start == i, F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask))).otherwise(own)
+    masks = F.array(*[F.lit(m) for m in clearing(bits)])
+    parts = rows.select("fp", "key", own.alias("own"), F.posexplode(masks).alias("which", "mask"))
+    mixed = F.xxhash64("key", "which", F.col("own").bitwiseAND(F.col("mask"))).bitwiseAND(F.lit((1 << START) - 1))
+    return parts.select(F.shiftleft(start.cast("long"), START).bitwiseOR(mixed).alias("key"), "fp")
+
+
 def links(prints: DataFrame, split: int = SPLIT) -> DataFrame:
     """Links (a, b), a < b, that connect the distinct fingerprints ``fp`` wherever they are connected.
 
-    A key with more than ``split`` fingerprints is dealt out by the third segment of its chain, which
-    may differ in up to two bits: once per pair of bits cleared.
+    A key with more than ``split`` fingerprints is dealt out again by the next segments of its chain.
     """
-    dealt = prints.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
+    dealt = prints.select(F.explode(chain_keys(F.col("fp"))).alias("key"), "fp")
+    # a key is no larger than its (ring start, first segment), of which there are at most 40,960: one narrow count tells
+    # whether any key can be large, and only keys below a large one are counted themselves
     heads = F.array(*[F.lit(i << 13).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask)))
                       for i, (low, mask) in enumerate(segments())])
-    # a key is no larger than its (ring start, first segment), of which there are at most 40,960
-    large = prints.select(F.explode(heads).alias("head")).groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") > split)
-    large = [r["head"] for r in large.collect()]
-    hot = []
-    if large:
-        split = max(split, prints.count() * 64 // MOST_HOT)  # no more than MOST_HOT keys can be larger
-        head = F.shiftright("key", 36).bitwiseAND(F.lit(7)) * 8192 + F.shiftright("key", 16).bitwiseAND(F.lit(0x1FFF))
-        counts = dealt.filter(head.isin(large)).groupBy("key").agg(F.count("*").alias("n"))
-        hot = [r["key"] for r in counts.filter(F.col("n") > split).collect()]
-    found = walked(dealt if not hot else dealt.filter(~F.col("key").isin(hot)))
-    if hot:
-        ring = segments()
-        start = F.shiftright("key", 36)
-        third = F.lit(0)
-        for i in range(len(ring)):
-            low, mask = ring[(i + 2) % len(ring)]
-            third = F.when(start == i, F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask))).otherwise(third)
-        masks = F.array(*[F.lit(m) for m in third_masks()])
-        parts = dealt.filter(F.col("key").isin(hot)).select(
-            "fp", "key", third.alias("third"), F.posexplode(masks).alias("pair", "mask"))
-        # the ring start stays in bits 36 and up, as the walk reads it there
-        mixed = F.xxhash64("key", "pair", F.col("third").bitwiseAND(F.col("mask"))).bitwiseAND(F.lit((1 << 36) - 1))
-        found = found.unionByName(walked(parts.select("fp", F.shiftleft(start.cast("long"), 36).bitwiseOR(mixed).alias("key"))))
+    rows, parts = dealt, []
+    maybe = large_keys(prints.select(F.explode(heads).alias("key")), split)
+    if maybe is not None:
+        head = F.shiftright("key", START) * 8192 + F.shiftright("key", 16).bitwiseAND(F.lit(0x1FFF))
+        below = dealt.withColumn("head", head).join(F.broadcast(maybe.withColumnRenamed("key", "head")), "head", "left_semi")
+        large = large_keys(below.select("key", "fp"), split)
+        for segment, bits in ((2, 2), (3, 3)):
+            if large is None:
+                break
+            parts.append(rows.join(large, "key", "left_anti"))
+            rows = dealt_again(rows.join(large, "key", "left_semi"), segment, bits)
+            if segment == 2:
+                rows = written(rows)  # read for the counts, the small keys and the large ones
+                large = large_keys(rows, split)
+    found = walked(rows)
+    for part in parts:
+        found = found.unionByName(walked(part))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -236,10 +252,10 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         hooked = state.join(best.withColumnRenamed("a", "fp"), "fp").select(
             "fp", F.col("root").alias("old"), F.least("root", "near").alias("new"))
         moved = hooked.groupBy("old").agg(F.min("new").alias("jump"))
-        after = written(hooked.join(moved, "old").select("fp", "old", F.least("new", "jump").alias("root")))
-        changed = after.filter("root <> old").limit(1).count()
-        state = after.select("fp", "root")
-        if not changed:
+        after = hooked.join(moved, "old").select("fp", "old", F.least("new", "jump").alias("root"))
+        seen = Observation()  # counted while the round is written
+        state = written(after.observe(seen, F.count_if(F.col("root") != F.col("old")).alias("changed"))).select("fp", "root")
+        if not seen.get["changed"]:
             break
     else:
         raise RuntimeError("labels still change after the last round")
@@ -266,10 +282,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     classes = near_classes(docs, key, text)
     first = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("_key"), F.col("text_hash").alias("_hash")))
     kept = classes.groupBy("root").agg(first.alias("first")).select("first._key", "first._hash")
-    rows = docs.withColumn("_row_hash", F.xxhash64(text))
-    match = rows[key].eqNullSafe(kept["_key"]) & (rows["_row_hash"] == kept["_hash"])
-    same = Window.partitionBy(key, "_row_hash").orderBy("_row_hash")
-    only = rows.join(kept, match, "left_semi").withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
+    own, copy, kept_key = fresh("hash", "copy", "key")  # beside columns of any name
+    rows = docs.withColumn(own, F.xxhash64(F.col(f"`{text}`")))
+    kept = kept.select(F.col("_key").alias(kept_key), F.col("_hash").alias("text_hash"))
+    match = rows[key].eqNullSafe(kept[kept_key]) & (rows[own] == kept["text_hash"])
+    same = Window.partitionBy(key, own).orderBy(own)
+    only = rows.join(kept, match, "left_semi").withColumn(copy, F.row_number().over(same)).filter(F.col(copy) == 1)
     return only.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -61,6 +61,25 @@ def test_links_and_components_as_by_brute_force(spark, split, seed):
     assert {k: label[fp] for fp, k in signed} == plain_components(prints)
 
 
+@pytest.mark.parametrize("split", [2, 6, 40])
+def test_keys_dealt_out_twice(spark, split):
+    """A large cluster within few bits: the third segment alone leaves parts above the limit."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    low = [b for b in range(64) if not 13 <= b < 52]
+    prints = {i: base ^ sum({1 << b for b in rng.sample(low, rng.randrange(5))}) for i in range(120)}
+    signed = [(int(np.array([v], np.uint64).view(np.int64)[0]), k) for k, v in prints.items()]
+    nodes = spark.createDataFrame(signed, "fp long, label long").groupBy("fp").agg(F.min("label").alias("label"))
+    label = {r["fp"]: r["label"] for r in S.components(nodes, S.links(nodes.select("fp"), split=split)).collect()}
+    assert {k: label[fp] for fp, k in signed} == plain_components(prints)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "x", "y", "z"), (2, "A b c d e", "x", "y", "z")],
+                                 "doc_id long, text string, _row_hash string, _copy string, _key string")
+    assert [tuple(r) for r in S.one_of_each(docs).collect()] == [(1, "a b c d e", "x", "y", "z")]
+
+
 def test_walk_of_a_long_key_finds_all_that_is_connected():
     members = np.unique(np.array(near_prints(60, 5), np.uint64) & np.uint64(~0x3FFFFFF & 2**64 - 1))
     links = S.group_links(members, 0)
