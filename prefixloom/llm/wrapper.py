@@ -16,12 +16,13 @@ unless their slot is a list of links on the host.
 A page's text is its content blocks in page order: character references decoded, white space turned into
 one blank, blocks joined by an empty line.
 
-Scale: the wrapper of a host comes from WRAPPER_PAGES pages, taken by hash with partial limits in the map
+Scale: the wrapper of a host comes from WRAPPER_PAGES different pages, taken by hash with partial limits in the map
 tasks, so a hot host costs no more. Alignment and extraction are one narrow pass over all pages; counts
 are taken over all pages, copies counted once, by partial sums. Constant blocks are at most two to a slot.
-Wrappers and constants are broadcast up to FEW_HOSTS hosts, else joined (and AQE splits a hot host).
+Wrappers and constants are broadcast up to FEW_BYTES, else joined (and AQE splits a hot host). Trees are at most
+DEPTH + 1 deep and handled without recursion, so deep pages are like others, and matching costs n log n.
 
-Slots and texts are counted by 64-bit names. Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
+Slots, texts and pairs of them are counted by 64-bit names. Null pages count as empty, null addresses as a host of their own. Hosts with fewer than LEAST_PAGES
 different pages have no template, nor have those whose pages have nearly all
 their text in common. Repeated rows stay. Old columns with the names of new ones are replaced; an empty table
 gives an empty one.
@@ -32,12 +33,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, slices, table, written
@@ -47,7 +49,8 @@ LEAST_PAGES = 4
 CONSTANT_SHARE = 0.9
 NEAR_COPY = 0.9  # pages with more of their text in common are copies of each other, not pages of one template
 MOST_LINKED = 0.6
-FEW_HOSTS = 2_000
+FEW_BYTES = 16 << 20  # of wrappers or templates that are broadcast
+KNOWN = 64  # wrappers a task keeps parsed
 DEPTH = 40  # elements further down belong to the slot of their ancestor at this depth; their text counts alike
 
 # tags by kind, as the HTML standard has them
@@ -100,6 +103,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     root = Node("", None)
     blocks: list[tuple[Node, str, int]] = []
     open_tags: list[tuple[str, Node]] = []
+    n_open: Counter = Counter()
     here, text, linked, in_link = root, [], 0, False
 
     def flush() -> None:
@@ -113,6 +117,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
 
     def pop_to(index: int) -> None:
         nonlocal here
+        n_open.subtract(name for name, _ in open_tags[index:])
         del open_tags[index:]
         here = open_tags[-1][1] if open_tags else root
 
@@ -137,7 +142,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         flush()
         in_link = False
         if m["end"]:
-            for i in range(len(open_tags) - 1, -1, -1):
+            for i in range(len(open_tags) - 1, -1, -1) if n_open[tag] > 0 else ():
                 if open_tags[i][0] == tag:
                     pop_to(i)
                     break
@@ -168,10 +173,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         inside = (here.inside or part) and not named
         doubt = named or (here.doubt and not part)
         out = here.out or tag in OUT or (tag == "header" and not here.inside and not here.doubt)
-        if here.depth < DEPTH or named or out != here.out or inside != here.inside or doubt != here.doubt:
-            label = (f"{tag}.{first_class}" if first_class else tag) + "!" * out + "*" * inside + "?" * (doubt + named)
-            node = here.child(label, out, inside, doubt, named)
+        folded = here.depth >= DEPTH
+        # what is put in doubt below DEPTH stays named, since its way up is not kept
+        named = named or (folded and doubt and here.depth > DEPTH and here.named)
+        if not folded or (out, inside, doubt, named) != (here.out, here.inside, here.doubt, here.named):
+            label = ("" if folded else f"{tag}.{first_class}" if first_class else tag) + "!" * out + "*" * inside + "?" * (doubt + named)
+            node = (here.parent if here.depth > DEPTH else here).child(label, out, inside, doubt, named)
         open_tags.append((tag, node))
+        n_open[tag] += 1
         here = node
     if at < len(page) and not here.out:
         text.append(page[at:])
@@ -212,45 +221,72 @@ def clear(blocks: list[tuple[Node, str, int]]) -> None:
         node.doubt = False
 
 
-def match(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest mapping of two trees with equal roots, and the pairs of children."""
-    key = id(a), id(b)
-    if key in memo:
-        return memo[key]
-    left, right = list(a.children.values()), list(b.children.values())
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, x in enumerate(left, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(right, 1):
-            row[j] = max(row[j - 1], above[j])
-            if x.label == y.label:
-                row[j] = max(row[j], above[j - 1] + match(x, y, memo)[0])
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        x, y = left[i - 1], right[j - 1]
-        if x.label == y.label and best[i][j] == best[i - 1][j - 1] + match(x, y, memo)[0]:
-            pairs.append((x, y))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    memo[key] = 1 + best[-1][-1], pairs[::-1]
-    return memo[key]
+def heaviest(weights: list[tuple[int, int]]) -> list[int]:
+    """Indices of the increasing subsequence of (position, weight) of the largest weight; positions are distinct.
+
+    A prefix-maximum tree over the positions, so long lists of children cost little.
+    """
+    rank = {p: i for i, p in enumerate(sorted(p for p, _ in weights), 1)}
+    tree = [(0, -1)] * (len(weights) + 1)  # (weight of the best subsequence, its last index)
+    before = []
+    for i, (position, weight) in enumerate(weights):
+        best, at = (0, -1), rank[position] - 1
+        while at:
+            best = max(best, tree[at], key=lambda x: x[0])
+            at &= at - 1
+        before.append(best[1])
+        own, at = (best[0] + weight, i), rank[position]
+        while at < len(tree):
+            if own[0] > tree[at][0]:
+                tree[at] = own
+            at += at & -at
+    best, at = (0, -1), len(weights)
+    while at:
+        best = max(best, tree[at], key=lambda x: x[0])
+        at &= at - 1
+    chosen, i = [], best[1]
+    while i >= 0:
+        chosen.append(i)
+        i = before[i]
+    return chosen[::-1]
+
+
+def match(a: Node, b: Node) -> tuple[int, dict[int, Node]]:
+    """Simple tree matching: the size of the largest mapping of two trees with equal roots, and b's partner of a's nodes by id.
+
+    Labels of siblings differ, so a node can only have the child of its own label as partner, and the children's
+    part is the heaviest sequence of common labels that has the same order on both sides. Works from the leaves up
+    without recursion. A partner counts only if the partners of its ancestors do.
+    """
+    common, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs = [(child, y.children[label]) for label, child in x.children.items() if label in y.children]
+        common.append((x, y, pairs))
+        todo += pairs
+    size: dict[int, int] = {}
+    partner = {id(a): b}
+    for x, y, pairs in reversed(common):
+        place = {label: i for i, label in enumerate(y.children)} if len(pairs) > 1 else {}
+        weights = [(place.get(child.label, 0), size[id(child)]) for child, _ in pairs]
+        kept = heaviest(weights) if len(pairs) > 1 else range(len(pairs))
+        size[id(x)] = 1 + sum(weights[i][1] for i in kept)
+        for i in kept:
+            partner[id(pairs[i][0])] = pairs[i][1]
+    return size[id(a)], partner
 
 
 def align(page: Node, wrapper: Node) -> None:
     """Gives every node of the page the slot of its partner, or one of its own below its parent's."""
-    memo: dict = {}
-    todo = [(page, wrapper)]
+    partner = match(page, wrapper)[1]
+    page.slot = wrapper.slot
+    todo = [page]
     while todo:
-        mine, theirs = todo.pop()
-        mine.slot = theirs.slot
-        pairs = match(mine, theirs, memo)[1]
-        partner = {id(x): y for x, y in pairs}
+        mine = todo.pop()
         for label, child in mine.children.items():
             if id(child) in partner:
-                todo.append((child, partner[id(child)]))
+                child.slot = partner[id(child)].slot
+                todo.append(child)
             else:
                 name_below(child, mine.slot + "/+" + label)
 
@@ -265,12 +301,10 @@ def name_below(node: Node, slot: str) -> None:
 
 def merge(wrapper: Node, page: Node) -> None:
     """Adds to the wrapper what has no partner in it."""
-    memo: dict = {}
+    partner = match(page, wrapper)[1]
     todo = [(wrapper, page)]
     while todo:
         ours, theirs = todo.pop()
-        pairs = match(ours, theirs, memo)[1]
-        partner = {id(y): x for x, y in pairs}
         for label, child in theirs.children.items():
             if id(child) in partner:
                 todo.append((partner[id(child)], child))
@@ -278,16 +312,26 @@ def merge(wrapper: Node, page: Node) -> None:
                 ours.children[label] = child
 
 
-def dumped(node: Node) -> list:
-    return [node.label, [dumped(c) for c in node.children.values()]]
+def dumped(root: Node) -> list:
+    """The labels of a tree, each with its place in the list as parent's, parents first."""
+    out, todo = [], [(root, -1)]
+    while todo:
+        node, parent = todo.pop()
+        out.append([node.label, parent])
+        todo += [(child, len(out) - 1) for child in reversed(node.children.values())]
+    return out
 
 
-def loaded(data: list, parent: Node | None = None) -> Node:
-    node = Node(data[0], parent)
-    node.slot = f"{parent.slot}/{data[0]}" if parent else ""
-    for child in data[1]:
-        node.children[child[0]] = loaded(child, node)
-    return node
+def loaded(data: list) -> Node:
+    nodes: list[Node] = []
+    for label, at in data:
+        parent = nodes[at] if at >= 0 else None
+        node = Node(label, parent)
+        node.slot = f"{parent.slot}/{label}" if parent else ""
+        if parent:
+            parent.children[label] = node
+        nodes.append(node)
+    return nodes[0]
 
 
 def wrapper_of(pages: list[str]) -> str:
@@ -315,7 +359,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for page, text in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist()):
                 if text not in known:
-                    if len(known) > FEW_HOSTS:
+                    if len(known) > KNOWN:
                         known.clear()
                     known[text] = loaded(json.loads(text))
                 root, blocks = parse(page)
@@ -330,9 +374,14 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              [*[c for c in part.schema.names if c not in ("html", "wrapper")], "blocks"])
 
 
-def beside(rows: DataFrame, hosts: DataFrame, how: str = "inner") -> DataFrame:
-    few = hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
-    return rows.join(F.broadcast(hosts) if few else hosts, "host", how)
+def few(small: DataFrame, size: int | Column) -> DataFrame:
+    """small with a broadcast hint if its rows (of ``size`` bytes beside the host's name) take at most FEW_BYTES; else the plain join stands."""
+    cost = F.octet_length("host") + (F.lit(size) if isinstance(size, int) else size)
+    return F.broadcast(small) if (small.agg(F.sum(cost.cast("long")).alias("n")).first()["n"] or 0) <= FEW_BYTES else small
+
+
+def beside(rows: DataFrame, hosts: DataFrame, size: int | Column, how: str = "inner") -> DataFrame:
+    return rows.join(few(hosts, size), "host", how)
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text") -> DataFrame:
@@ -344,13 +393,16 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host.alias("host"), body.alias("html"), F.xxhash64(body).alias("page"))
 
+    # names of different pages first, so that copies of one page are one of them, then one page of each name
     first = Window.partitionBy("host").orderBy("page")
-    some = rows.select("host", "page", "html").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= WRAPPER_PAGES)
+    names = rows.select("host", "page").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= WRAPPER_PAGES)
+    names = written(names.select("host", "page"))
+    some = rows.select("host", "page", "html").join(few(names, 24), ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
     wrappers = written(some.groupBy("host").applyInPandas(
         lambda part: pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [wrapper_of(sorted(part["html"]))]}), "host string, wrapper string"))
 
     fields = rows.schema["row"].dataType.simpleString()
-    aligned = beside(rows, wrappers).select("row", "host", "page", "html", "wrapper").mapInArrow(
+    aligned = beside(rows, wrappers, F.octet_length("wrapper")).select("row", "host", "page", "html", "wrapper").mapInArrow(
         blocks_of, f"row {fields}, host string, page long, blocks {BLOCKS}")
     aligned = written(aligned)
 
@@ -358,20 +410,25 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     keys = F.arrays_zip(*[F.col(f"blocks.{c}").alias(c) for c in ("slot", "hash", "size", "linked")])  # without the texts
     seen = aligned.select("host", "page", F.explode(keys).alias("b")).groupBy("host", "page", "b.slot", "b.hash").agg(F.max("b.size").alias("size"))
     sizes = seen.groupBy("host").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    common = beside(seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.sum("size").alias("size")), sizes)
+    common = beside(seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("c"), F.sum("size").alias("size")), sizes, 16)
     always = F.col("c") == F.col("n")
     shared = common.groupBy("host").agg(
         F.collect_set(F.when(always, F.struct("slot", "hash"))).alias("shared"), F.sum(F.when(always, F.col("size"))).alias("part"), F.sum("size").alias("whole"))
     shared = written(shared.filter(F.coalesce(F.col("part"), F.lit(0)) <= F.col("whole") * NEAR_COPY).select("host", "shared"))
 
     # near copies have one vote: that of the longest block of their own
-    within = lambda b, found: F.coalesce(F.array_contains(found, F.struct(b["slot"], b["hash"])), F.lit(False))
+    name = lambda b: F.xxhash64(b["slot"], b["hash"])
+    among = lambda found, key: F.coalesce(F.array_contains(found, key), F.lit(False))
+    # what a page has of its host's list, which may be long: a set operation, so no pairs
+    own_part = lambda blocks, host_list: F.array_intersect(F.transform(blocks, name), host_list)
     longest = F.array_max(F.transform(
-        F.filter("keys", lambda b: (b["size"] > 0) & ~within(b, "shared")), lambda b: F.struct(b["size"].alias("size"), b["hash"].alias("hash"))))
-    votes = beside(aligned.select("host", "page", keys.alias("keys")), shared, "left")
+        F.filter("keys", lambda b: (b["size"] > 0) & ~among(F.col("own"), name(b))), lambda b: F.struct(b["size"].alias("size"), b["hash"].alias("hash"))))
+    votes = beside(aligned.select("host", "page", keys.alias("keys")), shared, 16 * F.size("shared"), "left")
+    votes = votes.withColumn("own", own_part("keys", F.transform("shared", name)))
     votes = written(votes.select("host", F.coalesce(longest["hash"], F.col("page")).alias("vote"), F.explode("keys").alias("b")).groupBy(
         "host", "vote", "b.slot", "b.hash").agg(F.bool_and("b.linked").alias("linked")))
-    slots = votes.groupBy("host", "slot").agg(F.countDistinct("vote").alias("n"), F.count_if("linked").alias("l"), F.count("*").alias("c"))
+    by_vote = votes.groupBy("host", "slot", "vote").agg(F.count_if("linked").alias("l"), F.count("*").alias("c"))
+    slots = by_vote.groupBy("host", "slot").agg(F.count("*").alias("n"), F.sum("l").alias("l"), F.sum("c").alias("c"))
     slots = slots.filter(F.col("n") >= LEAST_PAGES)
     counts = votes.groupBy("host", "slot", "hash").agg(F.count("*").alias("c")).filter(F.col("c") >= LEAST_PAGES * CONSTANT_SHARE)
     counts = counts.join(slots.select("host", "slot", "n"), ["host", "slot"])
@@ -380,11 +437,12 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     found = constant.union(shared.select("host", F.explode("shared").alias("b")).select("host", "b.slot", "b.hash")).union(
         lists.select("host", "slot", F.lit(None).cast("long").alias("hash")))
     template = written(found.groupBy("host").agg(
-        F.collect_set(F.when(F.col("hash").isNotNull(), F.struct("slot", "hash"))).alias("template"), F.collect_set(F.when(F.col("hash").isNull(), F.col("slot"))).alias("lists")))
+        F.collect_set(F.when(F.col("hash").isNotNull(), F.xxhash64("slot", "hash"))).alias("template"), F.collect_set(F.when(F.col("hash").isNull(), F.col("slot"))).alias("lists")))
 
-    marked = beside(aligned, template, "left")
-    listed = lambda b: b["linked"] & (~b["inside"] | F.coalesce(F.array_contains("lists", b["slot"]), F.lit(False)))
-    fits = F.filter("blocks", lambda b: ~within(b, "template") & ~listed(b))
+    marked = beside(aligned, template, 8 * (F.size("template") + F.size("lists")), "left")
+    marked = marked.withColumn("own", own_part("blocks", F.col("template"))).withColumn("own_lists", F.array_intersect("blocks.slot", "lists"))
+    listed = lambda b: b["linked"] & (~b["inside"] | among(F.col("own_lists"), b["slot"]))
+    fits = F.filter("blocks", lambda b: ~among(F.col("own"), name(b)) & ~listed(b))
     sure = F.filter(fits, lambda b: ~b["doubt"])
     chosen = F.when(F.size(sure) > 0, sure).otherwise(fits)
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n\n")

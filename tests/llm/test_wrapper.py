@@ -1,6 +1,7 @@
 """Main text of pages."""
 
 import html
+import random
 import re
 
 import pytest
@@ -63,10 +64,97 @@ def test_single_pages(page, want):
 
 def test_matching_of_trees():
     a, b = (X.parse(p)[0] for p in ("<div><h1>x</h1><ul><li>1</li></ul><p>y</p></div>", "<div><ul><li>1<li>2</ul><h1>z</h1><p>y</p><pre>q</pre></div>"))
-    size, _ = X.match(a, b, {})
+    size, _ = X.match(a, b)
     assert size == 5  # root, div, ul, li, p: h1 and ul cannot both keep their order
 
 
+def plain_match(a, b):
+    """The size of the largest mapping by the recursive programme over all children."""
+    left, right = list(a.children.values()), list(b.children.values())
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left, 1):
+        for j, y in enumerate(right, 1):
+            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + plain_match(x, y) if x.label == y.label else 0)
+    return 1 + best[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    node = X.Node("", None)
+    for label in rng.sample("abcdefg", rng.randrange(max(1, 8 - 2 * depth))):
+        child = random_tree(rng, depth + 1)
+        child.label, child.parent, node.children[label] = label, node, child
+    return node
+
+
+def test_matching_as_by_the_recursive_programme():
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = random_tree(rng), random_tree(rng)
+        size, partner = X.match(a, b)
+        assert size == plain_match(a, b)
+        n, todo = 0, [a]
+        while todo:  # the partners keep labels, parents and order, and there are as many as the size says
+            x = todo.pop()
+            n += 1
+            kept = [c for c in x.children.values() if id(c) in partner]
+            places = [list(partner[id(x)].children.values()).index(partner[id(c)]) for c in kept]
+            assert places == sorted(places) and all(c.label == partner[id(c)].label for c in kept)
+            todo += kept
+        assert n == size
+        assert [x[0] for x in X.dumped(X.loaded(X.dumped(a)))] == [x[0] for x in X.dumped(a)]
+
+
+@pytest.mark.parametrize("deep", ["<div class=ad>", "<div class=ad><article>", "<article><div class=menu><p>"])
+def test_deep_pages(spark, deep):
+    page = "<body><h1>Story {i}</h1><p>text {i} of some length, as a story has</p>{deep}buried {i}</body>"
+    rows = [(i, f"http://one.example/{i}", page.replace("{i}", str(i)).replace("{deep}", deep * 5_000 if i == 3 else "")) for i in range(6)]
+    got = texts(spark, rows)
+    assert got[2] == "Story 2\n\ntext 2 of some length, as a story has\n\nburied 2"
+    assert got[3].startswith("Story 3\n\ntext 3 of some length, as a story has")
+    root, blocks = X.parse(rows[3][2])
+    assert max(node.depth for node, _, _ in blocks) <= X.DEPTH + 1 and len(blocks) == 3
+
+
+def test_many_slots_and_many_copies(spark):
+    """1,500 different classes on a page, and 1,000 copies of one page among ten others."""
+    page = "<body><div>The Daily Page</div>" + "".join(f"<div class=c{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}>slot {a} {b} {c} of {{i}}</div>" for a in range(12) for b in range(12) for c in range(11)) + "</body>"
+    rows = [(i, f"http://one.example/{i}", page.replace("{i}", str(i))) for i in range(5)]
+    other = "<body><div>The Other Page</div><p>story {i}</p><p>told {i}</p></body>"
+    rows += [(1_000 + i, "http://two.example", other.replace("{i}", "0" if i < 1_000 else str(i))) for i in range(1_010)]
+    got = texts(spark, rows)
+    assert got[4].startswith("slot 0 0 0 of 4\n\nslot 0 0 1 of 4") and got[4].count("\n\n") == 12 * 12 * 11 - 1
+    assert got[1_007] == "story 0\n\ntold 0" and got[2_005] == "story 1005\n\ntold 1005"
+
+
+def plain_text(page, host_pages):
+    """Content by slots and constants for pages of one structure: a slot is the path of labels, no trees are matched."""
+    def lines(one):
+        return [("/".join(path(n)), text, linked, n) for n, text, linked in X.parse(one)[1]]
+
+    def path(node):
+        return path(node.parent) + [node.label] if node.parent else []
+
+    held = [{(slot, text) for slot, text, _, _ in lines(p)} for p in dict.fromkeys(host_pages)]
+    slots = [{slot for slot, _ in h} for h in held]
+    out = []
+    for slot, text, linked, node in lines(page):
+        own = sum((slot, text) in h for h in held)
+        constant = len(held) >= 4 and own >= 4 * 0.9 and own >= 0.9 * sum(slot in s for s in slots)
+        if not constant and not node.doubt and not (linked > 0.6 * len(text) and not node.inside):
+            out.append(text)
+    return "\n\n".join(out)
+
+
+def test_pages_as_by_plain_slots_and_constants(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(re.match(r"\w+://([^/]*)", r["url"])[1], []).append(r["html"])
+    got = {r["page_id"]: r["text"] for r in X.op5_wrapper(spark, FOLDER).collect()}
+    for r in pages:
+        assert got[r["page_id"]] == plain_text(r["html"], hosts[re.match(r"\w+://([^/]*)", r["url"])[1]])
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "x"), (2, "http://a.example", "", None), (None, "no address", "<p>t", None), (3, "//h.example/q", "<p>" + "w " * 100_000, None)] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -79,7 +167,7 @@ def test_odd_rows(spark):
 def test_many_hosts_by_plain_joins(spark, monkeypatch):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     want = sorted(map(tuple, X.main_text(pages).collect()))
-    monkeypatch.setattr(X, "FEW_HOSTS", 1)
+    monkeypatch.setattr(X, "FEW_BYTES", 0)
     assert sorted(map(tuple, X.main_text(pages).collect())) == want
 
 
