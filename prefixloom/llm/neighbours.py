@@ -15,7 +15,8 @@ than any other.
 
 Rows whose id or vector is null, whose vector is zero, empty, or holds a null or non-finite component
 take no part. Vectors of different length are not compared. Of several rows with one id the one with the
-smallest vector takes part. Ties go to the smaller id. Fewer than k candidates give fewer rows; an empty
+smallest vector takes part. A vector whose largest component is under 1e-100 or over 1e100 has no bounds: its pairs
+are all computed exactly; a product that is not a number for overflow ranks last. Ties go to the smaller id. Fewer than k candidates give fewer rows; an empty
 table gives none.
 """
 
@@ -35,6 +36,7 @@ K = 20
 SHARD_ROWS = 65_536
 LEAST_SHARDS, LEAST_ROWS = 24, 1_024  # small inputs are spread too
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4_096
+TINY = 1e-100  # beyond it, and its inverse, components have no codes
 SLACK = 1e-5  # of the norms' product: rounding of the float32 scaling and of the bounds
 
 
@@ -58,19 +60,24 @@ class Block:
         self.vectors = raw[order][starts].astype(np.float64)
         stops = np.concatenate([starts[1:], [len(ids)]])
         self.ids = [ids[a:b if keep is None else min(b, a + keep)].tolist() for a, b in zip(starts, stops)]
-        scale = np.abs(self.vectors).max(1) / 127
+        # squares of very small or large components leave the doubles' range: such rows have no codes and no bounds
+        most = np.abs(self.vectors).max(1)
+        self.bounded = (most > TINY) & (most < 1 / TINY)
+        scale = np.where(self.bounded, most / 127, np.inf)
         codes = np.rint(self.vectors / scale[:, None])
-        near = codes * scale[:, None]
-        self.scale, self.codes = scale, codes.astype(np.int8)
-        self.norm, self.near_norm = np.linalg.norm(self.vectors, axis=1), np.linalg.norm(near, axis=1)
-        self.error = np.linalg.norm(self.vectors - near, axis=1)
+        self.scale, self.codes = np.where(self.bounded, scale, 0.0), codes.astype(np.int8)
+        near = codes * self.scale[:, None]
+        own = np.where(self.bounded[:, None], self.vectors, 0.0)
+        self.norm, self.near_norm = np.linalg.norm(own, axis=1), np.linalg.norm(near, axis=1)
+        self.error = np.linalg.norm(own - near, axis=1)
 
 
 def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Inner products of rows side by side, added up component by component."""
     total = np.zeros(len(left))
-    for i in range(left.shape[1]):
-        total += left[:, i] * right[:, i]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(left.shape[1]):
+            total += left[:, i] * right[:, i]
     return total
 
 
@@ -86,11 +93,14 @@ def search(queries: Block, candidates: Block, k: int) -> list[list[tuple[float,
         tile *= queries.scale[:, None] * candidates.scale[None, part]
         bound = queries.error[:, None] * candidates.norm[None, part] + queries.near_norm[:, None] * candidates.error[None, part]
         bound += SLACK * queries.norm[:, None] * candidates.norm[None, part]
+        bound[~queries.bounded] = np.inf
+        bound[:, ~candidates.bounded[part]] = np.inf
         if tile.shape[1] >= k:
             sure = np.partition(tile - bound, tile.shape[1] - k, axis=1)[:, tile.shape[1] - k]
             floor = np.maximum(floor, sure)
         q, c = np.nonzero(tile + bound >= floor[:, None])
         exact = product(queries.vectors[q], candidates.vectors[part][c])
+        exact = np.where(np.isnan(exact), -np.inf, exact)
         for row, column, score in zip(q.tolist(), (c + first).tolist(), exact.tolist()):
             heap = heaps[row]
             for own in candidates.ids[column]:
@@ -104,14 +114,14 @@ def search(queries: Block, candidates: Block, k: int) -> list[list[tuple[float,
     return heaps
 
 
-def tiles(k: int):
+def tiles(k: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (size, shard, is_query, id, vector) in this order: a shard's candidates, then its queries."""
         key, block = None, None
         ids, vectors, waiting, asked = [], [], [], []
 
         def answer() -> pa.RecordBatch:
-            queries = Block(np.array(waiting), np.frombuffer(b"".join(asked), np.float64).reshape(len(asked), -1), None)
+            queries = Block(np.array(waiting), np.frombuffer(b"".join(asked), kind).reshape(len(asked), -1), None)
             found = search(queries, block, k + 1)  # one may be the query itself
             rows = [(q, *zip(*best)) for owners, heap in zip(queries.ids, found) for q in owners
                     if (best := heapq.nlargest(k, (x for x in heap if -x[1] != q)))]
@@ -135,7 +145,7 @@ def tiles(k: int):
                 if not ids:
                     continue  # a shard without candidates of this length
                 if block is None:
-                    block = Block(np.array(ids), np.frombuffer(b"".join(vectors), np.float64).reshape(len(ids), -1), k + 1)
+                    block = Block(np.array(ids), np.frombuffer(b"".join(vectors), kind).reshape(len(ids), -1), k + 1)
                 waiting.append(own)
                 asked.append(vector)
                 if len(waiting) >= QUERY_BLOCK:
@@ -188,8 +198,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     """(query_id, rank, vec_id, score): the k nearest other rows of every row that is_query marks."""
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    single = vectors.schema[vector].dataType.elementType.typeName() == "float"  # travels in its own width
+    kind = np.float32 if single else np.float64
     good = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     one = good.groupBy("id").agg(F.min(F.struct("v", "asks")).alias("r")).select("id", F.col("r.v").alias("v"), F.col("r.asks").alias("asks"))
     one = written(one)
     n = one.count()
@@ -212,7 +224,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     dealt = rows.select("size", "id", "vector", F.explode(F.when(F.col("asks"), F.concat(sides, visits)).otherwise(sides)).alias("to"))
     dealt = dealt.select("size", "to.shard", "to.is_query", "id", "vector").repartition(shards, "shard")
     best = dealt.sortWithinPartitions("size", "shard", "is_query", "id").mapInArrow(
-        tiles(k), "query_id long, scores array<double>, ids array<long>")
+        tiles(k, kind), "query_id long, scores array<double>, ids array<long>")
     by_query = best.repartition("query_id").sortWithinPartitions("query_id")
     return by_query.mapInArrow(merged(k), "query_id long, rank int, vec_id long, score double")
 

@@ -55,6 +55,27 @@ def test_bounds_hold():
     assert (np.abs(tile - q.vectors @ c.vectors.T) <= bound + 1e-9).all()
 
 
+def test_very_small_and_large_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * 1e-3).tolist()) for i in range(40)]
+    rows += [(100 + i, [x, 0.0, 0.0, 0.0]) for i, x in enumerate([5e-324, 1e-310, 1e-200, 1e-120, 1e120, 1e200, -1e200, 1e300])]
+    rows += [(201, [-1.0, 0.0, 0.0, 0.0]), (210, [5e-324, 1.0, 0.0, 0.0]), (300, [5e-324, 5e-324, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r[0], r[1], r[2], r[3] + 0.0) for r in X.nearest(df, F.col("vec_id") % 3 == 0, k=20).collect()}
+    assert got == brute(rows, 20)
+    few = [(3, [-1.0, 0.0, 0.0, 0.0]), (4, [5e-324, 0.0, 0.0, 0.0])] + [(10 + i, [1.0 + i, 0.0, 0.0, 0.0]) for i in range(30)]
+    best = X.nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>"), F.col("vec_id") == 3, k=20).collect()
+    assert len(best) == 20 and min(best, key=lambda r: r["rank"])["vec_id"] == 4
+
+
+def test_single_precision_travels_as_such(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r[0], r[1], r[2], r[3] + 0.0) for r in X.nearest(df, F.col("vec_id") % 3 == 0, k=7).collect()}
+    assert got == brute(rows, 7)
+
+
 def test_same_rows_as_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert spark_rows(X.op6_neighbours(spark, folder)) == oracle_rows(views(folder), X.SQL)
