@@ -11,7 +11,8 @@ Entropy kinds: a candidate is a maximal run of a class's characters of at least
 A window of fixed length slides over it; the counts of its characters are held in an array, of which
 one step changes two, and the sum of c log2 c follows from the counts before and after. Windows over
 the class's threshold are hot; hot windows that touch or overlap make one span. A candidate that an
-allow-list pattern matches gives none: words, numbers, placeholders, paths. Base spans always stay.
+allow-list pattern matches gives none: words, numbers, paths. A placeholder word (example, your_) suppresses only the
+part between joiners that holds it, so a key after /examples/ is found. Base spans always stay.
 
 Null texts count as empty and have no span. Other columns stay; old columns with the names of new ones
 are replaced. Repeated rows give equal results; an empty table gives an empty one.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 VALUE = 6
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,7 +63,7 @@ ALLOW = (
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
 # the same rules without a repeated group, which Java matches by recursion: a run of thousands of words overflows its stack
 RULES = tuple(r"^[A-Za-z][A-Za-z/_=-]*$" if p.startswith("^[A-Za-z]+(") else p for p in ALLOW)
-PLACEHOLDERS, JOINERS = ALLOW[3], "/_=-"
+PLACEHOLDERS = ALLOW[3]
 PART = r"[A-Za-z0-9+]+[_-]?|[^A-Za-z0-9+]+"
 
 
@@ -158,26 +159,24 @@ def listed(found: Column) -> Column:
         F.array_sort(found), lambda s: F.concat_ws(":", F.element_at(names, s["rank"]), s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame, text: str = "text", out: str = "spans", by_part: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """docs with a column ``out``: array of (start, rank, stop), by start and rank.
 
-    Ranks 1 to 3 are the base kinds, further ones the entropy classes in their order. A placeholder word allows
-    the whole candidate, or by_part only what is between the joiners around the word.
+    Ranks 1 to 3 are the base kinds, further ones the entropy classes in their order.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE
     base = F.concat(spans(body, ASSIGN, 1, long_enough), spans(body, ACCESS, 2), spans(body, HEX, 3))
     found = docs.withColumn(out, base)
     for i, kind in enumerate(CLASSES):
-        own = without_placeholders(body) if by_part and set(JOINERS) & set(kind.characters) else body
-        hot = F.transform(candidates(own, kind), windows_of(kind, len(BASE) + 1 + i))
+        hot = F.transform(candidates(without_placeholders(body), kind), windows_of(kind, len(BASE) + 1 + i))
         found = found.withColumn(out, F.concat(F.col(f"`{out}`"), F.flatten(hot)))
     return found.withColumn(out, F.array_sort(F.col(f"`{out}`")))
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:
     """docs with every span of the text replaced by the mask; overlapping spans give one mask."""
-    name = "_secret_spans"
+    [name] = fresh("spans")
     body = F.col(f"`{text}`")
 
     def step(state, s):
@@ -190,7 +189,7 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame
     found = F.col(name)
     clean = F.when(F.size(found) == 0, body).otherwise(F.aggregate(found, first, step, rest))
     columns = [clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return scan(docs, text, name, by_part=True).select(*columns)
+    return scan(docs, text, name).select(*columns)
 
 
 def op4_secrets(spark, folder: str) -> DataFrame:
@@ -208,25 +207,28 @@ def oracle() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    def matches(name: str, rank: int, pattern: str, keep: str) -> str:
+    def matches(name: str, rank: int, pattern: str, keep: str, t: str = "t") -> str:
         return f"""
 {name} AS (
   SELECT r, {rank} AS rank, until - length(m) AS a, until AS z, m FROM (
     SELECT r, m, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i) AS until FROM (
       SELECT r, unnest(gaps) AS gap, unnest(ms) AS m, generate_subscripts(gaps, 1) AS i FROM (
-        SELECT r, string_split_regex(t, {quoted(pattern)}) AS gaps, regexp_extract_all(t, {quoted(pattern)}) AS ms FROM d)))
+        SELECT r, string_split_regex({t}, {quoted(pattern)}) AS gaps, regexp_extract_all({t}, {quoted(pattern)}) AS ms FROM d)))
   WHERE m IS NOT NULL AND {keep})"""
 
     allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in ALLOW)
     tables = [
-        "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)",
+        "e AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)",
+        f"""
+d AS (SELECT r, doc_id, t, CASE WHEN regexp_matches(t, {quoted(PLACEHOLDERS)}) THEN array_to_string(list_transform(regexp_extract_all(t, {quoted(PART)}),
+    lambda p: CASE WHEN regexp_matches(p, {quoted(PLACEHOLDERS)}) THEN repeat(' ', length(p)) ELSE p END), '') ELSE t END AS plain FROM e)""",
         matches("assign", 1, ASSIGN, f"length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= {VALUE}"),
         matches("access", 2, ACCESS, "true"), matches("hexes", 3, HEX, "true"),
     ]
     for i, kind in enumerate(CLASSES):
         rank = len(BASE) + 1 + i
         tables += [
-            matches(f"run{rank}", rank, kind.pattern, f"NOT ({allowed})"),
+            matches(f"run{rank}", rank, kind.pattern, f"NOT ({allowed})", "plain"),
             f"""
 hot{rank} AS (
   SELECT r, a AS run, a + i AS s FROM run{rank}, unnest(range(length(m) - {kind.window} + 1)) AS u(i)
