@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_BLOCKS = 1_024
@@ -138,24 +138,24 @@ def mix(
     place = draw(seed, F.col(f"`{key}`"))
     narrow = written(docs.select(name.alias("name"), F.col(f"`{source}`").alias("shown"), place.alias("place"),
                                  tokens(F.col(f"`{text}`")).alias("n_tokens")))
-    sources = plan(narrow, entropy, repeats, budget, seed).select(
-        F.col("name").alias("_name"), "full", "rest", "n_blocks", "cut_turn", "cut_block", "last_place", "n_tokens", "part")
-    own = [c for c in docs.columns if c not in ADDED]
-    few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
-    asked = sources.select(*[F.col(c) if c == "_name" else F.col(c).alias(f"_{c}") for c in sources.columns])
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], name.alias("_name"), place.alias("_place")).join(
-        F.broadcast(asked) if few else asked, "_name")
-    block = F.col("_place") % F.col("_n_blocks")
-    rows = rows.withColumn("_block", block).withColumn("_turn", draw(seed, F.col("_name"), F.col("_full"), F.col("_block")))
-    before = F.struct("_turn", "_block") < F.struct(F.col("_cut_turn").alias("_turn"), F.col("_cut_block").alias("_block"))
-    in_cut = (F.col("_block") == F.col("_cut_block")) & (F.col("_last_place").isNull() | (F.col("_place") < F.col("_last_place")))
-    taken = (F.col("_rest") > 0) & (F.col("_cut_turn").isNull() | before | in_cut)
-    copies = F.col("_full") + F.when(taken, 1).otherwise(0)
-    dealt = rows.filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
-    turn = draw(seed, F.col("_name"), F.col("epoch"), F.col("_block"))
-    times = F.when(F.col("_n_tokens") > 0, F.col("_part") / F.col("_n_tokens")).otherwise(1.0)
-    pace = F.least(F.lit(1.0), (F.col("epoch") + turn / F.lit(2.0**60)) / times)
-    return dealt.select(*[F.col(f"`{c}`") for c in own], "epoch", F.col("_block").cast("int").alias("block"), pace.alias("pace"))
+    fields = ("name", "full", "rest", "n_blocks", "cut_turn", "cut_block", "last_place", "n_tokens", "part")
+    of = dict(zip((*fields, "place", "block", "turn", "number"), fresh(*fields, "place", "block", "turn", "number")))  # beside columns of any name
+    col = {c: F.col(n) for c, n in of.items()}
+    asked = plan(narrow, entropy, repeats, budget, seed).select(*[F.col(c).alias(of[c]) for c in fields])
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    few = asked.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    rows = docs.select(*own, name.alias(of["name"]), place.alias(of["place"])).join(F.broadcast(asked) if few else asked, of["name"])
+    rows = rows.withColumn(of["block"], col["place"] % col["n_blocks"])
+    rows = rows.withColumn(of["turn"], draw(seed, col["name"], col["full"], col["block"]))
+    before = F.struct(col["turn"].alias("t"), col["block"].alias("b")) < F.struct(col["cut_turn"].alias("t"), col["cut_block"].alias("b"))
+    in_cut = (col["block"] == col["cut_block"]) & (col["last_place"].isNull() | (col["place"] < col["last_place"]))
+    taken = (col["rest"] > 0) & (col["cut_turn"].isNull() | before | in_cut)
+    copies = col["full"] + F.when(taken, 1).otherwise(0)
+    dealt = rows.filter(copies > 0).withColumn(of["number"], F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
+    turn = draw(seed, col["name"], col["number"], col["block"])
+    times = F.when(col["n_tokens"] > 0, col["part"] / col["n_tokens"]).otherwise(1.0)
+    pace = F.least(F.lit(1.0), (col["number"] + turn / F.lit(2.0**60)) / times)
+    return dealt.select(*own, col["number"].alias("epoch"), col["block"].cast("int").alias("block"), pace.alias("pace"))
 
 
 def op7_mixing(spark, folder: str) -> DataFrame:

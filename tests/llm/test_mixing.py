@@ -73,6 +73,15 @@ def test_many_sources_by_plain_joins(docs, monkeypatch):
     assert sorted(map(tuple, X.mix(docs, repeats=2.0).collect()), key=str) == want
 
 
+def test_columns_of_any_name_stay(docs):
+    odd = ["name", "_name", "_place", "_full", "_rest", "_block", "_turn", "n_tokens", "place"]
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in odd])
+    got = X.mix(wide, repeats=2.0)
+    assert got.columns == ["doc_id", "source", "text", *odd, "epoch", "block", "pace"]
+    assert got.count() == X.mix(docs, repeats=2.0).count()
+    assert [tuple(r) for r in got.select(*odd).distinct().collect()] == [tuple(odd)]
+
+
 def test_same_rows_as_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert spark_rows(X.op7_mixing(spark, folder)) == oracle_rows(views(folder), X.SQL)
