@@ -38,7 +38,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20  # words; percent
 SMOOTHING = 1.0
 THRESHOLD = -0.15
 UNIT = 1 << 20  # ratios are integers of this fraction
-FEW_IDS = 1_000_000
+FEW_IDS = 500_000  # ids of trusted documents that are broadcast: 8 MB at 16 bytes a row; beyond, both sides are shuffled
 SYMBOLS = b"#*$%&|<>"
 STEP = 0x9E3779B97F4A7C15
 

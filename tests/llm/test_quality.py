@@ -1,5 +1,7 @@
 """Quality classifier: held-out accuracy, pooling over blocks, and odd rows."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -58,3 +60,28 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("rows,share", [([], 0.5), ([("a", 1)], 1), ([("a", 0)], 0)])
 def test_fit_without_both_classes(rows, share):
     assert X.fit(rows).scorer()(pa.array(["text", None]))[0] == pytest.approx([share, share], abs=1e-5)
+
+
+def plain_score(model, body):
+    """The network's probability for one text by Python loops over its chunks."""
+    n = max(1, -(-max(len(body) - X.CHUNK, 0) // X.STEP) + 1)
+    pooled = [0.0] * len(model.weights)
+    for c in range(n):
+        at = [c * X.STEP + i for i in range(X.CHUNK)]
+        codes = [body[i] if i < len(body) else X.MARK for i in at]
+        shares = [sum(lag <= i < len(body) and body[i] == body[i - lag] for i in at) / X.CHUNK for lag in range(1, X.LAGS + 1)]
+        inputs = [float(v) for code in codes for v in model.vectors[code]] + shares + [max(shares)]
+        for f in range(len(pooled)):
+            value = sum(x * float(w) for x, w in zip(inputs, model.filters[:, f])) + float(model.offsets[f])
+            pooled[f] = max(pooled[f], value)
+    logit = sum(p * float(w) for p, w in zip(pooled, model.weights)) + model.intercept
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_as_by_plain_loops(monkeypatch):
+    monkeypatch.setattr(X, "CHUNKS_AT_ONCE", 3)  # chunks come in several blocks
+    texts = ["good words are here to stay " * 6, "a" * 200, "x", "", "é " * 31, "ab" * 16, "z" * 33, "one two three, " * 11]
+    model = X.fit([(t, i % 2) for i, t in enumerate(texts)], steps=20)
+    got = model.scorer()(pa.array([*texts, None]))[0]
+    for score, text in zip(got, [*texts, ""]):
+        assert abs(score - plain_score(model, text.encode())) < 1e-6
