@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns
 of documents; the last one returns ids. All operators are those of prefixloom.llm.
+
+Null and empty texts pass the toxicity stage (without labels every document does), are one near-duplicate class, of which the smallest
+doc_id stays (a null one only where there is no other), hold no secrets, count no tokens and have no ids. Of rows repeated in full one
+stays. Rows with a null source are a source of their own. Whole texts count, however long. Further columns, whatever
+their names, travel up to the last stage. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -17,8 +22,7 @@ REPEATS = 1.5
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold stay."""
-    marked = toxicity.rejected(docs, table(spark, sf_dir, "labels"))
-    return marked.filter(~F.col("_toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
