@@ -306,9 +306,12 @@ def fit_rows(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str =
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"), held_out.alias("out"))
     rows = rows.filter(~F.col("out") & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.octet_length("t") <= FIT_BYTES))
     known = rows.select("l", F.xxhash64(F.col("k").cast("string"), "t").alias("h"))
-    # the limit goes before the exchange, so a frequent language ships few rows
+    # of a frequent language only about three times the rows that are wanted go into its window: a share of the hash's range
+    counts = known.groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(3.0 * most + 100) / F.col("n"))
+    few = known.join(F.broadcast(counts), "l").filter(F.pmod("h", F.lit(1 << 32)) <= share * (1 << 32)).select("l", "h").distinct()
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    drawn = known.withColumn("nth", nth).filter(F.col("nth") <= most).select("l", "h").distinct()
+    drawn = few.withColumn("nth", nth).filter(F.col("nth") <= most).select("l", "h")
     chosen = rows.withColumn("h", F.xxhash64(F.col("k").cast("string"), "t")).join(F.broadcast(drawn), ["l", "h"])
     got = chosen.groupBy("l", "h").agg(F.min("t").alias("t")).collect()
     return [(r["t"], r["l"]) for r in sorted(got, key=lambda r: (r["l"], r["h"]))]
