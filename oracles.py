@@ -527,6 +527,10 @@ add("fuzzy_partial", """
 SELECT key AS prefix, query, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, query)::INT AS rk FROM c4all""",
     norm_pairs=f"SELECT p, query AS q FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), fpool WHERE length(p) >= 2")
 
+add("fuzzy_partial_work", f"""
+SELECT count(DISTINCT p) AS n_prefixes, count(*) AS pairs, true AS under_a_quarter
+FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), (SELECT DISTINCT query FROM clean_pool WHERE query IS NOT NULL) WHERE length(p) >= 2""")
+
 add("embed_hashed", f"""
 SELECT query, slot::INT AS slot, round(v, 6) AS value FROM (SELECT query, {strict('query')} AS txt FROM pool) JOIN unit USING (txt)""")
 
@@ -581,6 +585,9 @@ add("vector_recall", """
 SELECT count(*) AS total, count(b.pid) AS found, round(count(b.pid)::DOUBLE / count(*), 6) AS recall
 FROM exact_ten a LEFT JOIN probed_ten b ON a.qid = b.qid AND a.pid = b.pid""",
     exact_ten=_vectors("cos", SPLIT, 10), probed_ten=_in_cells(8, 10))
+# approximate searches: all exact pairs are asked for, and 0.9 of them must be found
+for name, k in (("vector_recall_graph", 20), ("vector_recall_fitted", 10)):
+    add(name, "SELECT count(*) AS total, true AS enough FROM exact", exact=_vectors("cos", SPLIT, k))
 add("pca_norms", """
 SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS norm2
 FROM (SELECT vec_id, x, avg(x) OVER (PARTITION BY pos) AS m FROM (

@@ -171,10 +171,12 @@ class TextBlock:
         self.alphabet, inverse = np.unique(self.codes, return_inverse=True)
         self.codes = inverse.reshape(self.codes.shape)
 
-    def partial_ratio(self, pattern: str) -> np.ndarray:
+    def partial_ratio(self, pattern: str, some: np.ndarray | None = None) -> np.ndarray:
+        """The partial ratios of all texts, or of some rows."""
         m = len(pattern)
+        some = np.arange(len(self.texts)) if some is None else some
         out = np.zeros(len(self.texts))
-        longer = np.flatnonzero(self.lens > m) if 0 < m <= _WORD else np.array([], dtype=np.int64)
+        longer = some[self.lens[some] > m] if 0 < m <= _WORD else np.array([], dtype=np.int64)
         lut = np.zeros(len(self.alphabet), dtype=np.uint64)
         for i, ch in enumerate(pattern[:_WORD]):
             lut[self.alphabet == ord(ch) + 1] |= np.uint64(1) << np.uint64(i)
@@ -182,10 +184,117 @@ class TextBlock:
             rows = longer[at : at + _CHUNK]
             width = int(self.lens[rows].max())
             out[rows] = best_window(lut[self.codes[rows, :width]], self.lens[rows], m)
-        rest = np.setdiff1d(np.arange(len(self.texts)), longer)
+        rest = np.setdiff1d(some, longer)
         if len(rest):
             out[rest] = partial_ratio_pairs([pattern] * len(rest), self.texts[rest].tolist())
-        return out
+        return out[some]
+
+    def window_bound(self, pattern: str, some: np.ndarray) -> np.ndarray:
+        """No partial ratio of these rows, all longer than the pattern, is above: characters in common with any one window."""
+        m, width = len(pattern), int(self.lens[some].max())
+        codes, lens = self.codes[some, :width], self.lens[some]
+        inside = np.zeros((len(some), width - m + 1), np.int16)
+        first, last = (np.zeros((len(some), m), np.int16) for _ in range(2))  # of the first and last 0 .. m - 1 characters
+        tail = lens[:, None] - np.arange(m)[None, :]
+        for ch in set(pattern):
+            at = np.searchsorted(self.alphabet, ord(ch) + 1)
+            if at == len(self.alphabet) or self.alphabet[at] != ord(ch) + 1:
+                continue
+            most = np.int16(pattern.count(ch))
+            summed = np.zeros((len(some), width + 1), np.int16)
+            np.cumsum(codes == at, axis=1, dtype=np.int16, out=summed[:, 1:])
+            inside += np.minimum(summed[:, m:] - summed[:, :width - m + 1], most)
+            first += np.minimum(summed[:, :m], most)
+            last += np.minimum(summed[np.arange(len(some)), lens][:, None] - np.take_along_axis(summed, tail, axis=1), most)
+        inside[np.arange(width - m + 1)[None, :] > (lens - m)[:, None]] = 0
+        ends = 2.0 * np.maximum(first, last) / (m + np.arange(m))
+        return np.maximum(inside.max(axis=1) / m, ends.max(axis=1))
+
+
+class BoundedBlock:
+    """Texts of one block, searched for the best partial ratios with bounds from above.
+
+    Texts with the same set of characters (the rarest share one place) are a class, and a class that has too few of a
+    pattern's characters is skipped whole. Of the others, the counts of characters in common bound each text:
+    with c in common and the shorter one s long, no window gives more than 2 c / (s + c). Texts are looked at by
+    this bound, a batch at a time; windows bound them again, and what can still be among the best is compared.
+    """
+
+    PLACES = 64
+    FIRST, BATCH = 64, 256
+
+    def __init__(self, texts: list[str], parts: list[TextBlock]):
+        """``parts`` hold the texts, each those of about one length."""
+        spots = {t: (i, j) for i, part in enumerate(parts) for j, t in enumerate(part.texts.tolist())}
+        self.texts = np.array(sorted(texts), dtype=object)
+        self.parts = parts
+        where = np.array([spots[t] for t in self.texts], np.int64).reshape(-1, 2)
+        self.part, self.row = where[:, 0], where[:, 1]
+        self.lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        flat = np.frombuffer("".join(self.texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(self.texts)), self.lens)
+        found, inverse, often = np.unique(flat, return_inverse=True, return_counts=True)
+        place = np.empty(len(found), np.int64)
+        place[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(found)), self.PLACES - 1)
+        self.place = dict(zip(map(chr, found.tolist()), place.tolist()))
+        counts = np.bincount(owner * self.PLACES + place[inverse], minlength=len(self.texts) * self.PLACES)
+        self.counts = np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, self.PLACES)
+        bits = np.left_shift(np.uint64(1), np.arange(self.PLACES, dtype=np.uint64))
+        signature = ((self.counts > 0) * bits).sum(axis=1, dtype=np.uint64)
+        self.signatures, group = np.unique(signature, return_inverse=True)
+        self.members = np.argsort(group, kind="stable")
+        self.edges = np.searchsorted(group[self.members], np.arange(len(self.signatures) + 1))
+        self.shortest = np.full(len(self.signatures), np.iinfo(np.int64).max)
+        np.minimum.at(self.shortest, group, self.lens)
+
+    def best(self, pattern: str, limit: int, threshold: float) -> tuple[list[tuple[float, str]], int]:
+        """The ``limit`` best (score, text) of at least the threshold, by score and text, and how many texts were compared."""
+        wanted: dict[int, int] = {}
+        for ch in pattern:
+            if ch in self.place:
+                wanted[self.place[ch]] = wanted.get(self.place[ch], 0) + 1
+        m, slack = len(pattern), 1e-6
+        at, most = np.array(list(wanted), np.int64), np.array(list(wanted.values()), np.int64)
+        if not len(at):
+            return [], 0
+
+        def bound(common: np.ndarray, lens: np.ndarray) -> np.ndarray:
+            return 200.0 * common / np.maximum(np.minimum(m, lens) + common, 1)
+
+        has = (self.signatures[:, None] >> at.astype(np.uint64)[None, :]) & np.uint64(1)
+        classes = np.flatnonzero(bound(has.astype(np.int64) @ most, self.shortest) + slack >= threshold)
+        rows = np.concatenate([self.members[self.edges[c]:self.edges[c + 1]] for c in classes] or [np.zeros(0, np.int64)])
+        top = bound(np.minimum(self.counts[rows][:, at], most[None, :]).sum(axis=1, dtype=np.int64), self.lens[rows])
+        order = np.lexsort((rows, -top))
+        order = order[top[order] + slack >= threshold]
+        rows, top = rows[order], top[order]
+        kept_score, kept_row, compared, first = np.zeros(0), np.zeros(0, np.int64), 0, 0
+        floor, last = threshold, len(self.texts)
+        while first < len(rows):
+            stop = first + (self.FIRST if not first else self.BATCH)
+            part, upper = rows[first:stop], top[first:stop]
+            open_ = (upper > floor + slack) | ((upper >= floor - slack) & (part <= last))
+            if upper[0] < floor - slack:
+                break
+            part, first = part[open_], stop
+            longer = (self.lens[part] > m) & (m <= _WORD)
+            for i in np.unique(self.part[part[longer]]):
+                mine = np.flatnonzero(longer & (self.part[part] == i))
+                near = 100.0 * self.parts[i].window_bound(pattern, self.row[part[mine]])
+                longer[mine[(near > floor + slack) | ((near >= floor - slack) & (part[mine] <= last))]] = False
+            part = part[~longer]
+            compared += len(part)
+            score = np.zeros(len(part))
+            for i in np.unique(self.part[part]):
+                mine = self.part[part] == i
+                score[mine] = np.round(100.0 * self.parts[i].partial_ratio(pattern, self.row[part[mine]]), 6)
+            hit = score >= threshold
+            kept_score, kept_row = np.concatenate([kept_score, score[hit]]), np.concatenate([kept_row, part[hit]])
+            order = np.lexsort((kept_row, -kept_score))[:limit]
+            kept_score, kept_row = kept_score[order], kept_row[order]
+            if len(kept_row) == limit:
+                floor, last = kept_score[-1], kept_row[-1]
+        return list(zip(kept_score.tolist(), self.texts[kept_row].tolist())), compared
 
 
 @F.pandas_udf(T.DoubleType())

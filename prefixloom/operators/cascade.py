@@ -5,22 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import popularity_10521, rounded, share_of_max
-from ..functions.similarity import TextBlock
+from ..functions.similarity import BoundedBlock, TextBlock
 from ..functions.text import normalize_loose
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage
-from .lexical import EDGE_LEN, edge_match
+from .dictionary import Dictionary, edge_match
+from .lexical import EDGE_LEN
 from .ranking import best, popular, top_k
 
 DEPTH = 150
 FUZZY_BLOCK = 20_000
-LEAST_BLOCK = 512
 MOST_CELLS = 2_000_000  # characters of texts, with padding, that are scored together
 TOP_LEVEL, LOW_LEVEL = 6, 2
 
@@ -60,56 +59,67 @@ def length_blocks(texts: list[str]) -> list[TextBlock]:
     return [*out, TextBlock(block)] if block else out
 
 
-def fuzzy_partial_topk(
+def partial_matches(
     prefixes: DataFrame, pool: DataFrame, limit: int = 50, threshold: float = 60.0, min_len: int = 2
 ) -> DataFrame:
-    """(prefix, query, score, rk): best partial ratios among all pool queries.
+    """(prefix, query, score, compared): per prefix and block the best partial ratios, and a row without query with the texts compared.
 
     A threshold of 0.6 does not imply a shared bigram, so no join key prunes this exactly: the
-    prefixes are a stated query set against all rows, in blocks. A task holds one block of at most
-    about FUZZY_BLOCK queries and lets the prefixes stream by; only ``limit`` rows per prefix and
-    block leave it.
+    prefixes are a stated query set against all rows, in blocks. A task holds one block of about FUZZY_BLOCK queries,
+    in classes of equal characters (BoundedBlock), and lets a part of the prefixes stream by. Bounds from above skip whole
+    classes and most of the other rows; a small pool is one block that several tasks hold, so the bounds are those of the whole pool.
     """
     spark = prefixes.sparkSession
     texts = pool.select("query").filter(F.col("query").isNotNull()).distinct()
-    n = texts.count()
-    blocks = max(-(-n // FUZZY_BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)), 1)
-    own = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")
-    rows = texts.select(own.alias("block"), F.lit(0).alias("side"), F.col("query").alias("text"))
+    blocks = max(-(-texts.count() // FUZZY_BLOCK), 1)
+    splits = max(-(-2 * spark.sparkContext.defaultParallelism // blocks), 1)
+    each = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+    rows = texts.select(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), F.col("query").alias("text"))
+    rows = rows.withColumn("split", each)
     asked = prefixes.select("prefix").distinct().filter(F.length("prefix") >= min_len)
-    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("prefix").alias("text"))
-
-    def best_of(prefix: str, parts: list[TextBlock]) -> pd.DataFrame | None:
-        found = []
-        for part in parts:
-            score = np.round(100.0 * part.partial_ratio(prefix), 6)
-            hit = np.flatnonzero(score >= threshold)
-            if len(hit) > limit:  # all that tie with the last one
-                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - limit)[len(hit) - limit]]
-            found += zip((-score[hit]).tolist(), part.texts[hit].tolist())
-        found = sorted(found)[:limit]
-        return pd.DataFrame({"prefix": prefix, "query": [q for _, q in found], "score": [-s for s, _ in found]}) if found else None
+    visits = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), F.col("prefix").alias("text"),
+        F.pmod(F.xxhash64("prefix"), F.lit(splits)).cast("int").alias("split"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, waiting, parts = None, [], None
+        current, waiting, block = None, [], None
         for batch in batches:
-            for block, side, text in zip(batch["block"], batch["side"], batch["text"]):
-                if block != current:
-                    current, waiting, parts = block, [], None
+            out = []
+            for key, side, text in zip(zip(batch["block"], batch["split"]), batch["side"], batch["text"]):
+                if key != current:
+                    current, waiting, block = key, [], None
                 if side == 0:
                     waiting.append(text)
-                    continue
-                if parts is None:
-                    parts = length_blocks(waiting)
-                got = best_of(text, parts)
-                if got is not None:
-                    yield got
+                elif waiting:
+                    block = block or BoundedBlock(waiting, length_blocks(waiting))
+                    found, compared = block.best(text, limit, threshold)
+                    out += [(text, query, score, None) for score, query in found]
+                    out.append((text, None, None, compared))
+            yield pd.DataFrame(out, columns=["prefix", "query", "score", "compared"]).astype({"score": "float64", "compared": "Int64"})
+
+    dealt = rows.unionByName(visits).repartition(blocks * splits, "block", "split").sortWithinPartitions("block", "split", "side", "text")
+    return dealt.mapInPandas(match, "prefix string, query string, score double, compared long")
 
-    dealt = rows.unionByName(visits).repartition(blocks, "block").sortWithinPartitions("block", "side", "text")
-    return top_k(dealt.mapInPandas(match, "prefix string, query string, score double"), ["prefix"], best(), limit)
 
+def fuzzy_partial_topk(
+    prefixes: DataFrame, pool: DataFrame, limit: int = 50, threshold: float = 60.0, min_len: int = 2
+) -> DataFrame:
+    """(prefix, query, score, rk): best partial ratios among all pool queries."""
+    found = partial_matches(prefixes, pool, limit, threshold, min_len).filter(F.col("query").isNotNull())
+    return top_k(found.select("prefix", "query", "score"), ["prefix"], best(), limit)
 
-def cascade(prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFrame, k: int = DEPTH) -> DataFrame:
+
+def partial_work(prefixes: DataFrame, pool: DataFrame, limit: int = 50, threshold: float = 60.0, min_len: int = 2) -> DataFrame:
+    """(n_prefixes, pairs, compared): what a search compares of all pairs."""
+    n = pool.select("query").filter(F.col("query").isNotNull()).distinct().count()
+    sums = partial_matches(prefixes, pool, limit, threshold, min_len).agg(
+        F.countDistinct("prefix").alias("n_prefixes"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    return sums.select("n_prefixes", (F.col("n_prefixes") * n).alias("pairs"), "compared")
+
+
+def cascade(
+    prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFrame, k: int = DEPTH, dictionary: Dictionary | None = None
+) -> DataFrame:
     """(prefix, query, score, tier, rk): the k best completions over five tiers.
 
     A later tier adds only queries no earlier tier gave, and only where fewer
@@ -119,7 +129,7 @@ def cascade(prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFr
     known from the first tiers and fewer than k from longer leading texts, so the
     k best new ones are among them and the result is that of the whole pool.
     Padding to k needs no step of its own: after the popular tier fewer than k
-    rows means that the whole pool is in.
+    rows means that the whole pool is in. ``dictionary`` is Dictionary.build(pool), kept for more than one call.
     """
     asked = prefixes.select("prefix", normalize_loose("prefix").alias("key")).distinct()
     keys = asked.select("key").distinct()
@@ -134,7 +144,7 @@ def cascade(prefixes: DataFrame, freq: DataFrame, edges: DataFrame, pool: DataFr
         F.when((n > 0) & F.col("query").startswith(F.col("key")), boost).alias("s2"),
     )
     begin = keys.join(near.filter(F.col("ek") <= k), F.col("key") == F.col("edge")).select("key", "query", "popularity", "pop")
-    rest = edge_match(keys.filter(n > EDGE_LEN), pool, "key")
+    rest = edge_match(keys.filter(n > EDGE_LEN), dictionary or pool, "key")
     begin = begin.unionByName(top_k(rest, ["key"], best("popularity"), k).select("key", "query", "popularity", "pop"))
     tier2 = begin.select("key", "query", "popularity", F.lit(None).cast("double").alias("s1"), boost.alias("s2"))
     first = tier1.unionByName(tier2).groupBy("key", "query").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_loose
-from .lexical import edge_match
+from .dictionary import Dictionary
 from .ranking import top_k
 
 LIST_PAGE = 10_000
@@ -76,7 +76,7 @@ def missing_prefixes(asked: DataFrame, answered: DataFrame) -> DataFrame:
     return asked.select("prefix").distinct().join(answered.select("prefix").distinct(), "prefix", "left_anti")
 
 
-def strategy_coverage(prefixes: DataFrame, freq: DataFrame, pool: DataFrame) -> DataFrame:
+def strategy_coverage(prefixes: DataFrame, freq: DataFrame, pool: DataFrame | Dictionary) -> DataFrame:
     """(strategy, covered, total, share): prefixes with logged queries, and with pool queries that begin with them."""
     p = prefixes.select("prefix", normalize_loose("prefix").alias("key"))
     total = p.agg(F.count("*")).scalar()
@@ -89,7 +89,8 @@ def strategy_coverage(prefixes: DataFrame, freq: DataFrame, pool: DataFrame) ->
         )
 
     logged = freq.select(F.col("prefix").alias("key"))
-    return row("history", logged).unionByName(row("edge", edge_match(p.select("key").distinct(), pool, "key").select("key")))
+    held = pool if isinstance(pool, Dictionary) else Dictionary.build(pool.select("query"))
+    return row("history", logged).unionByName(row("edge", held.begins(p.filter(F.length("key") > 0), "key", 1).select("key")))
 
 
 def prefix_length_stats(prefixes: DataFrame) -> DataFrame:

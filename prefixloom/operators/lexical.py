@@ -30,6 +30,7 @@ from ..functions.similarity import ratio
 from ..functions.text import char_trigrams, gram_codes, leading_edges, normalize_strict, tokenize
 from ..schemas import require
 from ..session import broadcast_up_to
+from ..sources.tables import kept
 from .ranking import best, popular, top_k
 
 CELL_ROWS = 1_000_000
@@ -41,11 +42,12 @@ def distinct_prefixes(prefixes: DataFrame) -> DataFrame:
     return require(prefixes, "prefix").select("prefix").distinct()
 
 
-# How a table of an index is held: as the lazy DataFrame it is, or written first.
-Keep = Callable[[DataFrame, str], DataFrame]
+# How a table of an index is held: as the lazy DataFrame it is, or written first. A table that batches join by
+# the columns ``by`` may be laid out by them, sorted by ``sort``; ``rows`` is their number where it is known.
+Keep = Callable[..., DataFrame]
 
 
-def lazy(df: DataFrame, name: str) -> DataFrame:
+def lazy(df: DataFrame, name: str, by: list[str] | None = None, rows: int | None = None, sort: list[str] | None = None) -> DataFrame:
     return df
 
 
@@ -55,7 +57,7 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, prefix: str):
-        return cls(**{f.name: spark.read.parquet(f"{folder}/{prefix}_{f.name}") for f in fields(cls)})
+        return cls(**{f.name: kept(spark, f"{folder}/{prefix}_{f.name}") for f in fields(cls)})
 
 
 def _split_cells(postings: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,6 +75,11 @@ def _cells(postings: DataFrame, keys: list[str]) -> DataFrame:
     return postings.groupBy(*keys).agg(F.count("*").alias("cnt"), salts.alias("salts"))
 
 
+def _total(cells: DataFrame, keep: Keep) -> int | None:
+    """The number of postings, where the table is written."""
+    return None if keep is lazy else cells.agg(F.sum("cnt")).first()[0] or 0
+
+
 def _reaches(score: Column, query: Column) -> Column:
     """At least as good as the k-th row known so far; true if there is none."""
     floor = F.col("floor")
@@ -113,7 +120,7 @@ def trigram_index(pool: DataFrame, head_rows: int = 10, keep: Keep = lazy) -> Tr
     cells = keep(_cells(flat, keys), "trigram_cells")
     heads = top_k(flat, keys, [F.asc("query")], head_rows, "hk").drop("hk")
     return TrigramIndex(
-        keep(_split_cells(flat, cells, keys), "trigram_postings"), cells, keep(heads, "trigram_heads"),
+        keep(_split_cells(flat, cells, keys), "trigram_postings", by=[*keys, "salt"], rows=_total(cells, keep)), cells, keep(heads, "trigram_heads"),
         keep(cells.groupBy("gram").agg(F.sum("cnt").alias("df")), "trigram_grams"),
     )
 
@@ -253,7 +260,7 @@ def bm25_index(
         ["token"], [F.desc("w"), F.asc("query")], head_rows, "hk",
     )
     return Bm25Index(
-        keep(_split_cells(flat, cells, keys), "bm25_postings"), cells,
+        keep(_split_cells(flat, cells, keys), "bm25_postings", by=[*keys, "salt"], rows=_total(cells, keep)), cells,
         keep(heads.select("token", "query", "ts"), "bm25_heads"), keep(tokens, "bm25_tokens"),
     )
 
@@ -344,53 +351,12 @@ def bm25_topk(prefixes: DataFrame, index: Bm25Index, k: int = 20, strong: int =
 def edge_index(pool: DataFrame, score: str, max_len: int = EDGE_LEN, cap: int = EDGE_CAP) -> DataFrame:
     """edges(edge, query, <score>, ek): per leading text of up to max_len characters the first ``cap`` queries by score.
 
-    For uses that need no more than ``cap`` of them; edge_match gives all.
+    For uses that need no more than ``cap`` of them; a Dictionary gives all.
     """
     flat = pool.select(F.explode(leading_edges("query", max_len)).alias("edge"), *pool.columns)
     return top_k(flat, ["edge"], best(score), cap, "ek")
 
 
-def edge_match(prefixes: DataFrame, pool: DataFrame, prefix: str = "prefix", max_len: int = EDGE_LEN) -> DataFrame:
-    """All pool rows whose query begins with the prefix, for prefixes of any length ('' matches none).
-
-    Each side joins on leading text, a pool row once per prefix length there is up to max_len; longer
-    prefixes join on their first max_len characters and are then compared in full. A plain equality
-    join, so a hot leading text is split by the adaptive skew join.
-    """
-    size = F.least(F.length(prefix), F.lit(max_len))
-    asked = prefixes.filter(F.length(prefix) > 0).withColumn("_head", F.substring(F.col(prefix), F.lit(1), size))
-    sizes = [r[0] for r in asked.select(F.length("_head")).distinct().collect()]  # at most max_len numbers
-    cuts = F.array(*[F.when(F.length("query") >= n, F.substring("query", 1, n)) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
-    heads = pool.withColumn("_head", F.explode(F.filter(cuts, lambda h: h.isNotNull())))
-    return asked.join(heads, "_head").filter(F.col("query").startswith(F.col(prefix))).drop("_head")
-
-
-def prefix_match(prefixes: DataFrame, pool: DataFrame, k: int = 20, max_len: int = EDGE_LEN) -> DataFrame:
-    """(prefix, query, rk): the first k queries in text order that begin with the prefix.
-
-    Both sides are compared in strict normal form. Prefixes up to max_len use an
-    edge table that holds k queries per edge; longer ones are compared after
-    joining on their first max_len characters.
-    """
-    p = distinct_prefixes(prefixes).withColumn("np", normalize_strict("prefix"))
-    q = pool.select("query", normalize_strict("query").alias("nq"))
-    edges = q.select(F.explode(F.array_append(leading_edges("nq", max_len), F.lit(""))).alias("edge"), "query")
-    first = top_k(edges, ["edge"], [F.asc("query")], k)
-    short = p.filter(F.length("np") <= max_len).join(first, F.col("np") == F.col("edge"))
-    head = F.substring("nq", 1, max_len)
-    long_ = (
-        p.filter(F.length("np") > max_len)
-        .join(
-            q.filter(F.length("nq") > max_len),
-            (F.substring("np", 1, max_len) == head) & F.col("nq").startswith(F.col("np")),
-        )
-        .select("prefix", "query")
-    )
-    return short.select("prefix", "query", "rk").unionByName(
-        top_k(long_, ["prefix"], [F.asc("query")], k)
-    )
-
-
 def popular_queries(pool_features: DataFrame, score: Column, n: int = 1000) -> DataFrame:
     """(query, popularity): the n most popular queries."""
     return popular(pool_features.select("query", score.alias("popularity")), "popularity", n)

@@ -16,7 +16,7 @@ from ..operators.lexical import (
 )
 from ..operators.vectors import Cells, embed, hashed_trigram_encoder, semantic_topk
 from ..session import cut_lineage
-from ..sources.tables import clean_features, distinct_queries, exists, feature_map
+from ..sources.tables import clean_features, distinct_queries, exists, feature_map, kept
 
 POPULAR_N = 1000  # fixed value: length of the popular list (a report; completions look at the whole pool)
 
@@ -71,7 +71,7 @@ class Engine:
         """The tables a ``store`` of that folder holds."""
 
         def table(name: str) -> DataFrame:
-            return spark.read.parquet(f"{folder}/{name}")
+            return kept(spark, f"{folder}/{name}")
 
         by_cell = exists(spark, f"{folder}/vectors_by_cell")
         return cls(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, similarity, text
 from ..operators import cascade as tiers
-from ..operators import evaluate, history, hybrid, learn, lexical, ranking, vectors
+from ..operators import dictionary, evaluate, graph, history, hybrid, learn, lexical, ranking, vectors
 from ..operators.candidates import SOURCES, prune, with_engagement
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage, tune
@@ -60,6 +60,15 @@ def clean_pool(t: Tables) -> DataFrame:
     return keep(t)(tiers.clean_pool(t.pool(), t.features()), "clean_pool")
 
 
+def _texts(t: Tables) -> dictionary.Dictionary:
+    """The pool sorted by its strictly normalised text."""
+    return dictionary.Dictionary.build(t.pool(), text.normalize_strict("query"), keep(t), "texts")
+
+
+def _clean_texts(t: Tables) -> dictionary.Dictionary:
+    return dictionary.Dictionary.build(clean_pool(t), "query", keep(t), "clean_texts")
+
+
 # ------------------------------------------------------- sources and sinks
 
 
@@ -122,18 +131,18 @@ def index_roundtrip_all(t):
 
 @query
 def submission_wide(t):
-    ranked = lexical.prefix_match(t.prefixes(), t.pool(), 10)
+    ranked = dictionary.prefix_match(t.prefixes(), _texts(t), 10)
     return sinks.wide(t.prefixes(), ranked, 10)
 
 
 @query
 def submission_json(t):
-    return sinks.json_lists(lexical.prefix_match(t.prefixes(), t.pool(), 10))
+    return sinks.json_lists(dictionary.prefix_match(t.prefixes(), _texts(t), 10))
 
 
 @query
 def submission_list(t):
-    lists = sinks.lists(lexical.prefix_match(t.prefixes(), t.pool(), 10))
+    lists = sinks.lists(dictionary.prefix_match(t.prefixes(), _texts(t), 10))
     return lists.select("prefix", F.posexplode("retrieved_queries").alias("pos", "query"))
 
 
@@ -144,7 +153,7 @@ def _folder(t: Tables, name: str) -> str:
 @query
 def submission_files(t):
     """The three submission files, written and read back: (kind, prefix, pos, query)."""
-    ranked = lexical.prefix_match(t.prefixes(), t.pool(), 10)
+    ranked = dictionary.prefix_match(t.prefixes(), _texts(t), 10)
     wide, json_csv, parquet = (_folder(t, name) for name in ("wide", "json", "lists"))
     sinks.write_csv(sinks.wide(t.prefixes(), ranked, 10), wide)
     sinks.write_csv(sinks.json_lists(ranked), json_csv)
@@ -164,7 +173,7 @@ def submission_files(t):
 def training_sink(t):
     """Logged rows with their negatives, written and read back with a given schema."""
     folder = _folder(t, "training")
-    cands = lexical.prefix_match(t.train(), t.pool(), 20).select("prefix", "query", *[F.lit(0.0).alias(s) for s in SOURCES])
+    cands = dictionary.prefix_match(t.train(), _texts(t), 20).select("prefix", "query", *[F.lit(0.0).alias(s) for s in SOURCES])
     rows = learn.groups(t.train(), cands)
     sinks.write_parquet(rows, folder)
     return tables.scan(t.spark, folder, rows.schema).groupBy("is_truth").agg(F.count("*").alias("n_rows"))
@@ -338,7 +347,7 @@ def _edges(t: Tables) -> DataFrame:
 @query
 def edge_prefix_match(t):
     keyed = t.prefixes().withColumn("key", text.normalize_loose("prefix"))
-    return lexical.edge_match(keyed, clean_pool(t), "key").select("prefix", "query", scores.rounded(F.col("pop")).alias("pop"))
+    return dictionary.edge_match(keyed, _clean_texts(t), "key").select("prefix", "query", scores.rounded(F.col("pop")).alias("pop"))
 
 
 @query
@@ -346,7 +355,7 @@ def edge_long(t):
     """Prefixes of 16 to 25 characters."""
     size = (16 + F.col("p_partkey") % 10).cast("int")
     prefixes = t.parts().filter(F.col("p_partkey") % 20 == 1).select(F.substring(F.col("query"), F.lit(1), size).alias("prefix"))
-    found = lexical.edge_match(prefixes.filter(F.length("prefix") > 15).distinct(), clean_pool(t))
+    found = dictionary.edge_match(prefixes.filter(F.length("prefix") > 15).distinct(), _clean_texts(t))
     return found.select("prefix", "query", "popularity")
 
 
@@ -357,7 +366,7 @@ def missing_prefixes(t):
 
 @query
 def strategy_coverage(t):
-    return history.strategy_coverage(t.prefixes(), history.prefix_query_freq(t.train()), clean_pool(t))
+    return history.strategy_coverage(t.prefixes(), history.prefix_query_freq(t.train()), _clean_texts(t))
 
 
 @query
@@ -370,7 +379,7 @@ def valid_in_pool(t):
 
 @query
 def prefix_match(t):
-    return lexical.prefix_match(t.prefixes(), t.pool(), 20)
+    return dictionary.prefix_match(t.prefixes(), _texts(t), 20)
 
 
 @query
@@ -425,6 +434,14 @@ def fuzzy_partial(t):
     return tiers.fuzzy_partial_topk(keys, pool)
 
 
+@query
+def fuzzy_partial_work(t):
+    """All pairs there are, and whether under a quarter of them had to be compared."""
+    keys = t.prefixes().select(text.normalize_loose("prefix").alias("prefix"))
+    work = tiers.partial_work(keys, clean_pool(t))
+    return work.select("n_prefixes", "pairs", (4 * F.col("compared") < F.col("pairs")).alias("under_a_quarter"))
+
+
 # --------------------------------------------------------------- vectors
 
 
@@ -471,6 +488,35 @@ def vector_recall(t):
     return hits.agg(F.count("*").alias("total"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
+def _graph(t: Tables) -> graph.GraphIndex:
+    return graph.graph_index(t.pool_vectors(), keep=keep(t))
+
+
+@query
+def vector_topk_graph(t):
+    return graph.vector_topk_graph(t.query_vectors(), _graph(t), 20)
+
+
+def _recall_report(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """(total, enough): exact pairs, and whether 0.9 of them are found."""
+    return graph.recall(exact, found).select("total", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query
+def vector_recall_graph(t):
+    """Of the exact 20 nearest vectors, those that the graphs give."""
+    exact = vectors.vector_topk(t.query_vectors(), t.pool_vectors(), 20)
+    return _recall_report(exact, graph.vector_topk_graph(t.query_vectors(), _graph(t), 20))
+
+
+@query
+def vector_recall_fitted(t):
+    """Of the exact 10 nearest vectors, those in fitted cells with as many probes as the recall asks for."""
+    pool = t.pool_vectors()
+    exact = vectors.vector_topk(t.query_vectors(), pool, 10)
+    return _recall_report(exact, vectors.vector_topk_cells(t.query_vectors(), pool, 10))
+
+
 @query
 def semantic_topk(t):
     return engine(t).semantic(t.prefixes())
@@ -584,7 +630,7 @@ def hybrid_buckets(t):
 @query
 def cascade(t):
     freq = history.prefix_query_freq(t.train())
-    return tiers.cascade(t.prefixes(), freq, _edges(t), clean_pool(t))
+    return tiers.cascade(t.prefixes(), freq, _edges(t), clean_pool(t), dictionary=_clean_texts(t))
 
 
 # ------------------------------------------------------------- evaluation
@@ -592,7 +638,7 @@ def cascade(t):
 
 @query
 def hit_at_10(t):
-    ranked = lexical.prefix_match(t.train(), t.pool(), 10)
+    ranked = dictionary.prefix_match(t.train(), _texts(t), 10)
     return evaluate.hit_at_k(t.train(), ranked, 10)
 
 
@@ -610,7 +656,7 @@ def result_analysis(t):
 
 @query
 def validate_submission(t):
-    lists = sinks.lists(lexical.prefix_match(t.prefixes(), t.pool(), 20))
+    lists = sinks.lists(dictionary.prefix_match(t.prefixes(), _texts(t), 20))
     return evaluate.validate_submission(t.prefixes(), lists, 20)
 
 
@@ -659,7 +705,7 @@ def training_summary(t):
 @query
 def negative_sample(t):
     train = t.train()
-    cands = lexical.prefix_match(train, t.pool(), 20).select(
+    cands = dictionary.prefix_match(train, _texts(t), 20).select(
         "prefix", "query", *[F.lit(0.0).alias(s) for s in SOURCES]
     )
     return learn.groups(train, cands)
@@ -691,7 +737,7 @@ def pool_reduce(t):
 
 @query
 def ndcg(t):
-    cands = lexical.prefix_match(t.train(), t.pool(), 20)
+    cands = dictionary.prefix_match(t.train(), _texts(t), 20)
     drawn = learn.groups(t.train(), cands)
     labelled = with_engagement(drawn, t.features())
     label = F.when(F.col("is_truth"), learn.graded_label()).otherwise(0)

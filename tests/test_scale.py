@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prefixloom.operators import history, learn, lexical, ranking, vectors
+from prefixloom.operators import dictionary, history, learn, lexical, ranking, vectors
 from prefixloom.operators.candidates import with_engagement
 from prefixloom.plans.complete import Engine
 from prefixloom.sources.fixtures import Tables
@@ -152,7 +152,7 @@ def test_ranks_are_dense(tables):
 
 
 def test_ranker_learns(spark, tables):
-    cands = lexical.prefix_match(tables.train(), tables.pool(), 20)
+    cands = dictionary.prefix_match(tables.train(), tables.pool(), 20)
     drawn = learn.groups(tables.train().limit(300), cands)
     labelled = with_engagement(drawn, tables.features())
     zeros = {s: F.lit(0.0) for s in ("sem", "bm25", "ngram", "fuzzy")}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefixloom.functions import similarity
-from prefixloom.operators import cascade, learn, lexical, ranking, vectors
+from prefixloom.operators import cascade, dictionary, learn, lexical, ranking, vectors
 from prefixloom.plans.complete import Engine
 from prefixloom.sources.tables import shared_folder, store
 
@@ -30,7 +30,7 @@ def test_ties_by_text_for_any_n(spark, monkeypatch):
 def test_begins_with_prefixes_of_any_length(spark):
     pool = spark.createDataFrame([(f"samsung galaxy s{i} phone with a long name", i) for i in range(30)] + [("sam", 1)], "query string, popularity int")
     asked = ["sam", "samsung galaxy ", "samsung galaxy s", "samsung galaxy s2", "samsung galaxy s29 phone with a long name", "samsung x", ""]
-    got = lexical.edge_match(spark.createDataFrame([(p,) for p in asked], "prefix string"), pool)
+    got = dictionary.edge_match(spark.createDataFrame([(p,) for p in asked], "prefix string"), pool)
     want = [(p, q) for p in asked if p for (q, _) in map(tuple, pool.collect()) if q.startswith(p)]
     assert rows(got, "prefix", "query") == sorted(want, key=repr)
 
@@ -88,7 +88,7 @@ def test_ranker_from_files(spark, tables):
     from prefixloom.functions.scores import pair_features
     from prefixloom.operators.candidates import with_engagement
 
-    drawn = learn.groups(tables.train().limit(60), lexical.prefix_match(tables.train(), tables.pool(), 20))
+    drawn = learn.groups(tables.train().limit(60), dictionary.prefix_match(tables.train(), tables.pool(), 20))
     zeros = {s: F.lit(0.0) for s in ("sem", "bm25", "ngram", "fuzzy")}
     data = pair_features(
         with_engagement(drawn, tables.features()).withColumns(zeros).withColumn("label", F.col("is_truth").cast("int")),
