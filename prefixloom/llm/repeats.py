@@ -1,8 +1,10 @@
 """Exact substring dedup: bytes covered by a string of 400 bytes that also starts elsewhere.
 
-Bucket-pointer refinement over a whole corpus. A bucket is a set of suffixes that agree on their first
-bytes; its identifier is a 64-bit name. The names of 8-byte grams come first; the name of twice the length
-is made of the names at a position and at the later offset where the first half ends, so every refinement
+This takes from bucket-pointer refinement that buckets of suffixes are refined by identifiers of later offsets, but it is
+not that method: identifiers are 64-bit hash names in place of numbers of sorted buckets, and suffixes at anchors alone
+are compared, since numbering the buckets of a whole corpus would shuffle all suffixes in each round. A bucket is a set of
+suffixes that agree on their first bytes. The names of 8-byte grams come first; the name of twice the length
+is made of the names at a position and at the later offset where the first half ends, so every doubling
 uses the identifiers of the one before, up to 256 bytes.
 
 Only some suffixes have to be compared. The anchor of a 400-byte window is its 64-byte gram with the
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, flat, slices, table, written
+from .common import BATCH_ROWS, flat, fresh, slices, table, written
 
 LENGTH = 400
 GRAM = 64
@@ -43,7 +45,7 @@ NAME = 256  # longest name
 BLOCK = 32
 CORE = LENGTH - BLOCK + 1
 MARGIN = BLOCK - 1
-PLACE_BITS = 30
+PLACE_BITS = 31  # no row holds a longer text
 SLICE = 1 << 21  # bytes of texts that a task names together; names take 8 bytes a byte
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -229,25 +231,30 @@ def without_repeats(docs: DataFrame, text: str = "text", kept: str | None = None
     """docs with n_bytes, n_removed, n_spans and kept_sha256; with ``kept``, also the bytes that stay."""
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([kept] if kept else [])]
     own = [c for c in docs.columns if c not in added]
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    numbered = written(docs.select(*[F.col(f"`{c}`") for c in own], body.alias("_body"), F.monotonically_increasing_id().alias("_row"))
-                       if text not in own or dict(docs.dtypes)[text] != "string" else
-                       docs.select(*[F.col(f"`{c}`") for c in own], F.monotonically_increasing_id().alias("_row")))
-    whole = F.col("_body") if "_body" in numbered.columns else F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = numbered.select(F.col("_row").alias("row"), whole.alias("text"))
+    row, body, sha, every = fresh("row", "body", "sha", "all")  # beside columns of any name
+    columns = [F.col(f"`{c}`") for c in own] + [F.monotonically_increasing_id().alias(row)]
+    if text in own and dict(docs.dtypes)[text] == "string":
+        body = text  # the text is written once
+    else:
+        columns.append(F.col(f"`{text}`").cast("string").alias(body))
+    numbered = written(docs.select(*columns))
+    whole = F.coalesce(F.col(f"`{body}`"), F.lit(""))
+    texts = numbered.select(F.col(row).alias("row"), whole.alias("text"))
     runs = written(repeated_windows(texts)).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     changed = texts.join(runs, "row").select("row", "text", "runs").mapInArrow(
         cut, "row long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    new = dict(zip(("n_removed", "n_spans", "kept_sha256", "kept"), fresh("n_removed", "n_spans", "sha256", "kept")))
     if not kept:
-        changed = changed.drop("kept")
-    parts = numbered.withColumn("_sha", F.sha2(whole, 256)).withColumn("n_bytes", F.octet_length(whole).cast("long"))
+        new.pop("kept")
+    changed = changed.select(F.col("row").alias(row), *[F.col(c).alias(n) for c, n in new.items()])
+    parts = numbered.withColumn(sha, F.sha2(whole, 256)).withColumn("n_bytes", F.octet_length(whole).cast("long"))
     if kept:
-        parts = parts.withColumn("_all", F.encode(whole, "UTF-8"))
-    out = parts.join(changed.withColumnRenamed("row", "_row"), "_row", "left")
-    final = [F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-             F.coalesce("kept_sha256", "_sha").alias("kept_sha256")]
+        parts = parts.withColumn(every, F.encode(whole, "UTF-8"))
+    out = parts.join(changed, row, "left")
+    final = [F.coalesce(new[c], F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    final.append(F.coalesce(new["kept_sha256"], sha).alias("kept_sha256"))
     if kept:
-        final.append(F.coalesce("kept", "_all").alias(kept))
+        final.append(F.coalesce(new["kept"], every).alias(kept))
     return out.select(*[F.col(f"`{c}`") for c in own], "n_bytes", *final)
 
 

@@ -167,11 +167,12 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= VALUE
     base = F.concat(spans(body, ASSIGN, 1, long_enough), spans(body, ACCESS, 2), spans(body, HEX, 3))
-    found = docs.withColumn(out, base)
+    [plain] = fresh("plain")
+    found = docs.withColumn(plain, without_placeholders(body)).withColumn(out, base)
     for i, kind in enumerate(CLASSES):
-        hot = F.transform(candidates(without_placeholders(body), kind), windows_of(kind, len(BASE) + 1 + i))
+        hot = F.transform(candidates(F.col(plain), kind), windows_of(kind, len(BASE) + 1 + i))
         found = found.withColumn(out, F.concat(F.col(f"`{out}`"), F.flatten(hot)))
-    return found.withColumn(out, F.array_sort(F.col(f"`{out}`")))
+    return found.withColumn(out, F.array_sort(F.col(f"`{out}`"))).drop(plain)
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = MASK) -> DataFrame:

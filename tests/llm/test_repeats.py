@@ -59,6 +59,27 @@ def test_as_by_a_plain_version(spark, seed):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == want[3]
 
 
+@pytest.mark.parametrize("size", [399, 400, 401])
+def test_planted_passages_at_the_limit(spark, size):
+    """A passage of 399 bytes in two documents stays, of 400 and 401 it goes from both, also within one document."""
+    rng = random.Random(size)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = prose(size), prose(size)
+    rows = [prose(300) + "<" + one + ">" + prose(200), prose(90) + "[" + one + "]" + prose(700), prose(50) + "(" + two + ")" + prose(600) + "{" + two + "}", prose(2_000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in X.without_repeats(docs).collect()}
+    assert got == dict(enumerate(plain(rows)))
+    gone = size if size >= 400 else 0
+    assert [got[i][1] for i in range(4)] == [gone, gone, 2 * gone, 0]
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a" * 401, "w", "x", "y", "z"), (2, None, None, None, None, None)],
+                                 "doc_id long, text string, _row string, _body string, _sha string, kept_sha256 string")
+    got = X.without_repeats(docs).orderBy("doc_id").collect()
+    assert [(r["_row"], r["_body"], r["_sha"], r["n_removed"]) for r in got] == [("w", "x", "y", 401), (None, None, None, 0)]
+
+
 def test_repeated_and_null_ids(spark):
     long_text = " ".join(str(i * i) for i in range(300))
     docs = spark.createDataFrame([(None, long_text), (1, long_text), (1, "other " * 3), (1, "other " * 3)], "doc_id long, text string")
