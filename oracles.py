@@ -693,12 +693,24 @@ add("text_split", f"SELECT prefix, text, CASE WHEN {hashed('text', seed=42)} % 1
 add("pool_reduce", f"""
 SELECT query, popularity FROM (SELECT * FROM clean_pop ORDER BY popularity DESC, query LIMIT 500)
 UNION SELECT query, popularity FROM (SELECT * FROM clean_pop ORDER BY {hashed('query', seed=42)} LIMIT 125)""")
+RANKED = {
+    "drawn": _groups("train", "train_hits20"), "train_hits20": "SELECT * FROM train_hits WHERE rk <= 20",
+    "labelled": f"SELECT group_id, query, orders * 4 + volume * 3 + catalog_clicks * 2 + catalog_views AS pop, CASE WHEN is_truth THEN {LABEL} ELSE 0 END AS label FROM drawn JOIN counts USING (query)",
+    "ranked_rows": """SELECT group_id, query, label, pop, pow(2.0, label) - 1 AS gain, row_number() OVER (PARTITION BY group_id ORDER BY pop DESC, query) AS rk,
+  row_number() OVER (PARTITION BY group_id ORDER BY label DESC, query) AS best FROM labelled""",
+}
 add("ndcg", """
 SELECT k, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 1 END), 6) AS ndcg FROM (
   SELECT group_id, k, sum(CASE WHEN rk <= k THEN gain / log2(rk + 1) ELSE 0 END) AS dcg,
     sum(CASE WHEN best <= k THEN gain / log2(best + 1) ELSE 0 END) AS ideal
-  FROM ranked_rows, unnest([1, 3, 5, 10]) AS u(k) GROUP BY group_id, k) GROUP BY k""",
-    drawn=_groups("train", "train_hits20"), train_hits20="SELECT * FROM train_hits WHERE rk <= 20",
-    labelled=f"SELECT group_id, query, orders * 4 + volume * 3 + catalog_clicks * 2 + catalog_views AS pop, CASE WHEN is_truth THEN {LABEL} ELSE 0 END AS label FROM drawn JOIN counts USING (query)",
-    ranked_rows="""SELECT group_id, pow(2.0, label) - 1 AS gain, row_number() OVER (PARTITION BY group_id ORDER BY pop DESC, query) AS rk,
-  row_number() OVER (PARTITION BY group_id ORDER BY label DESC, query) AS best FROM labelled""")
+  FROM ranked_rows, unnest([1, 3, 5, 10]) AS u(k) GROUP BY group_id, k) GROUP BY k""", **RANKED)
+add("lambda_gradients", """
+SELECT group_id, query, round(sum(g), 6) + 0.0 AS gradient, round(sum(h), 6) + 0.0 AS curvature FROM (
+  SELECT group_id, query, 0.0::DOUBLE AS g, 0.0::DOUBLE AS h FROM ranked_rows
+  UNION ALL SELECT group_id, better, -p * w, p * (1 - p) * w FROM ordered_pairs
+  UNION ALL SELECT group_id, worse, p * w, p * (1 - p) * w FROM ordered_pairs)
+GROUP BY group_id, query""", **RANKED,
+    ideals="SELECT group_id, sum(gain / log2(best + 1)) AS ideal FROM ranked_rows GROUP BY group_id",
+    ordered_pairs="""SELECT a.group_id, a.query AS better, b.query AS worse, 1 / (1 + exp(ln(1 + a.pop) - ln(1 + b.pop))) AS p,
+  abs(a.gain - b.gain) * abs(1 / log2(a.rk + 1) - 1 / log2(b.rk + 1)) / ideal AS w
+FROM ranked_rows a JOIN ranked_rows b ON a.group_id = b.group_id AND a.label > b.label JOIN ideals i ON i.group_id = a.group_id""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, similarity, text
 from ..operators import cascade as tiers
-from ..operators import dictionary, evaluate, graph, history, hybrid, learn, lexical, ranking, vectors
+from ..operators import dictionary, evaluate, graph, history, hybrid, lambdarank, learn, lexical, ranking, vectors
 from ..operators.candidates import SOURCES, prune, with_engagement
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage, tune
@@ -735,14 +735,24 @@ def pool_reduce(t):
     return ranking.reduce_pool(pool, 500, 125)
 
 
-@query
-def ndcg(t):
+def _labelled(t: Tables) -> DataFrame:
+    """Logged rows with their negatives, graded labels and popularity."""
     cands = dictionary.prefix_match(t.train(), _texts(t), 20)
     drawn = learn.groups(t.train(), cands)
     labelled = with_engagement(drawn, t.features())
     label = F.when(F.col("is_truth"), learn.graded_label()).otherwise(0)
-    scored = labelled.withColumn("label", label).withColumn("pop", scores.popularity_4321())
-    return evaluate.ndcg(scored, "pop")
+    return labelled.withColumn("label", label).withColumn("pop", scores.popularity_4321())
+
+
+@query
+def ndcg(t):
+    return evaluate.ndcg(_labelled(t), "pop")
+
+
+@query
+def lambda_gradients(t):
+    """One round of the pairwise objective, with the popularity as the present score."""
+    return lambdarank.group_gradients(_labelled(t), F.log1p("pop"))
 
 
 @query
