@@ -705,7 +705,7 @@ SELECT k, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 1 END), 6) AS ndcg
     sum(CASE WHEN best <= k THEN gain / log2(best + 1) ELSE 0 END) AS ideal
   FROM ranked_rows, unnest([1, 3, 5, 10]) AS u(k) GROUP BY group_id, k) GROUP BY k""", **RANKED)
 add("lambda_gradients", """
-SELECT group_id, query, round(sum(g), 6) + 0.0 AS gradient, round(sum(h), 6) + 0.0 AS curvature FROM (
+SELECT group_id, query, round(sum(g), 9) + 0.0 AS gradient, round(sum(h), 9) + 0.0 AS curvature FROM (
   SELECT group_id, query, 0.0::DOUBLE AS g, 0.0::DOUBLE AS h FROM ranked_rows
   UNION ALL SELECT group_id, better, -p * w, p * (1 - p) * w FROM ordered_pairs
   UNION ALL SELECT group_id, worse, p * w, p * (1 - p) * w FROM ordered_pairs)
