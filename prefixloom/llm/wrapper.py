@@ -50,6 +50,7 @@ CONSTANT_SHARE = 0.9
 NEAR_COPY = 0.9  # pages with more of their text in common are copies of each other, not pages of one template
 MOST_LINKED = 0.6
 FEW_BYTES = 16 << 20  # of wrappers or templates that are broadcast
+MANY_COPIES = 32  # of a page, beyond which they are brought down to one first
 KNOWN = 64  # wrappers a task keeps parsed
 DEPTH = 40  # elements further down belong to the slot of their ancestor at this depth; their text counts alike
 
@@ -393,11 +394,17 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str =
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host.alias("host"), body.alias("html"), F.xxhash64(body).alias("page"))
 
-    # names of different pages first, so that copies of one page are one of them, then one page of each name
+    # names of different pages first, so that copies of one page are one of them, then one page of each name: pages with
+    # many copies are brought down to one before they go to their host's task, the others there
     first = Window.partitionBy("host").orderBy("page")
-    names = rows.select("host", "page").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= WRAPPER_PAGES)
-    names = written(names.select("host", "page"))
-    some = rows.select("host", "page", "html").join(few(names, 24), ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
+    names = rows.groupBy("host", "page").agg(F.count("*").alias("copies")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= WRAPPER_PAGES)
+    names = written(names.select("host", "page", "copies"))
+    bodies = rows.select("host", "page", "html")
+    often = bodies.join(few(names.filter(F.col("copies") > MANY_COPIES).drop("copies"), 24), ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
+    rarely = bodies.join(few(names.filter(F.col("copies") <= MANY_COPIES).drop("copies"), 24), ["host", "page"])
+    # dealt by host, where the pages are compared as well
+    one = F.row_number().over(Window.partitionBy("host", "page").orderBy("page"))
+    some = rarely.unionByName(often).repartition("host").withColumn("copy", one).filter("copy = 1").drop("copy")
     wrappers = written(some.groupBy("host").applyInPandas(
         lambda part: pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [wrapper_of(sorted(part["html"]))]}), "host string, wrapper string"))
 
