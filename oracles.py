@@ -528,7 +528,7 @@ SELECT key AS prefix, query, score, row_number() OVER (PARTITION BY key ORDER BY
     norm_pairs=f"SELECT p, query AS q FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), fpool WHERE length(p) >= 2")
 
 add("fuzzy_partial_work", f"""
-SELECT count(DISTINCT p) AS n_prefixes, count(*) AS pairs, true AS under_a_quarter
+SELECT count(DISTINCT p) AS n_prefixes, count(*) AS pairs, true AS few_compared
 FROM (SELECT DISTINCT {loose('prefix')} AS p FROM prefixes), (SELECT DISTINCT query FROM clean_pool WHERE query IS NOT NULL) WHERE length(p) >= 2""")
 
 add("embed_hashed", f"""

@@ -436,10 +436,11 @@ def fuzzy_partial(t):
 
 @query
 def fuzzy_partial_work(t):
-    """All pairs there are, and whether under a quarter of them had to be compared."""
+    """All pairs there are, and whether beside its first two batches a prefix is compared with under a tenth of the pool."""
     keys = t.prefixes().select(text.normalize_loose("prefix").alias("prefix"))
     work = tiers.partial_work(keys, clean_pool(t))
-    return work.select("n_prefixes", "pairs", (4 * F.col("compared") < F.col("pairs")).alias("under_a_quarter"))
+    batches = similarity.BoundedBlock.FIRST + similarity.BoundedBlock.BATCH
+    return work.select("n_prefixes", "pairs", (F.col("compared") <= F.col("n_prefixes") * batches + F.col("pairs") / 10).alias("few_compared"))
 
 
 # --------------------------------------------------------------- vectors
