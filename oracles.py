@@ -704,6 +704,7 @@ SELECT k, round(avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 1 END), 6) AS ndcg
   SELECT group_id, k, sum(CASE WHEN rk <= k THEN gain / log2(rk + 1) ELSE 0 END) AS dcg,
     sum(CASE WHEN best <= k THEN gain / log2(best + 1) ELSE 0 END) AS ideal
   FROM ranked_rows, unnest([1, 3, 5, 10]) AS u(k) GROUP BY group_id, k) GROUP BY k""", **RANKED)
+add("ranker_lambda_checks", "SELECT 4::BIGINT AS n_cuts, true AS raised, true AS n_trees_in_range")
 add("lambda_gradients", """
 SELECT group_id, query, round(sum(g), 9) + 0.0 AS gradient, round(sum(h), 9) + 0.0 AS curvature FROM (
   SELECT group_id, query, 0.0::DOUBLE AS g, 0.0::DOUBLE AS h FROM ranked_rows

@@ -767,18 +767,41 @@ def ranker_ndcg(t):
     return evaluate.ndcg(model.score(held_out), "prediction")
 
 
+_SPLITS: dict[tuple[str, str], DataFrame] = {}
 _RANKERS: dict[tuple[str, str], tuple] = {}
 
 
+def _split(t: Tables) -> DataFrame:
+    """The training set with its parts, written once."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _SPLITS:
+        _SPLITS[key] = learn.group_split(cut_lineage(_training(t)))
+    return _SPLITS[key]
+
+
 def _ranker(t: Tables):
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _RANKERS:
-        rows = learn.group_split(cut_lineage(_training(t)))
+        rows = _split(t)
         model = learn.Ranker.fit(rows.filter(F.col("part") == "train"))
         _RANKERS[key] = model, rows.filter(F.col("part") == "validation")
     return _RANKERS[key]
 
 
+@query
+def ranker_lambda_checks(t):
+    """What holds for any fit of the pairwise objective: few trees order held-out groups better than none."""
+    rows, limit = _split(t), 4
+    fifth = F.pmod(F.xxhash64("group_id"), F.lit(5)) == 0
+    model = lambdarank.LambdaRanker.fit(
+        rows.filter(F.col("part") == "train"), fifth, trees=limit, depth=3, rate=0.3, patience=limit, share=1.0, most_groups=10_000)
+    held_out = rows.filter(F.col("part") == "validation")
+    learned = evaluate.ndcg(model.score(held_out), "prediction").withColumnRenamed("ndcg", "learned")
+    plain = evaluate.ndcg(held_out.withColumn("none", F.lit(0.0)), "none")
+    better = learned.join(plain, "k").agg(F.count("*").alias("n_cuts"), F.min(F.col("learned") > F.col("ndcg")).alias("raised"))
+    return better.select("n_cuts", "raised", F.lit(1 <= len(model.trees) <= limit).alias("n_trees_in_range"))
+
+
 @query
 def ranker_checks(t):
     """What holds for any fitted ranker."""
