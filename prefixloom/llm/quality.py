@@ -9,7 +9,8 @@ values are combined by one more layer of learned weights into the probability of
 
 The fit is a plain gradient descent (Adam) on at most FIT_ROWS labelled texts of at most FIT_BYTES
 bytes, with the classes in their own shares, on the driver. Scoring takes whole texts in one narrow
-pass, in blocks of chunks, so memory does not grow with a text; the model has a few thousand numbers.
+pass; the filters' values are held for a block of chunks only, the chunks' lag shares (about 28 bytes per byte) for the whole
+text at hand. The model has a few thousand numbers.
 
 Null and empty texts are one chunk of marks. Without labels of both classes every score is the share of
 label 1 (0.5 without labels). Repeated rows get equal scores. An old column ``out`` is replaced; an empty
