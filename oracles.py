@@ -586,7 +586,7 @@ SELECT count(*) AS total, count(b.pid) AS found, round(count(b.pid)::DOUBLE / co
 FROM exact_ten a LEFT JOIN probed_ten b ON a.qid = b.qid AND a.pid = b.pid""",
     exact_ten=_vectors("cos", SPLIT, 10), probed_ten=_in_cells(8, 10))
 # approximate searches: all exact pairs are asked for, and 0.9 of them must be found
-for name, k in (("vector_recall_graph", 20), ("vector_recall_fitted", 10)):
+for name, k in (("vector_recall_graph", 20), ("vector_recall_lsh", 20), ("vector_recall_fitted", 10)):
     add(name, "SELECT count(*) AS total, true AS enough FROM exact", exact=_vectors("cos", SPLIT, k))
 add("pca_norms", """
 SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS norm2

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, similarity, text
 from ..operators import cascade as tiers
-from ..operators import dictionary, evaluate, graph, history, hybrid, lambdarank, learn, lexical, ranking, vectors
+from ..operators import dictionary, evaluate, graph, history, hybrid, lambdarank, learn, lexical, lsh, ranking, vectors
 from ..operators.candidates import SOURCES, prune, with_engagement
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage, tune
@@ -510,6 +510,24 @@ def vector_recall_graph(t):
     return _recall_report(exact, graph.vector_topk_graph(t.query_vectors(), _graph(t), 20))
 
 
+def _lsh(t: Tables) -> lsh.LshIndex:
+    # without the cost of a group, so that small tables get signatures too
+    planes = lsh.Planes.fit(t.query_vectors(), t.pool_vectors(), 20, group_cost=0)
+    return lsh.lsh_index(t.pool_vectors(), planes, keep=keep(t))
+
+
+@query
+def vector_topk_lsh(t):
+    return lsh.vector_topk_lsh(t.query_vectors(), _lsh(t), 20)
+
+
+@query
+def vector_recall_lsh(t):
+    """Of the exact 20 nearest vectors, those in the buckets that the queries ask."""
+    exact = vectors.vector_topk(t.query_vectors(), t.pool_vectors(), 20)
+    return _recall_report(exact, lsh.vector_topk_lsh(t.query_vectors(), _lsh(t), 20))
+
+
 @query
 def vector_recall_fitted(t):
     """Of the exact 10 nearest vectors, those in fitted cells with as many probes as the recall asks for."""
