@@ -606,6 +606,53 @@ IN_BUCKETS = {
     "prefix_terms": C["prefix_terms"].replace(f"list_distinct({words('prefix')})", BUCKETED.format(words("prefix"))),
 }
 add("hashed_bm25_buckets", "SELECT query, term, round(w, 6) AS weight FROM sparse_long", **IN_BUCKETS)
+LOW = "4294967295::UBIGINT"
+
+
+def low_times(x, factor):
+    return f"(({x}) * {factor}::UBIGINT) & {LOW}"
+
+
+def rotated(x, by):
+    return f"((({x}) << {by}) | (({x}) >> {32 - by})) & {LOW}"
+
+
+def little(e):
+    return "('0x' || " + " || ".join(f"substr({e}, {i}, 2)" for i in (7, 5, 3, 1)) + ")::UBIGINT"
+
+
+def mixed(blocks):
+    for step in (low_times("z", 0xCC9E2D51), rotated("z", 15), low_times("z", 0x1B873593)):
+        blocks = f"list_transform({blocks}, lambda z: {step})"
+    return blocks
+
+
+EVERY_BLOCK = f"list_transform(range(0, length(x) // 8), lambda i: {little('substr(x, i * 8 + 1, 8)')})"
+LAST_BLOCK = f"[{little('rpad(substr(x, length(x) // 8 * 8 + 1), 8, chr(48))')}]"
+MURMUR = {
+    "hex_words": f"SELECT DISTINCT word, hex(encode(word)) AS x FROM (SELECT unnest({words('query')}) AS word FROM pool)",
+    "mixed_words": f"SELECT word, (length(x) // 2)::UBIGINT AS bytes, {mixed(EVERY_BLOCK)} AS body, {mixed(LAST_BLOCK)} AS tail FROM hex_words",
+    "body_words": f"""
+SELECT word, xor(xor(list_reduce(body, lambda y, z: ({rotated('xor(y, z)', 13)}) * 5 + 3864292196::UBIGINT & {LOW}, 0::UBIGINT), tail[1]), bytes) AS y FROM mixed_words""",
+    "first_words": f"SELECT word, {low_times('xor(y, y >> 16)', 0x85EBCA6B)} AS y FROM body_words",
+    "second_words": f"SELECT word, {low_times('xor(y, y >> 13)', 0xC2B2AE35)} AS y FROM first_words",
+    "signed_words": """
+SELECT word, CASE WHEN y >= 2147483648 THEN y::BIGINT - 4294967296 ELSE y::BIGINT END AS y FROM (SELECT word, xor(y, y >> 16) AS y FROM second_words)""",
+    "doc_terms": f"""
+SELECT query, list(DISTINCT (abs(y) % 16384)::VARCHAR) AS terms
+FROM (SELECT query, unnest({words('query')}) AS word FROM pool) JOIN signed_words USING (word) GROUP BY query""",
+}
+add("hashed_bm25_murmur", "SELECT query, term, round(w, 6) AS weight FROM sparse_long WHERE w >= 0.01", **MURMUR)
+CENTRED = {
+    "plain_dots": C["dots"],
+    "middle": f"SELECT slot, sum(v) / (SELECT count(*) FROM pool) AS m FROM (SELECT {strict('query')} AS txt FROM pool) JOIN unit USING (txt) GROUP BY slot",
+    "to_middle": "SELECT txt, sum(v * coalesce(m, 0)) AS dm, sum(v * v) AS own FROM unit LEFT JOIN middle USING (slot) GROUP BY txt",
+    "dots": f"""
+SELECT prefix, query, (d - coalesce(a.dm, 0) - coalesce(b.dm, 0) + mm) / (sqrt(coalesce(a.own, 0) - 2 * coalesce(a.dm, 0) + mm) + 1e-10) * (1 + 1e-10) AS d
+FROM plain_dots CROSS JOIN (SELECT sum(m * m) AS mm FROM middle)
+LEFT JOIN to_middle a ON a.txt = {strict('prefix')} LEFT JOIN to_middle b ON b.txt = {strict('query')}""",
+}
+add("hybrid_projected", first_100("full_path"), **CENTRED)
 add("hybrid_buckets", first_100("mixed_path"), **IN_BUCKETS)
 add("hybrid_full", first_100("full_path"))
 add("hybrid_blocked", first_100("mixed_path"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,3 +91,59 @@ def leading_edges(c: Column | str, max_len: int) -> Column:
         F.length(text) > 0,
         F.transform(F.sequence(F.lit(1), top), lambda i: F.substring(text, F.lit(1), i)),
     ).otherwise(F.array().cast("array<string>"))
+
+
+LOW32 = 0xFFFFFFFF
+
+
+def _with(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), where x is computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
+def _times(x: Column, factor: int) -> Column:
+    """The low 32 bits of x * factor, x below 2^32; the halves of x keep the products within 63 bits."""
+    def product(v: Column) -> Column:
+        low = v.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor)
+        high = F.shiftleft((F.shiftright(v, 16) * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16)
+        return (low + high).bitwiseAND(F.lit(LOW32))
+
+    return _with(x, product)
+
+
+def _rotated(x: Column, by: int) -> Column:
+    return _with(x, lambda v: F.shiftleft(v, by).bitwiseAND(F.lit(LOW32)).bitwiseOR(F.shiftright(v, 32 - by)))
+
+
+def _mixed(block: Column) -> Column:
+    # fixed values: multipliers and rotation of MurmurHash3 (public domain)
+    return _times(_rotated(_times(block, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def murmur3(c: Column | str, seed: int = 0) -> Column:
+    """MurmurHash3 x86 32 of the text's UTF-8 bytes, as the signed number (bigint) that feature hashers use.
+
+    Spark's own ``hash`` treats the last one to three bytes in another way. Null gives null.
+    """
+    def number(eight: Column) -> Column:
+        """Four bytes in hex, least first."""
+        return F.conv(F.concat(*[F.substring(eight, i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+
+    def step(h: Column, eight: Column) -> Column:
+        h = _rotated(h.bitwiseXOR(_mixed(number(eight))), 13)
+        return (h * 5 + F.lit(0xE6546B64)).bitwiseAND(F.lit(LOW32))
+
+    def shifted(h: Column, by: int) -> Column:
+        return _with(h, lambda v: v.bitwiseXOR(F.shiftright(v, by)))
+
+    def of(digits: Column) -> Column:
+        n = F.length(digits)
+        h = F.aggregate(F.regexp_extract_all(digits, F.lit("(.{8})")), F.lit(seed).cast("bigint"), step)
+        rest = F.rpad(F.substring(digits, n - n % 8 + 1, F.lit(8)), 8, "0")
+        h = h.bitwiseXOR(_mixed(number(rest))).bitwiseXOR(F.shiftright(n, 1).cast("bigint"))
+        # fixed values: the final mix
+        h = _times(shifted(h, 16), 0x85EBCA6B)
+        h = shifted(_times(shifted(h, 13), 0xC2B2AE35), 16)
+        return _with(h, lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v))
+
+    return _with(F.hex(F.encode(col(c), "UTF-8")), of)

@@ -2,52 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import l2_normalize, popularity_max_norm, rounded
-from ..functions.text import block_key, stable_hash, tokenize_words
+from ..functions.text import block_key, murmur3, stable_hash, tokenize_words
 from ..sources.tables import distinct_queries, feature_map
 from .candidates import with_engagement
 from .lexical import Keep, lazy
 from .ranking import best, top_k
-from .vectors import block_topk, vector_topk
+from .vectors import CentredPca, block_topk, vector_topk
 
 K1, B = 1.6, 0.75
 N_BUCKETS = 2**14
+LEAST_WEIGHT = 0.01  # fixed value: document weights under it may be left out
+
+Hash = Callable[[Column], Column]
+
+
+def feature_hash(word: Column) -> Column:
+    """The absolute value of signed Murmur3, from which feature hashers take buckets."""
+    return F.abs(murmur3(word))
 
 
-def term_set(c: str, n_buckets: int | None) -> Column:
-    """Distinct words, or distinct hash buckets of words, as strings."""
+def term_set(c: str, n_buckets: int | None, hashed: Hash = stable_hash) -> Column:
+    """Distinct words, or distinct hash buckets of words (by ``hashed``, a whole number), as strings."""
     words = F.array_distinct(tokenize_words(c))
     if n_buckets is None:
         return words
     return F.array_distinct(
-        F.transform(words, lambda w: F.pmod(stable_hash(w), F.lit(n_buckets)).cast("string"))
+        F.transform(words, lambda w: F.pmod(hashed(w), F.lit(n_buckets)).cast("string"))
     )
 
 
-def sparse_pool(pool: DataFrame, n_buckets: int | None = N_BUCKETS, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, terms, term_weight): binary term frequency, so one weight per query."""
-    docs = pool.select("query", term_set("query", n_buckets).alias("terms"))
+def sparse_pool(
+    pool: DataFrame, n_buckets: int | None = N_BUCKETS, k1: float = K1, b: float = B, hashed: Hash = stable_hash, least_weight: float = 0.0
+) -> DataFrame:
+    """(query, terms, term_weight): binary term frequency, so one weight per query; 0 where it is under ``least_weight``."""
+    docs = pool.select("query", term_set("query", n_buckets, hashed).alias("terms"))
     avgdl = docs.agg(F.avg(F.size("terms"))).scalar()
     w = 1.0 / (k1 * (1.0 - b + b * F.size("terms") / avgdl) + 1.0)
+    if least_weight:
+        w = F.when(w >= least_weight, w).otherwise(0.0)
     return docs.withColumn("term_weight", w)
 
 
-def term_df(pool: DataFrame, n_buckets: int | None = N_BUCKETS) -> DataFrame:
+def term_df(pool: DataFrame, n_buckets: int | None = N_BUCKETS, hashed: Hash = stable_hash) -> DataFrame:
     """(term, df) over the pool."""
-    terms = pool.select(F.explode(term_set("query", n_buckets)).alias("term"))
+    terms = pool.select(F.explode(term_set("query", n_buckets, hashed)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def sparse_prefixes(
-    prefixes: DataFrame, pool: DataFrame, df: DataFrame, n_buckets: int | None = N_BUCKETS
+    prefixes: DataFrame, pool: DataFrame, df: DataFrame, n_buckets: int | None = N_BUCKETS, hashed: Hash = stable_hash
 ) -> DataFrame:
     """(prefix, terms, term_weights): idf shares of the distinct terms, summing to 1; df from term_df."""
     n = pool.agg(F.count("*")).scalar()
     p = prefixes.select("prefix").distinct()
-    terms = p.select("prefix", F.explode(term_set("prefix", n_buckets)).alias("term"))
+    terms = p.select("prefix", F.explode(term_set("prefix", n_buckets, hashed)).alias("term"))
     idf = F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 0.5))
     rows = terms.join(df, "term", "left").withColumn("idf", idf)
     lists = rows.groupBy("prefix").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
@@ -60,34 +74,48 @@ def sparse_prefixes(
     )
 
 
-def hashed_bm25(pool: DataFrame, n_buckets: int | None = N_BUCKETS) -> DataFrame:
-    """Document vectors in long form (query, term, weight)."""
-    rows = sparse_pool(pool, n_buckets).select("query", F.explode("terms").alias("term"), "term_weight")
+def hashed_bm25(
+    pool: DataFrame, n_buckets: int | None = N_BUCKETS, hashed: Hash = stable_hash, least_weight: float = 0.0
+) -> DataFrame:
+    """Document vectors in long form (query, term, weight), without weights under ``least_weight``."""
+    every = sparse_pool(pool, n_buckets, hashed=hashed, least_weight=least_weight).filter("term_weight > 0")
+    rows = every.select("query", F.explode("terms").alias("term"), "term_weight")
     return rows.select("query", "term", rounded(F.col("term_weight")).alias("weight"))
 
 
 class HybridIndex:
-    """Pool rows with vector, sparse terms and popularity bias."""
+    """Pool rows with vector, sparse terms and popularity bias.
+
+    With ``pca`` the vectors of pool and prefixes are centred and projected first. An index that is read again takes
+    the same ``hashed`` and ``pca``.
+    """
 
     def __init__(
         self, pool: DataFrame, features: DataFrame, vecs: DataFrame,
         n_buckets: int | None = N_BUCKETS, popularity_weight: float = 0.15, keep: Keep = lazy,
+        hashed: Hash = stable_hash, least_weight: float = 0.0, pca: CentredPca | None = None,
     ):
         pool, features = distinct_queries(pool), feature_map(features)
-        self.pool, self.n_buckets = pool, n_buckets
+        self.pool, self.n_buckets, self.hashed, self.pca = pool, n_buckets, hashed, pca
         counts = with_engagement(pool, features)
         bias = (popularity_max_norm(counts) * popularity_weight).alias("bias")
+        if pca:
+            vecs = keep(pca.transform(vecs.select("query", "vec")), "projected")
         self.vecs = vecs.select(F.col("query").alias("pid"), "vec")
-        extras = sparse_pool(pool, n_buckets).join(counts.select("query", bias), "query")
+        extras = sparse_pool(pool, n_buckets, hashed=hashed, least_weight=least_weight).join(counts.select("query", bias), "query")
         self.extras = keep(extras, "extras").withColumnRenamed("query", "pid")
-        self.term_df = keep(term_df(pool, n_buckets), "term_df")
+        self.term_df = keep(term_df(pool, n_buckets, hashed), "term_df")
 
     @classmethod
-    def read(cls, folder: str, pool: DataFrame, vecs: DataFrame, n_buckets: int | None = N_BUCKETS) -> HybridIndex:
-        """The index a ``store`` of that folder holds, beside its pool and vectors."""
+    def read(
+        cls, folder: str, pool: DataFrame, vecs: DataFrame, n_buckets: int | None = N_BUCKETS,
+        hashed: Hash = stable_hash, pca: CentredPca | None = None,
+    ) -> HybridIndex:
+        """The index a ``store`` of that folder holds, beside its pool and vectors (not used with ``pca``)."""
         read = pool.sparkSession.read.parquet
         index = cls.__new__(cls)
-        index.pool, index.n_buckets = pool, n_buckets
+        index.pool, index.n_buckets, index.hashed, index.pca = pool, n_buckets, hashed, pca
+        vecs = read(f"{folder}/projected") if pca else vecs
         index.vecs = vecs.select(F.col("query").alias("pid"), "vec")
         index.extras = read(f"{folder}/extras").withColumnRenamed("query", "pid")
         index.term_df = read(f"{folder}/term_df")
@@ -95,7 +123,9 @@ class HybridIndex:
 
     def prefix_side(self, prefixes: DataFrame, prefix_vecs: DataFrame, alpha: float) -> DataFrame:
         """(qid, vec, terms, term_weights) with both parts at unit length and weighted by alpha."""
-        sparse = sparse_prefixes(prefixes, self.pool, self.term_df, self.n_buckets)
+        sparse = sparse_prefixes(prefixes, self.pool, self.term_df, self.n_buckets, self.hashed)
+        if self.pca:
+            prefix_vecs = self.pca.transform(prefix_vecs.select("prefix", "vec"))
         joined = sparse.join(prefix_vecs, "prefix")
         return joined.select(
             F.col("prefix").alias("qid"),

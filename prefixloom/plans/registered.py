@@ -617,6 +617,12 @@ def hashed_bm25_buckets(t):
     return hybrid.hashed_bm25(t.pool())
 
 
+@query
+def hashed_bm25_murmur(t):
+    """The buckets of a feature hasher, without small weights."""
+    return hybrid.hashed_bm25(t.pool(), hashed=hybrid.feature_hash, least_weight=hybrid.LEAST_WEIGHT)
+
+
 def _hybrid(t: Tables, n_buckets):
     e = engine(t)
     name = "exact" if n_buckets is None else str(n_buckets)
@@ -646,6 +652,16 @@ def hybrid_buckets(t):
     return hybrid.hybrid_blocked(t.prefixes(), prefix_vecs, index)
 
 
+@query
+def hybrid_projected(t):
+    """Centred vectors at full dimension: a rotation, which leaves the products."""
+    e = engine(t)
+    pca = vectors.CentredPca.fit(e.vectors, vectors.EMBED_DIM)
+    folder = tables.store(t.spark, f"{keep(t).folder}/hybrid_projected")
+    index = hybrid.HybridIndex(e.pool, e.features, e.vectors, None, keep=folder, pca=pca)
+    return hybrid.hybrid_full(t.prefixes(), e.prefix_vectors(t.prefixes()), index)
+
+
 @query
 def cascade(t):
     freq = history.prefix_query_freq(t.train())

@@ -105,3 +105,35 @@ def test_l2_normalize(spark):
 def test_sql_functions(spark):
     register(spark)
     assert spark.sql("SELECT ratio('ifon 16', 'iphone 16')").first()[0] == 0.75
+
+
+def test_murmur3_of_published_vectors(spark):
+    """Published values of MurmurHash3 x86 32, the last ones as signed numbers."""
+    known = [
+        ("", 0, 0), ("test", 0, 0xBA6BD213), ("Hello, world!", 0, 0xC0363E43), ("The quick brown fox jumps over the lazy dog", 0, 0x2E4FF723),
+        ("test", 0x9747B28C, 0x704B81DC), ("Hello, world!", 0x9747B28C, 0x24884CBA), ("The quick brown fox jumps over the lazy dog", 0x9747B28C, 0x2FA826CD),
+        ("foo", 0, -156908512 % 2**32), ("foo", 42, -1322301282 % 2**32),
+    ]
+    for word, seed, want in known:
+        got = spark.createDataFrame([(word,)], "w string").select(text.murmur3("w", seed)).first()[0]
+        assert got % 2**32 == want and -(2**31) <= got < 2**31
+
+
+def test_murmur3_of_odd_texts(spark):
+    """Against plain loops over the bytes: all lengths modulo 4, several bytes a character, a long text, null."""
+    def plain(data):
+        m, h = 2**32 - 1, 0
+        def mix(k):
+            k = k * 0xCC9E2D51 & m
+            return (k << 15 | k >> 17) * 0x1B873593 & m
+        for i in range(0, len(data) // 4 * 4, 4):
+            h ^= mix(int.from_bytes(data[i:i + 4], "little"))
+            h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
+        h ^= mix(int.from_bytes(data[len(data) // 4 * 4:], "little")) ^ len(data)
+        for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> by) * factor & m
+        return h - 2**32 if h >= 2**31 else h
+
+    words = ["a", "ab", "abc", "abcd", "abcde", "käse", "日本語", "🙂", "é" * 7, "x\ny", " ", "long " * 20_000]
+    rows = spark.createDataFrame([(w,) for w in [*words, None]], "w string").select("w", text.murmur3("w").alias("h")).collect()
+    assert {r["w"]: r["h"] for r in rows} == {**{w: plain(w.encode()) for w in words}, None: None}
