@@ -588,6 +588,9 @@ FROM exact_ten a LEFT JOIN probed_ten b ON a.qid = b.qid AND a.pid = b.pid""",
 # approximate searches: all exact pairs are asked for, and 0.9 of them must be found
 for name, k in (("vector_recall_graph", 20), ("vector_recall_lsh", 20), ("vector_recall_fitted", 10)):
     add(name, "SELECT count(*) AS total, true AS enough FROM exact", exact=_vectors("cos", SPLIT, k))
+add("fitted_encoder_checks", "SELECT count(*) AS n, count(*) AS unit, true AS energy FROM pool")
+add("semantic_fitted_hits", """
+SELECT count(*) AS total, true AS more FROM (SELECT DISTINCT prefix, query FROM train WHERE length(prefix) >= 3)""")
 add("pca_norms", """
 SELECT vec_id, round(sum((x - m) * (x - m)), 4) AS norm2
 FROM (SELECT vec_id, x, avg(x) OVER (PARTITION BY pos) AS m FROM (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, similarity, text
 from ..operators import cascade as tiers
-from ..operators import dictionary, evaluate, graph, history, hybrid, lambdarank, learn, lexical, lsh, ranking, vectors
+from ..operators import dictionary, encoder, evaluate, graph, history, hybrid, lambdarank, learn, lexical, lsh, ranking, vectors
 from ..operators.candidates import SOURCES, prune, with_engagement
 from ..schemas import ENGAGEMENT
 from ..session import cut_lineage, tune
@@ -541,6 +541,55 @@ def semantic_topk(t):
     return engine(t).semantic(t.prefixes())
 
 
+def _fitted(t: Tables) -> encoder.FittedEncoder:
+    name, folder = "fitted_encoder", keep(t)
+    if not tables.exists(t.spark, f"{folder.folder}/{name}"):
+        folder(encoder.FittedEncoder.fit(t.pool()).table(t.spark), name)
+    return encoder.FittedEncoder.read(t.spark.read.parquet(f"{folder.folder}/{name}"))
+
+
+def _semantic(t: Tables, prefixes: DataFrame, make_encoder: Callable, k: int) -> DataFrame:
+    return vectors.semantic_topk(vectors.embed(prefixes, "prefix", make_encoder), vectors.embed(t.pool(), "query", make_encoder), k)
+
+
+@query
+def semantic_fitted(t):
+    """The nearest queries by the encoder that is fitted to the pool."""
+    return _semantic(t, lexical.distinct_prefixes(t.prefixes()), _fitted(t).maker(), 20)
+
+
+@query
+def fitted_encoder_checks(t):
+    """What must be true of any fit: unit vectors, and squared singular values that are the energy of the projected pool."""
+    fitted = _fitted(t)
+
+    def project() -> Callable:
+        return fitted.project
+
+    def squares(v):
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+
+    rows = vectors.embed(vectors.embed(t.pool(), "query", fitted.maker()), "query", project, out="raw")
+    energy = float((fitted.singular**2).sum())
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.abs(squares("vec") - 1) < 1e-9).alias("unit"),
+        (F.abs(F.sum(squares("raw")) / energy - 1) < 1e-6).alias("energy"))
+
+
+@query
+def semantic_fitted_hits(t):
+    """Distinct logged pairs, and whether the fitted encoder finds more of them among the 50 nearest than the hashed one."""
+    pairs = cut_lineage(t.train().filter(F.length("prefix") >= 3).select("prefix", "query").distinct())
+    prefixes = pairs.select("prefix").distinct()
+    found = [
+        _semantic(t, prefixes, make, 50).select("prefix", "query", F.lit(name).alias("encoder"))
+        for name, make in (("fitted", _fitted(t).maker()), ("hashed", vectors.hashed_trigram_encoder))
+    ]
+    hits = pairs.join(found[0].unionByName(found[1]), ["prefix", "query"])
+    more = hits.agg((F.count_if(F.col("encoder") == "fitted") > F.count_if(F.col("encoder") == "hashed")).alias("more"))
+    return pairs.agg(F.count("*").alias("total")).join(F.broadcast(more))
+
+
 @query
 def pca_project(t):
     rows = t.vectors().select("vec_id", F.col("embedding").alias("vec"))

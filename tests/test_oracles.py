@@ -26,7 +26,7 @@ def test_same_rows(spark, con, name):
     assert rows == want
 
 
-@pytest.mark.parametrize("name", ["pca_project", "ranker_importance", "ranker_ndcg"])
+@pytest.mark.parametrize("name", ["pca_project", "ranker_importance", "ranker_ndcg", "vector_topk_lsh", "semantic_fitted"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DATA).limit(1).count() == 1
 
