@@ -601,6 +601,7 @@ add("candidate_prune", pruned(30))
 add("rerank_profile_a", reranked("a"))
 add("rerank_profile_b", reranked("b"))
 add("complete", "SELECT * FROM completed")
+add("complete_30", "SELECT * FROM completed", **{name: C[name].replace("rk <= 10", "rk <= 30") for name in ("short", "completed")})
 add("complete_dirty", "SELECT * FROM completed")
 add("hashed_bm25", "SELECT query, term, round(w, 6) AS weight FROM sparse_long")
 BUCKETED = f"list_distinct(list_transform({{0}}, lambda w: ({hashed('w')} % 16384)::VARCHAR))"

@@ -101,10 +101,14 @@ class Engine:
         return rerank(self.candidates(prefixes), self.features, profile, k)
 
     def complete(self, prefixes: DataFrame, k: int = FINAL_K, profile: str = "a") -> DataFrame:
-        """(prefix, query, score, rk): popular queries for short prefixes, re-ranked candidates for the rest."""
+        """(prefix, query, score, rk): popular queries for short prefixes, re-ranked candidates for the rest.
+
+        The kept list for short prefixes holds FINAL_K queries; for a larger k it is made from the whole pool. The other prefixes have at
+        most MAX_CANDIDATES candidates.
+        """
+        asked, heads = distinct_prefixes(prefixes), self.short
         if k > FINAL_K:
-            raise ValueError(f"the list for short prefixes holds {FINAL_K} queries")
-        asked = distinct_prefixes(prefixes)
-        short = short_prefix(asked, self.short).filter(F.col("rk") <= k)
+            heads = short_heads(with_engagement(self.pool, self.features), popularity_4321(), k)
+        short = short_prefix(asked, heads).filter(F.col("rk") <= k)
         rest = asked.join(short.select("prefix"), "prefix", "left_anti")
         return short.unionByName(self.reranked(rest, profile, k))

@@ -646,6 +646,11 @@ def complete(t):
     return engine(t).complete(t.prefixes())
 
 
+@query
+def complete_30(t):
+    return engine(t).complete(t.prefixes(), 30)
+
+
 @query
 def complete_dirty(t):
     """Repeated pool rows and nulls, features in two rows per query, one of them without counts."""
