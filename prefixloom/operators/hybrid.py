@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import l2_normalize, popularity_max_norm, rounded
 from ..functions.text import block_key, murmur3, stable_hash, tokenize_words
+from ..session import cut_lineage
 from ..sources.tables import distinct_queries, feature_map
 from .candidates import with_engagement
 from .lexical import Keep, lazy
@@ -41,7 +42,8 @@ def sparse_pool(
     pool: DataFrame, n_buckets: int | None = N_BUCKETS, k1: float = K1, b: float = B, hashed: Hash = stable_hash, least_weight: float = 0.0
 ) -> DataFrame:
     """(query, terms, term_weight): binary term frequency, so one weight per query; 0 where it is under ``least_weight``."""
-    docs = pool.select("query", term_set("query", n_buckets, hashed).alias("terms"))
+    # written, as Spark would move a filter on the terms below a DISTINCT of the pool, to all rows it came from
+    docs = cut_lineage(pool.select("query", term_set("query", n_buckets, hashed).alias("terms")))
     avgdl = docs.agg(F.avg(F.size("terms"))).scalar()
     w = 1.0 / (k1 * (1.0 - b + b * F.size("terms") / avgdl) + 1.0)
     if least_weight:

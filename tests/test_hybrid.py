@@ -31,3 +31,11 @@ def test_a_projected_index_answers_alike_after_reading(spark, tables, dim):
     rows = [sorted(hybrid.hybrid_full(prefixes, prefix_vecs, i, 10).collect()) for i in (index, again)]
     assert rows[0] == rows[1] and rows[0]
     assert hybrid.hybrid_blocked(prefixes, prefix_vecs, again, 10).count() > 0
+
+
+def test_terms_are_made_once_per_distinct_text(spark):
+    pool = spark.range(1_000).select(F.concat(F.lit("red shoe "), F.col("id") % 3).alias("query")).distinct()
+    rows = hybrid.hashed_bm25(pool, hashed=hybrid.feature_hash, least_weight=hybrid.LEAST_WEIGHT)
+    # with the DISTINCT in the plan, the filter on weights ran below it
+    assert "Aggregate [query" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 9
