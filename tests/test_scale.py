@@ -1,6 +1,9 @@
 """The paths for hot groups and large sides give the same rows as the plain ones."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,52 @@ def test_vector_blocks_equal_broadcast(spark, tables, monkeypatch):
     assert rows(vectors.vector_topk(q, p, 7)) == whole
 
 
+def plain_topk(queries, pool, k):
+    """(qid, pid, score) in plain loops, from lists of (id, vector)."""
+    out = []
+    for qid, q in queries:
+        scored = sorted((-round(float(np.dot(q, v)), 6), pid) for pid, v in pool)
+        out += [(qid, pid, -s + 0.0) for s, pid in scored[:k]]
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+@pytest.mark.parametrize("k", [1, 5, 30])
+def test_score_block_as_by_plain_loops(k, copies):
+    rng = np.random.default_rng(k)
+    pool = [(int(i), v) for i, v in enumerate(np.repeat(rng.normal(size=(1_200 // copies, 8)), copies, axis=0))]
+    pool += [(2_000 + i, np.eye(8)[0] * (0.5 + i * 1e-7)) for i in range(40)]  # equal once rounded
+    queries = [(i, v) for i, v in enumerate(rng.normal(size=(30, 8)))] + [(90, np.eye(8)[0]), (91, np.zeros(8))]
+    frames = [pd.DataFrame({name: [i for i, _ in rows], "vec": [v for _, v in rows]}) for name, rows in (("qid", queries), ("pid", pool[::-1]))]
+    got = vectors.score_block(*frames, k)
+    assert [(q, p, round(s, 6)) for q, p, s in got.itertuples(index=False)] == plain_topk(queries, pool, k)
+
+
+def test_score_block_holds_one_tile():
+    """The products of a step are held once, not once per step of the rounding and the ranking."""
+    rng = np.random.default_rng(0)
+    queries = pd.DataFrame({"qid": range(1_000), "vec": list(rng.normal(size=(1_000, 16)))})
+    pool = pd.DataFrame({"pid": range(10_000), "vec": list(rng.normal(size=(10_000, 16)))})
+    tracemalloc.start()
+    vectors.score_block(queries, pool, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * vectors.TILE_VALUES
+
+
+def test_large_cells_get_larger_query_blocks(spark, monkeypatch):
+    """A pool row is copied once per query block."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    every = spark.range(300).select("id", F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("vec"))
+    found = vectors.block_topk(every.select(F.col("id").alias("qid"), "vec", F.lit(0).alias("cell")),
+                               every.select(F.col("id").alias("pid"), "vec", F.lit(0).alias("cell")), 3)
+    listed = [(r["id"], np.array(r["vec"])) for r in every.collect()]
+    assert rows(found, "qid", "pid") == sorted(((q, p) for q, p, _ in plain_topk(listed, listed, 3)), key=repr)
+    counts = spark.createDataFrame([(0,), (10,), (33,), (300,), (4_000,)], "n long").select(vectors._query_blocks(F.col("n"), 3)).collect()
+    assert [r[0] for r in counts] == [0, 5, 16, 19, 250]
+    assert spark.range(1).select(vectors._query_blocks(F.lit(4_000), 50_000)).first()[0] == 2_000  # as many results as before
+
+
 def test_cell_probing_recall(tables):
     q, p = tables.query_vectors(), tables.pool_vectors()
     exact = {r[:2] for r in rows(vectors.vector_topk(q, p, 10), "qid", "pid")}
