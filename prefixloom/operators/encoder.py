@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_strict
-from .vectors import EMBED_DIM
+from .vectors import EMBED_DIM, TEXT_STEP, text_steps
 
 SLOTS = 2**13
 MORE = 16  # directions beyond dim that the iteration carries along
 PASSES = 4
 FIT_ROWS = 2_000_000
 FIT_TASKS = 64  # tasks whose partial sums are added up
-STEP = 4_096  # texts multiplied at once
+STEP = 2**14  # characters of texts multiplied at once: as many rows of the basis
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +69,7 @@ class FittedEncoder:
         self.idf, self.basis, self.singular = idf, basis, singular
 
     def project(self, texts: list[str]) -> np.ndarray:
-        parts = [products(texts[i:i + STEP], self.idf, self.basis) for i in range(0, len(texts), STEP)]
+        parts = [products(some, self.idf, self.basis) for some in text_steps(texts, STEP)]
         return np.concatenate(parts) if parts else np.zeros((0, self.basis.shape[1]))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -99,7 +99,8 @@ class FittedEncoder:
             n, df = 0, np.zeros(slots, np.int64)
             for batch in batches:
                 n += len(batch)
-                df += np.bincount(trigram_counts(batch["text"].tolist(), slots)[1], minlength=slots)
+                for some in text_steps(batch["text"].tolist(), TEXT_STEP):
+                    df += np.bincount(trigram_counts(some, slots)[1], minlength=slots)
             at = np.flatnonzero(df)
             yield pd.DataFrame({"slot": np.append(at, -1), "n": np.append(df[at], n)})
 
@@ -134,8 +135,7 @@ class FittedEncoder:
             idf, basis = shared.value
             total = np.zeros_like(basis)
             for batch in batches:
-                for i in range(0, len(batch), STEP):
-                    some = batch["text"].iloc[i:i + STEP].tolist()
+                for some in text_steps(batch["text"].tolist(), STEP):
                     row, slot, value = weighted(some, idf)
                     if not len(row):
                         continue

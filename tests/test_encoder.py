@@ -1,11 +1,13 @@
 """The fitted encoder against plain numpy, and odd texts."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from prefixloom.functions.text import normalize_strict
 from prefixloom.operators import encoder as E
-from prefixloom.operators.vectors import embed
+from prefixloom.operators.vectors import embed, text_steps
 from prefixloom.sources.tables import shared_folder, store
 
 
@@ -54,3 +56,18 @@ def test_the_fit_of_a_sample_is_bounded(spark):
     pool = spark.range(3_000).select(F.concat(F.lit("item "), F.hex(F.xxhash64("id"))).alias("query"))
     fitted = E.FittedEncoder.fit(pool, dim=4, passes=1, fit_rows=300)
     assert fitted.singular[0] ** 2 < 450  # no more than the rows that were read
+
+
+def test_memory_goes_by_characters_not_by_texts():
+    """What is multiplied at once is bounded by characters; the vectors are those of single texts."""
+    rng = np.random.default_rng(0)
+    texts = ["", "a" * 50_000] + ["".join(map(chr, rng.integers(97, 123, 30 * (i % 40)))) for i in range(600)]
+    assert [t for some in text_steps(texts, 1_000) for t in some] == texts
+    assert all(len(some) == 1 or sum(map(len, some)) <= 1_000 for some in text_steps(texts, 1_000))
+    fitted = E.FittedEncoder(np.ones(E.SLOTS), rng.normal(size=(E.SLOTS, 64)), np.ones(64))
+    tracemalloc.start()
+    got = fitted.project(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    assert np.array_equal(got, np.concatenate([fitted.project([t]) for t in texts]))

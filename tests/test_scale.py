@@ -112,6 +112,20 @@ def test_score_block_holds_one_tile():
     assert peak < 2 * 8 * vectors.TILE_VALUES
 
 
+def test_running_best_holds_few_rows(monkeypatch):
+    """Many queries times k: rows are handed on in pieces, and nothing of the k best is lost."""
+    monkeypatch.setattr(vectors, "HELD", 400)
+    rng = np.random.default_rng(1)
+    pool = [(i, v) for i, v in enumerate(rng.integers(-3, 4, (600, 4)).astype(float))]
+    queries = [(i, v) for i, v in enumerate(rng.integers(-3, 4, (90, 4)).astype(float))]
+    frames = [pd.DataFrame({name: [i for i, _ in some], "vec": [v for _, v in some]})
+              for name, some in [("qid", queries)] + [("pid", pool[i:i + 50]) for i in range(0, 600, 50)] + [("pid", [])]]
+    handed = list(vectors._running_best(frames[0], iter(frames[1:]), 10))
+    assert max(map(len, handed)) <= 800
+    got = vectors._trim(pd.concat(handed), 10)
+    assert list(got.itertuples(index=False, name=None)) == plain_topk(queries, pool, 10)
+
+
 def test_large_cells_get_larger_query_blocks(spark, monkeypatch):
     """A pool row is copied once per query block."""
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
