@@ -101,3 +101,18 @@ def test_query_as_by_a_plain_version(spark):
 def test_same_rows_as_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert spark_rows(X.op3_repeats(spark, folder)) == oracle_rows(views(folder), X.SQL)
+
+
+def test_no_join_broadcasts(spark, monkeypatch):
+    """However small Spark takes a side to be: exploded windows of a small file once filled the driver."""
+    plans, write = [], X.written
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(X, "written", written)
+    docs = spark.createDataFrame(list(enumerate(texts(3))), "doc_id long, text string")
+    written(X.without_repeats(docs))
+    joins = [line for plan in plans for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+    assert len(joins) >= 8 and all("SortMergeJoin" in line for line in joins), joins
