@@ -3,7 +3,7 @@
 Rows of the matrix A are texts, scaled to unit length; columns are hash slots of trigrams. The
 directions come from randomised subspace iteration: in every pass, tasks multiply their rows with the present basis
 and back (A'(AQ)), Spark adds the parts up by slot, and the driver orthonormalises the sum. The sums have
-``slots`` x (dim + MORE) numbers, however many texts there are. The fit reads at most about FIT_ROWS texts, taken by hash.
+``slots`` x (dim + MORE) numbers, however many texts there are. The fit reads all of them unless it is asked for fewer.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_strict
+from ..session import cut_lineage
 from .vectors import EMBED_DIM, TEXT_STEP, text_steps
 
 SLOTS = 2**13
 MORE = 16  # directions beyond dim that the iteration carries along
 PASSES = 4
-FIT_ROWS = 2_000_000
-FIT_TASKS = 64  # tasks whose partial sums are added up
+FIT_TASKS = 64  # tasks, at least, whose partial sums are added up
+TASK_ROWS = 250_000  # texts of a task beyond that
 STEP = 2**14  # characters of texts multiplied at once: as many rows of the basis
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,15 +86,16 @@ class FittedEncoder:
     @classmethod
     def fit(
         cls, pool: DataFrame, text: Column | str = "query", dim: int = EMBED_DIM, slots: int = SLOTS, passes: int = PASSES,
-        fit_rows: int = FIT_ROWS, seed: int = 42,
+        fit_rows: int | None = None, seed: int = 42,
     ) -> FittedEncoder:
-        """From strictly normalised texts; null counts as empty. A pool without trigrams gives zero vectors."""
+        """From strictly normalised texts, all of them or about ``fit_rows`` taken by hash; null counts as empty. A pool without
+        trigrams gives zero vectors."""
         texts = pool.select(normalize_strict(text).alias("text"))
         rows = texts.count()
-        if rows > fit_rows:
+        if fit_rows is not None and rows > fit_rows:
             share = int(fit_rows / rows * 2**32)
             texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(2**32)) < share)
-        texts = texts.repartition(FIT_TASKS, F.xxhash64("text"))
+        texts = cut_lineage(texts.repartition(max(FIT_TASKS, -(-rows // TASK_ROWS)), F.xxhash64("text")))  # read by every pass
 
         def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, df = 0, np.zeros(slots, np.int64)

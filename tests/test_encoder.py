@@ -58,6 +58,14 @@ def test_the_fit_of_a_sample_is_bounded(spark):
     assert fitted.singular[0] ** 2 < 450  # no more than the rows that were read
 
 
+def test_the_fit_reads_every_text(spark):
+    """Beyond two million texts too: every text's trigrams are counted."""
+    n, kinds = 2_100_000, 200
+    fitted = E.FittedEncoder.fit(spark.range(n).select(F.concat(F.lit("t"), 100 + F.col("id") % kinds).alias("query")), dim=2, passes=1)
+    _, slot, _ = E.trigram_counts([f"t{100 + i}" for i in range(kinds)], E.SLOTS)
+    assert fitted.idf[slot].max() <= np.log((n + 1) / (n // kinds + 1)) + 1 + 1e-9
+
+
 def test_memory_goes_by_characters_not_by_texts():
     """What is multiplied at once is bounded by characters; the vectors are those of single texts."""
     rng = np.random.default_rng(0)
