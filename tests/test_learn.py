@@ -37,3 +37,49 @@ def test_drawn_negatives_as_by_plain_python(spark):
     assert sorted(map(tuple, drawn.collect()), key=repr) == sorted(want, key=repr)
     # no function runs per element of an array, and the logged rows are not shuffled
     assert "lambda" not in plan(drawn) and "Aggregate" not in plan(drawn)
+
+
+def test_negatives_carry_columns_and_stay_with_their_group(spark):
+    cands = spark.createDataFrame([("a", f"a{i}", 0, i) for i in range(25)] + [("b", None, 0, 1)], "prefix string, query string, label int, pop long")
+    logged = [(1, "a", "a3", 3, 7), (1, "a", "a3", 3, 7), (2, "b", "b", 1, 8), (None, "a", "zz", 2, 9), (3, None, "q", 1, 1)]
+    train = spark.createDataFrame(logged, "row_id long, prefix string, query string, label int, pop long")
+    got = learn.groups(train, cands, carried=["label", "pop"], dealt=True)
+    plain_rows = learn.groups(train.drop("label", "pop"), cands).collect()
+    assert sorted(map(tuple, got.drop("label", "pop").collect()), key=repr) == sorted(map(tuple, plain_rows), key=repr)
+    own = {(r[0], r[1], r[2]): r[3:] for r in logged}
+    for r in got.collect():
+        assert (r["label"], r["pop"]) == (own[r["group_id"], r["prefix"], r["query"]] if r["is_truth"] else (0, int(r["query"][1:])))
+
+
+def test_gradients_shuffle_logged_rows_only(spark):
+    """One shuffle, before the rows become many; the groups' rows lie where it put them."""
+    from prefixloom.plans.registered import REGISTRY
+
+    steps = REGISTRY["lambda_gradients"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Exchange hashpartitioning") == 1
+    assert steps.index("Generate explode") < steps.index("Exchange hashpartitioning")  # printed from the last step to the first
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from prefixloom.sources.tables import materialise
+
+    def files():
+        return set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+
+    folder = os.path.dirname(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = files()
+    df = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    materialise(spark, str(tmp_path / "t"), lambda: df.repartition(5, "n"))
+    for _ in range(50):  # removed behind the scenes
+        if not files() - before:
+            break
+        import time
+
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
