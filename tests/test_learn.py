@@ -83,3 +83,47 @@ def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
         time.sleep(0.2)
     assert not files() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_ranker_reads_every_group(spark):
+    """More groups than a sample of 50,000: what is fitted is the fit of all rows, however they are counted."""
+    from pyspark.sql import functions as F
+
+    from prefixloom.functions.scores import FEATURES
+
+    n = 60_000
+    once = spark.range(n).select(F.col("id").alias("group_id"), (F.col("id") % 4).cast("int").alias("label"), *[
+        ((F.col("id") * (2 * i + 7)) % (i + 3)).cast("double").alias(c) for i, c in enumerate(FEATURES)])
+    model = learn.Ranker.fit(once, trees=1, depth=1)
+    for i, c in enumerate(FEATURES[:5]):
+        values = (np.arange(n) * (2 * i + 7)) % (i + 3)
+        assert np.isclose(model.scaler.stats[c][1], values.mean(), rtol=1e-12)
+    assert model.model.getMaxBins() ** 2 >= n
+
+
+def test_counted_rows_fit_as_rows_do(spark):
+    from pyspark.sql import functions as F
+
+    from prefixloom.functions.scores import FEATURES
+
+    rows = spark.range(900).select(
+        (F.col("id") % 30).alias("kind"), (1 + F.col("id") % 30 % 4 * (F.col("id") % 30 % 3)).cast("int").alias("label"),
+        *[((F.col("id") % 30 * (i + 1)) % 11 / 4).alias(c) for i, c in enumerate(FEATURES)])
+    uneven = rows.unionByName(rows.filter("kind < 7"))
+    counted = uneven.groupBy(uneven.columns).agg(F.count("*").alias("n"))
+    a, b = learn.Ranker.fit(uneven, trees=3, depth=3), learn.Ranker.fit(counted, trees=3, depth=3, weight="n")
+    for c in FEATURES:
+        assert np.allclose(a.scaler.stats[c], b.scaler.stats[c], rtol=1e-12)
+    got = [[r["prediction"] for r in m.score(counted).orderBy("kind").collect()] for m in (a, b)]
+    assert np.allclose(*got, rtol=1e-9)
+
+
+def test_all_groups_of_a_part_are_counted(spark, tables):
+    from pyspark.sql import functions as F
+
+    from prefixloom.plans import registered as R
+
+    rows = R._split(tables)
+    counted = rows.counted("train").agg(F.sum("n"), F.sum(F.when(F.col("is_truth"), F.col("n")))).first()
+    whole = rows.rows("train", 10**9).agg(F.count("*"), F.count_if("is_truth")).first()
+    assert tuple(counted) == tuple(whole) and whole[1] == rows._of("train").count()
